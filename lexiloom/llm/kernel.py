@@ -18,8 +18,10 @@ PIECE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that separate words: white space, or every ASCII byte but letters and digits.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 32
 _LOWER += 1
@@ -63,13 +65,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), ends
 
 
-def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, starts and ends of some bytes; breaks: places where a word ends in any case."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     _grow(n + 1)
-    word = ~_SEPARATOR[data]
+    word = ~separator[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[breaks] = True
     cut[0] = cut[n] = True
@@ -84,9 +86,9 @@ def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix((sums[ends] - sums[starts]) * _inverses[starts]), starts, ends
 
 
-def words(column: pa.Array, places: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, places: bool = False, separator: np.ndarray = SPACES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts in runs of about PIECE bytes: the first row, offsets of the rows into the word arrays,
-    word hashes, and starts and ends in bytes of the row (empty unless places)."""
+    word hashes, and starts and ends in bytes of the row (empty unless places). separator: SPACES or MARKS."""
     data, ends = flat(column)
     row, rows = 0, len(ends) - 1
     none = np.zeros(0, np.int64)
@@ -94,7 +96,7 @@ def words(column: pa.Array, places: bool = False) -> Iterator[tuple[int, np.ndar
         last = max(row + 1, int(np.searchsorted(ends, ends[row] + PIECE, side="right")) - 1)
         lo, hi = int(ends[row]), int(ends[last])
         if hi - lo <= 2 * PIECE:
-            hashes, starts, stops = _piece(data[lo:hi], ends[row : last + 1] - lo)
+            hashes, starts, stops = _piece(data[lo:hi], ends[row : last + 1] - lo, separator)
             at = np.searchsorted(starts, ends[row : last + 1] - lo)
             if places:
                 base = np.repeat(ends[row:last] - lo, np.diff(at))
@@ -104,13 +106,13 @@ def words(column: pa.Array, places: bool = False) -> Iterator[tuple[int, np.ndar
             while cut < hi:
                 stop = min(cut + PIECE, hi)
                 if stop < hi:
-                    gaps = np.flatnonzero(_SEPARATOR[data[cut:stop]])
+                    gaps = np.flatnonzero(separator[data[cut:stop]])
                     while not len(gaps) and stop < hi:
                         wider = min(stop + PIECE, hi)
-                        gaps = np.flatnonzero(_SEPARATOR[data[stop:wider]]) + (stop - cut)
+                        gaps = np.flatnonzero(separator[data[stop:wider]]) + (stop - cut)
                         stop = wider
                     stop = cut + int(gaps[-1]) + 1 if len(gaps) and stop < hi else stop
-                h, s, e = _piece(data[cut:stop], none)
+                h, s, e = _piece(data[cut:stop], none, separator)
                 parts.append((h, s + (cut - lo), e + (cut - lo)))
                 cut = stop
             hashes, starts, stops = (np.concatenate(x) for x in zip(*parts))

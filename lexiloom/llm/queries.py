@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import bpe, decontaminate, pii, quality, secrets
 from .common import table
 
 
+def op1_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = secrets.samples(spark, table(spark, sf_dir, "benchmark"))
+    return secrets.secrets(table(spark, sf_dir, "documents"), secrets.trained(labelled))
+
+
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.model_of(documents, table(spark, sf_dir, "labels"))
+    return quality.graded(documents, model, keep=quality.KEEP).select("doc_id", "expected_grade", "p_highest")
+
+
 def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +34,9 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_spans": op1_secret_spans,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op7_kept_documents": op7_kept_documents,
     "op8_bpe_tokens": op8_bpe_tokens,
     "op9_personal_data": op9_personal_data,
 }
