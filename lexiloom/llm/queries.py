@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, secrets
+from . import bpe, decontaminate, lines, pii, quality, secrets
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"), secrets.trained(labelled))
 
 
+def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +39,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
+    "op2_repeated_lines": op2_repeated_lines,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op7_kept_documents": op7_kept_documents,
     "op8_bpe_tokens": op8_bpe_tokens,

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import running
+
 # The base kinds, as spans order them, and their shapes; for assign, group 2 is the value.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,8 +32,6 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=.
 RUN, RATIO = 20, 0.35
 #: Labelled samples of each kind that the models of ``samples`` are counted from, at most.
 SAMPLE = 4000
-#: Matches of a block when positions are summed up.
-_BLOCK = 128
 
 
 def samples(spark: SparkSession, words: DataFrame, text: str = "text", size: int = SAMPLE) -> DataFrame:
@@ -100,29 +100,13 @@ def ratio(text: Column, model: list[int]) -> Column:
     return F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x) / (1000.0 * F.greatest(F.length(text), F.lit(1)))
 
 
-def _running(lengths: Column) -> Column:
-    """What stands before each number of an array: sums within blocks of fixed size, so that the work stays near the array's length."""
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
-    sums = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), zero, add))
-
-    def scan(numbers: Column, start: Column) -> Column:
-        first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("all"))
-        return F.aggregate(numbers, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
-
-    starts = scan(sums, zero)
-    inside = F.zip_with(blocks, starts, lambda b, s: scan(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), s))
-    return F.when(F.size(lengths) > 0, F.flatten(inside)).otherwise(F.array().cast("array<bigint>"))
-
-
 def _matches(text: Column, shape: str, kind: str, value_group: int = 0) -> Column:
     """All matches as structs (start, rank, end, value), in code points."""
     found = F.regexp_extract_all(text, F.lit(shape), F.lit(0))
     gaps = F.split(text, shape, -1)
     # a match and the gap before it; where each match ends follows from their running sum
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-    ends = F.zip_with(_running(steps), steps, lambda a, n: a + n)
+    ends = F.zip_with(running(steps), steps, lambda a, n: a + n)
     values = F.regexp_extract_all(text, F.lit(shape), F.lit(value_group)) if value_group else found
     spans = F.zip_with(
         ends, F.arrays_zip(found.alias("m"), values.alias("v")),
