@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lines, pii, quality, secrets
+from . import bpe, decontaminate, jaccard, lines, pii, quality, secrets
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.model_of(documents, table(spark, sf_dir, "labels"))
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_repeated_lines": op2_repeated_lines,
     "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_kept_documents": op7_kept_documents,
     "op8_bpe_tokens": op8_bpe_tokens,
     "op9_personal_data": op9_personal_data,
