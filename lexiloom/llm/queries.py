@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, lines, pii, quality, secrets
+from . import bpe, decontaminate, jaccard, lines, pii, quality, secrets, suffixtree
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_repeated_lines": op2_repeated_lines,
@@ -49,6 +53,7 @@ QUERIES = {
     "op7_kept_documents": op7_kept_documents,
     "op8_bpe_tokens": op8_bpe_tokens,
     "op9_personal_data": op9_personal_data,
+    "op10_suffix_tree_scores": op10_suffix_tree_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
