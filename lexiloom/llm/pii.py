@@ -21,7 +21,6 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .common import stored
 
@@ -186,27 +185,35 @@ def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
 
 
-def redact(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
-    """df with every span of its text replaced by the kind in angle brackets; spans that overlap become one, named by the first.
+def redacted(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with every span of its texts replaced by the kind in angle brackets.
 
-    spans: a column as personal_data returns it; it is dropped. Null texts stay null.
+    Only the few discovered spans are joined to the texts; base spans are found again where they are
+    replaced. Spans that overlap become one, named by the first. Null texts stay null.
     """
-    kept = [c for c in df.columns if c.lower() not in (text.lower(), spans.lower())]
-    schema = StructType(df.select(*kept, text).schema.fields)
+    new = discovered(stored(_scan(df, key, text)), key).distinct().groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_new"))
+    joined = df.join(new, key, "left").select(*df.columns, "_new")
+    return _cut(joined, text, "_new")
+
+
+def _cut(df: DataFrame, text: str, more: str) -> DataFrame:
+    """Replace the base spans of the texts and those of the column more, which is dropped."""
+    kept = [c for c in df.columns if c != more]
+    at, last = kept.index(text), df.columns.index(more)
 
     def run(batches):
         for batch in batches:
             out = []
-            for value, listed in zip(batch.column(text), batch.column(spans)):
+            for value, found in zip(batch.column(at), batch.column(last)):
                 t, parts, done = value.as_py(), [], 0
-                if t is None or not listed.as_py():
-                    out.append(t)
-                    continue
-                for a, b, kind in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in listed.as_py().split(","))):
+                spans = [(a, b, k) for k, a, b in base_spans(t or "")] + [(s["start"], s["end"], "context") for s in found.as_py() or ()]
+                for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
                     if a >= done:
                         parts += [t[done:a], f"<{kind}>"]
-                    done = max(done, -b)
-                out.append("".join(parts) + t[done:])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text])
+                    done = max(done, b)
+                out.append(t if not spans else "".join(parts) + t[done:])
+            columns = [batch.column(k) for k in range(len(kept) + 1) if k != last]
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, kept)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.select(*kept).schema)

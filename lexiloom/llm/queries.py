@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, lines, pii, quality, secrets, suffixtree
+from . import bpe, decontaminate, jaccard, lines, pii, quality, secrets, suffixtree, vectors
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.model_of(documents, table(spark, sf_dir, "labels"))
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_repeated_lines": op2_repeated_lines,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_near_vectors": op6_near_vectors,
     "op7_kept_documents": op7_kept_documents,
     "op8_bpe_tokens": op8_bpe_tokens,
     "op9_personal_data": op9_personal_data,
