@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, lines, pii, quality, secrets, suffixtree, vectors
+from . import bpe, chat, decontaminate, jaccard, lines, pii, quality, secrets, suffixtree, vectors
 from .common import table
 
 
@@ -17,6 +17,34 @@ def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations table has no tool calls of its own: its turns are read as calls and results."""
+    return chat.linked(*chat.exchanges(table(spark, sf_dir, "conversations")))
+
+
+OP3_SQL = """
+with calls as (
+  select conv_id, 'turn-' || turn as call_id, turn, case role when 'user' then 'reply' else 'instruct' end as name, text
+  from conversations where role in ('user', 'system')
+), results as (
+  select conv_id, 'turn-' || (turn - 1) as call_id, text as content from conversations where role = 'assistant'
+), chain as (
+  select *, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as run from calls
+), level as (
+  select *, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level from chain
+), joined as (
+  select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, c.level, c.name, c.text, r.content,
+    case when c.call_id is null then 'orphan' when r.call_id is null then 'pending' else 'linked' end as status
+  from level c full outer join results r on c.conv_id = r.conv_id and c.call_id = r.call_id
+)
+select conv_id, call_id, level, status, case when status <> 'orphan' then '' end as errors,
+  '{"arguments":' || case when status = 'orphan' then 'null' else '{"prompt":' || to_json(text) || '}' end || ',"conversation":' || conv_id
+  || ',"errors":' || case when status = 'orphan' then 'null' else '[]' end || ',"id":' || to_json(call_id) || ',"level":' || coalesce(level::varchar, 'null')
+  || ',"name":' || coalesce(to_json(name)::varchar, 'null') || ',"result":' || coalesce(to_json(content)::varchar, 'null') || ',"status":"' || status || '"}' as record
+from joined
+"""
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +80,7 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_repeated_lines": op2_repeated_lines,
+    "op3_tool_call_links": op3_tool_call_links,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_near_vectors": op6_near_vectors,
@@ -61,4 +90,4 @@ QUERIES = {
     "op10_suffix_tree_scores": op10_suffix_tree_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_tool_call_links": OP3_SQL}
