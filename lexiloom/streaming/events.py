@@ -17,7 +17,8 @@ FILE_STATUSES = ("pending", "processing", "success", "cached", "partial", "ignor
 
 def progress(events: DataFrame, window: str, late: str | None = None, time: str = "ts") -> DataFrame:
     """Rows (hour, event_type, n, last_event): events by window and type. late: how long a window of a stream stays open."""
-    events = events.withWatermark(time, late) if late else events
+    if late:  # a watermark takes a time with a zone
+        events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     rows = events.groupBy(F.window(time, window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
     return rows.select(F.col("w.start").alias("hour"), "event_type", "n", "last_event")
 
