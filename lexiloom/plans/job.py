@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estimate, lineage, memory
 from ..operators.memory import Policy
-from ..sources import ruby  # noqa: F401  (registers its format)
+from ..sources import binary, ruby  # noqa: F401  (they register their formats)
 from ..sources.detection import FORMAT_NAMES, detected
 from ..sources.formats import FORMATS, extracted, files, injected
 from . import translate
@@ -72,7 +72,7 @@ class Config:
             raise ValueError("a target language is needed")
         if self.src_lang not in ("", "auto") and self.src_lang.lower() == self.tgt_lang.lower():
             raise ValueError("source and target language are the same")
-        known = {"csv": {"columns", "delimiter"}, "json": {"keys"}}.get(self.kind(), set())
+        known = {"csv": {"columns", "delimiter"}, "json": {"keys"}, "binary": {"preserve_title", "font"}}.get(self.kind(), set())
         if unknown := {k for k, _ in self.options} - known:
             raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
         if len(dict(self.options).get("delimiter", ",")) != 1:
@@ -95,6 +95,8 @@ def _segments(spark: SparkSession, config: Config):
     lang = found.language if config.src_lang in ("", "auto") else config.src_lang
     options = dict(config.options) | {"src": lang, "tgt": config.tgt_lang}
     plan = files(spark, config.source, kind)
+    if kind.name == "binary":
+        options["lookup_types"] = binary.looked_up(plan)
     segments = extracted(plan, kind, options).withColumns({"file": F.col("path"), "src_lang": F.lit(lang)})
     return found, kind, options, plan, segments.where("error is null"), segments.where("error is not null").select("path", "error")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Spellings of formats that callers may ask for, folders that are never touched.
 FORMAT_NAMES = {
     "csv": "csv", "json": "json", "generic": "json", "game": "game", "rpgmaker_mv": "game", "rpgmaker_mz": "game", "mv": "game", "mz": "game",
-    "ruby": "ruby", "rpgmaker_vxace": "ruby", "rpgmaker_vx": "ruby", "rpgmaker_xp": "ruby", "vxace": "ruby", "xp": "ruby", "lines": "lines", "evtext": "lines",
+    "ruby": "ruby", "rpgmaker_vxace": "ruby", "rpgmaker_vx": "ruby", "rpgmaker_xp": "ruby", "vxace": "ruby", "xp": "ruby", "lines": "lines", "evtext": "lines", "binary": "binary", "mps": "binary",
 }
 TRASH = ("/.trash/", "/.trash-", "/.local/share/trash/", "/trash/", "/$recycle.bin/")
 
