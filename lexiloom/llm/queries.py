@@ -49,10 +49,36 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: All pairs of documents that share a shingle: for tables of the correctness run's size.
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+both_ways as (select x, y from e union all select y, x from e),
+reached(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, b.y from reached r join both_ways b on b.x = r.other)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id from documents d join reached r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reached(vec_id, other) as (select vec_id, vec_id from embeddings union select r.vec_id, e.y from reached r join e on e.x = r.other),
+c as (select vec_id, min(other) as component_id from reached group by vec_id)
+select c.vec_id, (select count(*) from e where e.x = c.vec_id) as n_links, component_id, c.vec_id = component_id as kept from c
+"""
+
+
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -90,4 +116,4 @@ QUERIES = {
     "op10_suffix_tree_scores": op10_suffix_tree_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_tool_call_links": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_tool_call_links": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_near_vectors": OP6_SQL}

@@ -24,16 +24,3 @@ def test_linking(spark):
     assert '{"x":1,"y":null,"z":{"a":"é","b":[1,2.5]}}' in found[2, "a"].record
     assert all(json.loads(x.record)["status"] == x.status for x in found.values())
     assert chat.linked(c.limit(0), r.limit(0), s.limit(0)).count() == 0
-
-
-def test_query_and_its_sql(spark):
-    import duckdb
-
-    from lexiloom.llm.queries import ORACLE_SQL, QUERIES
-
-    sf_dir = "/root/testdata/sf0.001"
-    found = QUERIES["op3_tool_call_links"](spark, sf_dir)
-    duckdb.sql(f"create or replace view conversations as select * from '{sf_dir}/conversations.parquet'")
-    sql = duckdb.sql(ORACLE_SQL["op3_tool_call_links"])
-    rows = sorted(map(tuple, found.select(sorted(found.columns)).collect()), key=str)
-    assert rows == sorted(sql.select(",".join(sorted(sql.columns))).fetchall(), key=str) and rows
