@@ -7,8 +7,8 @@ similarity reaches THRESHOLD. Equal sets are one class from the start. The rest
    orders; in a tile it is compared with the tile's smallest class alone. Large groups of near
    copies so become one component without a pair within them being listed.
 2. All other links. By the prefix principle, two sets that link share a shingle among the first
-   |A| - ceil(t |A|) + 1 of each, in any common order. The order is by hash, with shingles that are
-   frequent in prefixes put last. Tiles are (size band, shingle); only classes that step 1 left in
+   |A| - ceil(t |A|) + 1 of each, in any common order. The order is by how many prefixes hold a
+   shingle, in powers of two, and then by hash. Tiles are (size band, shingle); only classes that step 1 left in
    different components meet. No link is lost: any order gives the principle, and every pair that
    is skipped lies in one component already.
 
@@ -24,6 +24,8 @@ the most frequent first; it only orders shingles, so results don't depend on it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ SIZE, TOP, BOTTOM = 5, 3, 4
 #: Minima that deal a set to tiles in step 1.
 BANDS = 6
 #: Prefix occurrences that make a shingle frequent, and most entries of the broadcast list of such.
-FREQUENT, HOT = 24, 1 << 20
+FREQUENT, HOT = 3, 1 << 22
 #: Bits of the bitmaps.
 BITS = 1024
 
@@ -155,8 +157,9 @@ def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def frequent(df: DataFrame, key: str, text: str, buckets: int) -> np.ndarray:
-    """The shingles that FREQUENT prefixes hold, a third more than a prefix counted: at most HOT, sorted."""
+def frequent(df: DataFrame, key: str, text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that FREQUENT prefixes hold, a third more than a prefix counted, and their levels, the binary
+    logarithms of how many do: sorted, at most HOT, the lowest levels left out beyond that."""
 
     def deal(batches):
         for batch in batches:
@@ -171,46 +174,81 @@ def frequent(df: DataFrame, key: str, text: str, buckets: int) -> np.ndarray:
         keys, n = keys[n >= FREQUENT], n[n >= FREQUENT]
         return pa.table({"key": keys.view(np.int64), "n": n})
 
-    hot = df.select(text).mapInArrow(deal, "bucket bigint, keys binary").groupBy("bucket").applyInArrow(count, "key bigint, n bigint")
-    found = hot.orderBy(F.desc("n"), "key").limit(HOT).select("key").toArrow()  # at most HOT rows
-    return np.sort(found["key"].to_numpy().view(np.uint64))
-
-
-def prefixes(df: DataFrame, key: str, text: str, hot: np.ndarray) -> DataFrame:
-    """Rows (key, prefix): the packed first shingles of each set by hash, with the frequent ones put last."""
+    counted = stored(df.select(text).mapInArrow(deal, "bucket bigint, keys binary").groupBy("bucket").applyInArrow(count, "key bigint, n bigint"))
+    level = F.floor(F.log2("n")).cast("int")
+    least, total = 64, 0
+    for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 64 rows
+        total += row["count"]
+        if total > HOT:
+            break
+        least = row["level"]
+    found = counted.where(level >= least).select("key", level.alias("level")).toArrow()  # at most HOT rows
+    keys, levels = found["key"].to_numpy().view(np.uint64), found["level"].to_numpy().astype(np.uint8)
+    order = np.argsort(keys)
+    return keys[order], levels[order]
+
+
+def prefixes(df: DataFrame, key: str, text: str, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (key, prefix): the packed first shingles of each set, rare ones by hash and then frequent ones by level and hash."""
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        hot = shared.value
+        hot, levels = shared.value
         for batch in batches:
             out = []
             for s in _sets(batch.column(1)):
                 size = prefix_length(len(s)) if len(s) else 0
                 if len(hot) and len(s):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    late = hot[at] == s
-                    s = np.concatenate([s[~late], s[late]])
+                    s = s[np.argsort(np.where(hot[at] == s, levels[at], 0), kind="stable")]
                 out.append(s[:size].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "prefix"])
 
     return df.select(F.col(key).cast("long").alias("key"), text).where("key is not null").mapInArrow(run, "key bigint, prefix binary")
 
 
-def _tile_pairs(rows: np.ndarray, comps: np.ndarray, sizes: np.ndarray):
-    """Pairs within a tile, sorted by size, that lie in different components and whose sizes allow a link; a block of rows at a time."""
-    order = np.argsort(sizes, kind="stable")
-    rows, comps, sizes = rows[order], comps[order], sizes[order]
-    ends = np.searchsorted(sizes, sizes * BOTTOM // TOP, side="right")
-    for lo in range(0, len(rows), 256):
-        hi, last = min(lo + 256, len(rows)), int(ends[min(lo + 256, len(rows)) - 1])
-        j = np.arange(lo, last)
-        ok = (j[None, :] > np.arange(lo, hi)[:, None]) & (j[None, :] < ends[lo:hi, None]) & (comps[lo:hi, None] != comps[None, lo:last])
-        a, b = np.nonzero(ok)
-        yield rows[lo + a], rows[lo + b]
-
-
-def other_links(heads: DataFrame, buckets: int) -> DataFrame:
-    """Step 2: distinct candidate pairs (src, dst) from rows (key, comp, n, prefix) of classes."""
+#: Members of the largest tile that is compared together with others of its size; pairs that are compared at once.
+_SMALL, _AT_ONCE = 64, 1 << 21
+
+
+def _fitting(a: np.ndarray, b: np.ndarray, comps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs of rows lie in different components and have sizes that allow a link."""
+    return (comps[a] != comps[b]) & (TOP * np.maximum(sizes[a], sizes[b]) <= BOTTOM * np.minimum(sizes[a], sizes[b]))
+
+
+def _tile_pairs(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, comps: np.ndarray, sizes: np.ndarray):
+    """Candidate pairs (a, b) of the tiles row[start:end], as arrays: tiles of equal size together, large ones in blocks of members sorted by size."""
+    count = ends - starts
+    for m in np.unique(count[count <= _SMALL]).tolist():
+        own = starts[count == m]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, _AT_ONCE // len(i))
+        for lo in range(0, len(own), step):
+            members = row[own[lo : lo + step, None] + np.arange(m)]
+            a, b = members[:, i].ravel(), members[:, j].ravel()
+            ok = _fitting(a, b, comps, sizes)
+            yield a[ok], b[ok]
+    for start, end in zip(starts[count > _SMALL].tolist(), ends[count > _SMALL].tolist()):
+        members = row[start:end]
+        members = members[np.argsort(sizes[members], kind="stable")]
+        own = sizes[members]
+        last = np.searchsorted(own, own * BOTTOM // TOP, side="right")
+        step = max(1, _AT_ONCE // len(members))
+        for lo in range(0, len(members), step):
+            hi = min(lo + step, len(members))
+            span = np.arange(lo, int(last[hi - 1]))
+            i, j = np.nonzero(span[None, :] > np.arange(lo, hi)[:, None])
+            a, b = members[lo + i], members[span[j]]
+            ok = _fitting(a, b, comps, sizes)
+            yield a[ok], b[ok]
+
+
+def other_links(heads: DataFrame, signs: DataFrame, buckets: int) -> DataFrame:
+    """Step 2: distinct candidate pairs (src, dst) from rows (key, comp, n, prefix) of classes.
+
+    Only the members of tiles where several components meet get their bitmaps; pairs leave a tile once
+    they pass them.
+    """
 
     def deal(batches):
         for batch in batches:
@@ -229,7 +267,10 @@ def other_links(heads: DataFrame, buckets: int) -> DataFrame:
             kinds = [pa.int64(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "keys", "comps", "sizes", "counts", "shingles"])
 
-    def meet(table: pa.Table):
+    def gathered(batches):
+        """The arrays of a bucket's rows, and its tiles of several components: places in row, and keys of the rows they hold."""
+        table = pa.Table.from_batches(list(batches))
+
         def joined(name, kind):
             return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
@@ -241,31 +282,64 @@ def other_links(heads: DataFrame, buckets: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(shingles))
         least, most = np.minimum.reduceat(comps[row], starts), np.maximum.reduceat(comps[row], starts)
-        found, waiting = np.zeros((0, 2), np.int64), []
-        for k in np.flatnonzero(least != most):
-            own = row[starts[k] : ends[k]]
-            for a, b in _tile_pairs(own, comps[own], sizes[own]):
-                waiting.append(np.stack([np.minimum(keys[a], keys[b]), np.maximum(keys[a], keys[b])], 1))
-                if sum(map(len, waiting)) > 1 << 20:
-                    found, waiting = np.unique(np.concatenate([found, *waiting]), axis=0), []
-                    if len(found) > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array(found[:, 0])], ["src", "dst"])
-                        found = found[:0]
-        found = np.unique(np.concatenate([found, *waiting]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array(found[:, 0])], ["src", "dst"])
-
-    def group(batches):
-        return meet(pa.Table.from_batches(list(batches)))
+        return row, starts[least != most], ends[least != most], keys, comps, sizes
+
+    def shared(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tiles where several components meet, packed, and the keys in them."""
+        row, starts, ends, keys, comps, sizes = gathered(batches)
+        if len(starts):
+            width = ends - starts
+            offsets = np.cumsum(width) - width
+            members = row[np.repeat(starts - offsets, width) + np.arange(width.sum())]
+            own, members = np.unique(members, return_inverse=True)
+            packed = (keys[own], comps[own], sizes[own], members.astype(np.int64), width.astype(np.int64))
+            columns = [key[0].as_py(), *(x.tobytes() for x in packed)]
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], ["bucket", "keys", "comps", "sizes", "members", "widths"])
+
+    def opened(batches):
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = np.frombuffer(packed, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket)), pa.array(keys)], ["bucket", "key"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Pairs of the tiles that lie in different components and pass the bounds of sizes and bitmaps."""
+        keys, comps, sizes, row, width = (np.frombuffer(left[c][0].as_py(), np.int64) for c in ("keys", "comps", "sizes", "members", "widths"))
+        theirs = right["key"].to_numpy()
+        order = np.argsort(theirs)
+        bits = right["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)[order[np.searchsorted(theirs, keys, sorter=order)]]
+        ends = np.cumsum(width)
+        rows, found, waiting, size = len(keys), np.zeros(0, np.int64), [], 0
+        for a, b in _tile_pairs(row, ends - width, ends, comps, sizes):
+            waiting.append(np.minimum(a, b) * rows + np.maximum(a, b))
+            size += len(a)
+            if size > _AT_ONCE:
+                found, waiting, size = np.concatenate([found, _bounded(np.setdiff1d(np.concatenate(waiting), found), rows, sizes, bits)]), [], 0
+        codes = np.unique(np.concatenate([found, _bounded(np.unique(np.concatenate([np.zeros(0, np.int64), *waiting])), rows, sizes, bits)]))
+        a, b = keys[codes // rows], keys[codes % rows]
+        return pa.table({"src": np.maximum(a, b), "dst": np.minimum(a, b)})
 
     dealt = heads.select("key", "comp", "n", "prefix").mapInArrow(deal, "bucket bigint, keys binary, comps binary, sizes binary, counts binary, shingles binary")
-    return dealt.groupBy("bucket").applyInArrow(_iterated(group), "src bigint, dst bigint").distinct()
+    tiles = stored(dealt.groupBy("bucket").applyInArrow(_iterated(shared), "bucket bigint, keys binary, comps binary, sizes binary, members binary, widths binary"))
+    known = tiles.select("bucket", "keys").mapInArrow(opened, "bucket bigint, key bigint").join(signs.select("key", "bits"), "key")
+    return tiles.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(meet, "src bigint, dst bigint").distinct()
+
+
+def _bounded(codes: np.ndarray, rows: int, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The pairs, as a * rows + b, whose bitmaps don't rule a link out."""
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(codes), 1 << 17):
+        some = codes[lo : lo + (1 << 17)]
+        a, b = some // rows, some % rows
+        differing = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        both = sizes[a] + sizes[b]
+        out.append(some[(BOTTOM + TOP) * (both - differing) >= 2 * TOP * both])
+    return np.concatenate(out)
 
 
 def _iterated(function):
     """The function with the annotations by which applyInArrow knows that it streams batches."""
-    from collections.abc import Iterator
-
-    function.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    function.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return function
 
 
@@ -282,11 +356,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     edges = stored(verified(df, key, text, near_copies(ones), ones))
     first = stored(components(edges))
     total = ones.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(12, total // 4_000_000))
+    buckets = int(max(12, total // 1_000_000))
     hot = frequent(df, key, text, buckets)
     heads = prefixes(df, key, text, hot).join(ones.select("key", "n"), "key").join(first.withColumnRenamed("node", "key"), "key", "left")
     heads = heads.select("key", F.coalesce("component", "key").alias("comp"), "n", "prefix")
-    more = stored(verified(df, key, text, stored(other_links(heads, buckets)), ones))
+    more = stored(verified(df, key, text, stored(other_links(heads, ones, buckets)), ones))
     found = components(edges.union(more))
     out = signs.select("key", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(found.withColumnRenamed("node", "class"), "class", "left")
     return out.select(F.col("key").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class")).otherwise(F.col("key")).cast(df.schema[key].dataType).alias("component_id"))

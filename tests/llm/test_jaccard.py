@@ -45,7 +45,7 @@ def cases(rng):
 
 def test_components_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
-    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
     for _ in range(2):
         rows = cases(rng)
         df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int")
