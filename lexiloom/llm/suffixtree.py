@@ -5,7 +5,9 @@ the empty word. A state of the tree is a context of up to DEPTH symbols. It is r
 up at least LEAST of all symbols and its next-symbol distribution diverges from that of its
 parent (the context without its oldest symbol) by more than a description-length penalty; its
 suffixes are then retained too. A state's distribution is smoothed by its parent's, down to the root. A
-symbol is scored by the longest retained suffix of what stands before it in its word.
+symbol is scored by the longest retained suffix of what stands before it in its word. A word's
+probability is its share of the training tokens, smoothed by the tree's probability of its spelling with
+the weight of all words seen once, so that the probabilities of all words sum to 1.
 
 Every word of every text is counted: by hash buckets, as packed arrays, so that one row moves a whole
 batch's share of a bucket. The tree is bounded by construction, DEPTH / LEAST states, and so is the
@@ -189,7 +191,7 @@ def _counted(types: DataFrame, depth: int, parents: np.ndarray) -> tuple[np.ndar
                 for lo in range(0, len(n), 200_000):
                     hi = min(lo + 200_000, len(n))
                     windows, place, word = _symbols(spelled[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    weight = n[lo:hi][word]
+                    weight = np.minimum(n[lo:hi], 1)[word]  # a new word is like the types, not like the tokens
                     some = (place >= depth) & (weight > 0)
                     if depth:
                         context = _low(windows >> np.uint64(8), depth - 1) if depth > 1 else np.zeros(len(windows), np.uint64)
@@ -282,24 +284,29 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held)
     rows = rows.select("*", (~F.col("held")).alias("train"), F.xxhash64("text").alias("mark"))
     sizes = df.select(F.sum(F.octet_length(text)).alias("b")).first()[0] or 0
-    buckets = int(max(12, sizes // 64_000_000))
+    buckets = int(max(12, sizes // 12_000_000))
     types = stored(word_types(rows, "text", "train", buckets))
     ends = rows.where("train").count()
 
     def summed(batches):
         for batch in batches:
             hashes, n, _, _ = _unpacked([batch])
-            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], ["n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (n.sum(), (n > 0).sum(), (n == 1).sum())], ["n", "v", "once"])
 
-    total, distinct = types.drop("bucket").mapInArrow(summed, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
-    total, distinct = (total or 0) + ends, (distinct or 0) + (ends > 0)
-    shared = df.sparkSession.sparkContext.broadcast(learned(types, ends))
+    total, distinct, once = types.drop("bucket").mapInArrow(summed, "n bigint, v bigint, once bigint").agg(F.sum("n"), F.sum("v"), F.sum("once")).first()
+    total, distinct, unseen = (total or 0) + ends, (distinct or 0) + (ends > 0), float(max(once or 0, 1))
+
+    def of_words(counts, spelled):
+        """log10 probabilities of words: their counts, smoothed by their spelling with the weight of words seen once."""
+        return np.log10(counts + unseen * 10.0**spelled) - np.log10(total + unseen)
+
+    shared = df.sparkSession.sparkContext.broadcast(learned(types, min(ends, 1)))
     share = max(LEAST * total, 2)
 
     def score(batches):
         for batch in batches:
             hashes, n, spelled, offsets = _unpacked([batch])
-            logs = shared.value.words(spelled, offsets)
+            logs = of_words(n, np.maximum(shared.value.words(spelled, offsets), -300.0))
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([hashes.tobytes()]), pa.array([n.tobytes()]), pa.array([logs.tobytes()])], ["bucket", "hashes", "counts", "logs"])
 
     def rows_alone(function):
@@ -364,7 +371,7 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     tails = dealt.where("bucket is not null").groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(meet, "key bigint, mark bigint, n bigint, base double, logp double, known bigint, rows bigint")
     sums = heads.union(tails).groupBy("key", "mark").agg(*(F.sum(c).alias(c) for c in ("n", "base", "logp", "known", "rows")))
-    end = float(shared.value.words(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
+    end = float(of_words(ends, shared.value.words(np.zeros(0, np.uint8), np.zeros(2, np.int64)))[0])
     norm = float(np.log10(total + distinct + 1))
     per = lambda c: F.col(c) / F.col("rows")
     tokens = (per("n") + 1).cast("long")
