@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import running
+from .common import stored
 
 #: Words of the shortest unit that is removed when repeated.
 LEAST_WORDS = 8
@@ -50,7 +51,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least_words:
     Rows of df with the same key are the same document: a unit at the same place of both stays in
     both. A null key comes before all others.
     """
-    found = units(df, key, text, least_words)
+    found = stored(units(df, key, text, least_words))  # read twice: texts are cut and digested once
     place = F.struct(F.col(key).alias("k"), F.col("start").alias("s"))
     again = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
     joined = found.join(again, "digest").where(~((F.col(key).eqNullSafe(F.col("first.k"))) & (F.col("start") == F.col("first.s"))))
