@@ -14,7 +14,7 @@ def op1_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeats(table(spark, sf_dir, "documents"))
+    return lines.repeats(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op3_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:

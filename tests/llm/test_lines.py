@@ -39,3 +39,20 @@ def test_edges(spark):
     assert [r.doc_id for r in lines.repeats(df).collect()] == [1]
     assert {r.doc_id: r.text for r in lines.deduplicated(df).collect()} == {None: long, 1: "", 2: None, 3: ""}
     assert lines.repeats(df.limit(0)).count() == lines.deduplicated(df.limit(0)).count() == 0
+
+
+def test_whole_lines(spark):
+    rows = [(1, "Hi!\nthe and. to thanedble the, anea. x\n\nred\nsun"), (2, "The and.  to thanedble the, anea. x\nhi!\n\nred sun"), (3, "new\n\nred \nsun\n\n \n"), (4, "a hi! b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, lines.repeats(df, whole=True).collect()))
+    first = rows[0][1]
+    there = [(2, rows[1][1][:35], first.index("the")), (2, "hi!", 0), (2, "red sun", first.index("red")), (3, "red \nsun", first.index("red"))]
+    assert [(k, dict(rows)[k][a:b], s) for k, a, b, _, s in found] == there and {r[3] for r in found} == {1}
+    assert [r.text for r in lines.deduplicated(df, whole=True).orderBy("doc_id").collect()] == [first, "\n\n\n", "new\n\n\n\n \n", "a hi! b"]
+
+
+def test_outermost(spark):
+    line = "one two three four five six seven eight. short end. "
+    df = spark.createDataFrame([(None, line), (1, line), (2, "other start. " + line + "tail")], "doc_id long, text string")
+    found = sorted(tuple(r)[:3] for r in lines.repeats(df, whole=True).collect())
+    assert found == [(1, 0, len(line)), (2, 13, 13 + 40)]
