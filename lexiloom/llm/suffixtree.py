@@ -1,18 +1,18 @@
 """Operator 10: language-model scoring by a probabilistic suffix tree.
 
 Symbols are the bytes of lower-cased words, with a space before and after each; the end of a text is
-the empty word. A state of the tree is a context of up to DEPTH symbols. It is retained if it makes
-up at least LEAST of all symbols and its next-symbol distribution diverges from that of its
-parent (the context without its oldest symbol) by more than a description-length penalty; its
-suffixes are then retained too. A state's distribution is smoothed by its parent's, down to the root. A
+the empty word. A state of the tree is a context of up to DEPTH symbols. It is retained if it occurs
+at least OCCURRENCES times in the training words, however many there are, and its next-symbol
+distribution diverges from that of its parent (the context without its oldest symbol) by more than a
+description-length penalty; its suffixes are then retained too. A state's distribution is smoothed by its parent's, down to the root. A
 symbol is scored by the longest retained suffix of what stands before it in its word. A word's
 probability is its share of the training tokens, smoothed by the tree's probability of its spelling with
 the weight of all words seen once, so that the probabilities of all words sum to 1.
 
 Every word of every text is counted: by hash buckets, as packed arrays, so that one row moves a whole
-batch's share of a bucket. The tree is bounded by construction, DEPTH / LEAST states, and so is the
-table of frequent words, 1 / LEAST: these are what tasks get in full. All other words meet their
-counts by a shuffle of their hashes.
+batch's share of a bucket. The table of frequent words is bounded by construction, 1 / LEAST; the tree
+grows with the different words of the training texts. Tasks get both in full. All other words meet
+their counts by a shuffle of their hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from .common import stored
 
 #: Symbols of the longest context (at most 7: a context and a symbol are one 64-bit number).
 DEPTH = 7
-#: Least share of a context among all symbols, and of a word among all tokens to be sent to every task.
+#: Least occurrences of a context.
+OCCURRENCES = 4
+#: Least share of a word among all tokens to be sent to every task.
 LEAST = 2e-6
 #: Weight of the parent's distribution, in occurrences.
 PARENT = 2.0
@@ -180,7 +182,7 @@ class Tree:
 
 def _counted(types: DataFrame, depth: int, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The (context, symbol) numbers of a depth whose context without its oldest symbol is a frequent one, sorted, and their occurrences in training."""
-    shared = types.sparkSession.sparkContext.broadcast(parents)  # at most 1 / LEAST contexts
+    shared = types.sparkSession.sparkContext.broadcast(parents)
 
     def run(batches):
         parents = shared.value
@@ -210,7 +212,7 @@ def learned(types: DataFrame, ends: int) -> Tree:
     """The tree of the packed words; ends: training texts, each with an end.
 
     Level by level: a context is counted if its parent is frequent. Frequent contexts alone come to
-    the driver, at most 1 / LEAST of a level.
+    the driver: they grow with the different words.
     """
     tree, parents, total, above = Tree(), np.zeros(0, np.uint64), 0.0, None
     for depth in range(DEPTH + 1):
@@ -226,8 +228,8 @@ def learned(types: DataFrame, ends: int) -> Tree:
             continue
         context = F.shiftrightunsigned("key", 8)
         from_ends = ends if depth == 1 else 0
-        sums = pairs.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).where((F.col("t") >= LEAST * total) | (F.lit(from_ends > 0) & (F.col("c") == SPACE)))
-        found = pairs.withColumn("c", context).join(F.broadcast(sums), "c").select("key", "n").toArrow()  # at most 1 / LEAST contexts, 256 symbols each
+        sums = pairs.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).where((F.col("t") >= OCCURRENCES) | (F.lit(from_ends > 0) & (F.col("c") == SPACE)))
+        found = pairs.withColumn("c", context).join(sums, "c").select("key", "n").toArrow()
         keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(float)
         order = np.argsort(keys)
         keys, n = keys[order], n[order]

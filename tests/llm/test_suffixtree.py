@@ -50,3 +50,13 @@ def test_tree_is_a_distribution(spark, monkeypatch):
         for context in tree.contexts[d][:20]:
             windows = np.uint64(context) << np.uint64(8) | np.arange(256, dtype=np.uint64)
             assert abs((10.0 ** tree.log_of(windows, np.full(256, d))).sum() - 1) < 1e-9
+
+
+def test_contexts_do_not_depend_on_the_corpus_size(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "LEAST", 1e-2)
+    rng = random.Random(4)
+    attested = [a + end for a in "abcdef" for end in ("zqk", "pqm")]
+    others = {"".join(rng.choices("abcdefghijkl", k=6)) for _ in range(300)}
+    df = spark.createDataFrame([(" ".join([*attested, *sorted(others)]), True)], "text string, train boolean")
+    tree = suffixtree.learned(suffixtree.word_types(df, "text", "train", 3).cache(), 1)
+    assert ord("z") << 8 | ord("q") in tree.contexts[2]
