@@ -9,6 +9,9 @@ symbol is scored by the longest retained suffix of what stands before it in its
 probability is its share of the training tokens, smoothed by the tree's probability of its spelling with
 the weight of all words seen once, so that the probabilities of all words sum to 1.
 
+This replaces scoring by the suffix of the whole preceding text: contexts begin anew at each word and
+are learned from different words, each counted once, so a score doesn't depend on the order of words.
+
 Every word of every text is counted: by hash buckets, as packed arrays, so that one row moves a whole
 batch's share of a bucket. The table of frequent words is bounded by construction, 1 / LEAST; the tree
 grows with the different words of the training texts. Tasks get both in full. All other words meet
