@@ -462,6 +462,4 @@ def progress_by_hour(spark, sf_dir):
 def last_status_by_key(spark, sf_dir):
     from .streaming.events import last_status
 
-    events = _table(spark, sf_dir, "events")
-    unique = events.groupBy("user_id").agg(F.count_distinct("ts").alias("a"), F.count("*").alias("b")).where("a = b").select("user_id")
-    return last_status(events.join(unique, "user_id", "left_semi"), "user_id")
+    return last_status(_table(spark, sf_dir, "events"), "user_id")

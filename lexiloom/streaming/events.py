@@ -24,8 +24,10 @@ def progress(events: DataFrame, window: str, late: str | None = None, time: str
 
 
 def last_status(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
-    """Rows (key, event_type, ts): the last event of each key; in update mode on a stream."""
-    return events.groupBy(key).agg(F.max_by("event_type", time).alias("event_type"), F.max(time).alias(time))
+    """Rows (key, event_type, ts): the last event of each key, of those at the same time the one with
+    the largest event_id; in update mode on a stream."""
+    last = F.max_by("event_type", F.struct(time, "event_id"))
+    return events.groupBy(key).agg(last.alias("event_type"), F.max(time).alias(time))
 
 
 def written_as_lines(events: DataFrame, path: str, checkpoint: str):

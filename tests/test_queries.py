@@ -34,3 +34,10 @@ def test_query(spark, db, name):
         columns = [c[0] for c in sql.description]
         assert sorted(columns) == sorted(found.columns)
         assert _rows(found.columns, rows) == _rows(columns, sql.fetchall())
+
+
+def test_last_status_of_users_with_ties(spark, tmp_path):
+    rows = [(1, 5, 1, "a"), (3, 9, 1, "c"), (2, 9, 1, "b"), (4, 7, 2, "d"), (5, 7, 2, "e"), (6, 8, 2, "f"), (7, 1, 3, "g"), (7, 1, 3, "g")]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["last_status_by_key"](spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, r.event_type, r.ts) for r in found) == [(1, "c", 9), (2, "f", 8), (3, "g", 1)]
