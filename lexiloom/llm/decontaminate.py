@@ -93,7 +93,7 @@ def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> l
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
-    """The benchmark's items as word hashes, in blocks of at most BLOCK_WORDS words (or one longer item); rows without an id or text are left out."""
+    """The benchmark's items as word hashes, in blocks of at most BLOCK_WORDS words (or one longer item), each with its id, which may be null or shared; rows without a text are left out."""
     def run(batches):
         for batch in batches:
             rows = [h[at[k] : at[k + 1]].view(np.int64) for _, at, h, _, _ in kernel.words(batch.column(1)) for k in range(len(at) - 1)]
@@ -101,7 +101,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
 
     block, size = [], 0
     kind = benchmark.schema[item].dataType.simpleString()
-    for row in benchmark.select(item, text).dropna().mapInArrow(run, f"item {kind}, words array<bigint>").toLocalIterator(prefetchPartitions=False):
+    for row in benchmark.select(item, text).dropna(subset=[text]).mapInArrow(run, f"item {kind}, words array<bigint>").toLocalIterator(prefetchPartitions=False):
         if block and size + len(row.words) > BLOCK_WORDS:
             yield block
             block, size = [], 0
@@ -113,8 +113,8 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Rows (key, item, n_tiles, n_covered, n_words, coverage) of the documents that hold at least that share of an item.
 
-    Every row of df counts by itself; null or empty texts and items leak nothing. Of items with the
-    same id the last counts.
+    Every row of df counts by itself; null or empty texts and items leak nothing. Every row of
+    benchmark is an item by itself, whether its id is null or that of others.
     """
     key_kind, item_kind = df.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     names = [key, item, "n_tiles", "n_covered", "n_words", "coverage"]
@@ -123,7 +123,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches):
-            known = Benchmark(shared.value)
+            ids = [i for i, _ in shared.value]
+            known = Benchmark([(n, h) for n, (_, h) in enumerate(shared.value)])
             item_arrow = None
             for batch in batches:
                 at_row, rows = [], []
@@ -135,7 +136,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                             covered = sum(n for _, _, n in made)
                             if covered >= coverage * total:
                                 at_row.append(row + k)
-                                rows.append((i, len(made), covered, total, covered / total))
+                                rows.append((ids[i], len(made), covered, total, covered / total))
                 keys = batch.column(0).take(pa.array(at_row, pa.int64()))
                 item_arrow = pa.array([r[0] for r in rows], pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32())
                 rest = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]

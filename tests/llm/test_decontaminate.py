@@ -50,3 +50,14 @@ def test_reordered_passages_and_edges(spark, monkeypatch):
         assert found == sorted([(1, 1, 2, 40), (1, 1, 2, 40), (3, 2, 1, 2), (None, 2, 1, 2)], key=str)
     assert sorted(r.doc_id or 0 for r in decontaminate.decontaminated(df, items).collect()) == [0, 2, 4, 5]
     assert decontaminate.leaks(df, items.limit(0)).count() == decontaminate.leaks(df.limit(0), items).count() == 0
+
+
+def test_items_with_shared_and_null_ids(spark, monkeypatch):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], "item_id long, text string").coalesce(1)
+    df = spark.createDataFrame(list(enumerate([*texts, "none of them"])), "doc_id long, text string")
+    for block in (decontaminate.BLOCK_WORDS, 6):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        found = [(r.doc_id, r.item_id) for r in decontaminate.leaks(df, items).collect()]
+        assert sorted(found, key=str) == [(0, 1), (1, 1), (2, None), (3, None)]
+    assert [r.doc_id for r in decontaminate.decontaminated(df, items).collect()] == [4]
