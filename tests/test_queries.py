@@ -41,3 +41,9 @@ def test_last_status_of_users_with_ties(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     found = QUERIES["last_status_by_key"](spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.event_type, r.ts) for r in found) == [(1, "c", 9), (2, "f", 8), (3, "g", 1)]
+
+
+def test_numbers_at_line_ends(spark, tmp_path):
+    spark.createDataFrame([(1, "12\n 3,5 word 7\t x12"), (2, "12\n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["numeric_or_code_filter"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, "12\n", 1), (1, "3,5", 1), (1, "7\t", 1), (2, "12\n", 1)]
