@@ -1,25 +1,31 @@
 """Operator 5: n-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
 A document's set is its distinct word shingles, as 64-bit hashes. Two sets link when their Jaccard
-similarity reaches THRESHOLD. Equal sets are one class from the start. The rest goes in two steps:
+similarity reaches THRESHOLD. Equal sets are one class from the start, known by a 64-bit digest of
+the set. The rest goes in two steps:
 
 1. Near copies. Each class is dealt to a tile by each of BANDS minima of its set under different
    orders; in a tile it is compared with the tile's smallest class alone. Large groups of near
    copies so become one component without a pair within them being listed.
 2. All other links. By the prefix principle, two sets that link share a shingle among the first
    |A| - ceil(t |A|) + 1 of each, in any common order. The order is by how many prefixes hold a
-   shingle, in powers of two, and then by hash. Tiles are (size band, shingle); only classes that step 1 left in
-   different components meet. No link is lost: any order gives the principle, and every pair that
-   is skipped lies in one component already.
-
-In both steps candidates are pruned by size, then by bitmaps: with b_A, b_B hashed bitmaps of the
-sets, every bit that differs needs an element outside the intersection, so that
-|A and B| <= (|A| + |B| - popcount(b_A xor b_B)) / 2. What passes is decided by the sorted arrays.
-
-Shuffles move hashes packed in arrays. Nothing is gathered that grows with a group: a tile keeps its
-smallest member in step 1; in step 2 tiles of one component send nothing, and a tile of several is
-compared in blocks of bounded size. The list of frequent shingles is broadcast up to HOT entries,
-the most frequent first; it only orders shingles, so results don't depend on it.
+   shingle, in powers of two, and then by hash. Only shingles that prefixes of several components share
+   make tiles, and of tiles with the same members one stays. Tiles are (shingle, size band): a band
+   ends where a set could no longer link with the band's smallest, so that a set meets its own band
+   and is a guest in the one below. Classes of one component don't meet. No link is lost: any order
+   gives the principle, and every pair that is skipped lies in one component already.
+
+Candidates are pruned by size, then by bitmaps: each element flips one bit of a bitmap that has at
+least BITS_EACH bits for each, so that bits that differ are no more than the elements outside the
+intersection: |A and B| <= (|A| + |B| - popcount(b_A xor b_B)) / 2. A larger bitmap is folded to the smaller's
+size. Members of pairs that pass get their sorted arrays, whose intersection decides; a tile gives at
+most as many edges as it has members, since pairs that are already connected are skipped.
+
+Nothing is gathered that grows with a group. A tile of more than MOST members or WEIGHT shingles is
+dealt out as pairs of blocks. A batch sends at most two components for a shingle to the search for
+shared shingles. The list of frequent shingles is broadcast up to HOT entries, the most frequent first;
+it only orders shingles. The list of shared shingles is broadcast up to LISTED entries, beyond which
+prefixes are joined with it.
 """
 
 from __future__ import annotations
@@ -40,8 +46,29 @@ SIZE, TOP, BOTTOM = 5, 3, 4
 BANDS = 6
 #: Prefix occurrences that make a shingle frequent, and most entries of the broadcast list of such.
 FREQUENT, HOT = 3, 1 << 22
-#: Bits of the bitmaps.
-BITS = 1024
+#: Most entries of the broadcast list of shingles that several components share.
+LISTED = 1 << 22
+#: Bits of a bitmap for each element of the set, before rounding up to a power of two; least bits.
+BITS_EACH, LEAST_BITS = 4, 64
+#: Members of a block of a tile, and shingles of its sets, about.
+MOST, WEIGHT = 4096, 1 << 21
+
+_LONGS = pa.list_(pa.int64())
+
+
+def _bands() -> np.ndarray:
+    """The smallest size of each band: sizes of a link are of one band or of neighbouring ones."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(BOTTOM * least[-1] // TOP + 1)
+    return np.array(least)
+
+
+_LEAST = _bands()
+
+
+def band_of(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_LEAST, n, side="right") - 1
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -53,10 +80,18 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def bitmap(sets: np.ndarray) -> np.ndarray:
-    """The hashed bitmap of a set, as bytes."""
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(sets >> np.uint64(20)) & np.uint64(BITS - 1)] = True
-    return np.packbits(bits)
+    """The hashed bitmap of a set, as words of 64 bits: each element flips its bit."""
+    size = max(LEAST_BITS, 1 << int(BITS_EACH * len(sets) - 1).bit_length())
+    at = ((sets >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size) & 1 == 1, bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps in rows brought to fewer words, a power of two."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
 
 def prefix_length(n: int) -> int:
@@ -70,70 +105,75 @@ def _sets(column: pa.Array):
             yield kernel.shingles(hashes[at[k] : at[k + 1]], SIZE)
 
 
+def _digest(s: np.ndarray) -> int:
+    return int(kernel.mix(kernel.mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else 0
+
+
 _TURNS = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) | 1 for k in range(BANDS)], dtype=np.uint64)
 
 
 def signed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, n, d1, d2, minima, bits): the size, digest, band minima and bitmap of each row's set; minima and bits of empty sets are empty."""
+    """Rows (key, n, id, minima, bits): the size, digest, band minima and bitmap of each row's set; minima and bits of empty sets are empty."""
 
     def run(batches):
         for batch in batches:
-            n, d1, d2, minima, bits = [], [], [], [], []
+            n, ids, minima, bits = [], [], [], []
             for s in _sets(batch.column(1)):
                 n.append(len(s))
-                d1.append(int(kernel.mix(s).sum().view(np.int64)) if len(s) else 0)
-                d2.append(int(np.bitwise_xor.reduce(kernel.mix(s ^ _TURNS[0])).view(np.int64)) if len(s) else 0)
+                ids.append(_digest(s))
                 minima.append(np.array([(s * t).min() for t in _TURNS], dtype=np.uint64).view(np.int64) if len(s) else [])
                 bits.append(bitmap(s).view(np.int64) if len(s) else [])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(minima, longs), pa.array(bits, longs)], ["key", "n", "d1", "d2", "minima", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(minima, _LONGS), pa.array(bits, _LONGS)], ["key", "n", "id", "minima", "bits"])
 
-    return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key bigint, n bigint, d1 bigint, d2 bigint, minima array<bigint>, bits array<bigint>")
+    return df.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n bigint, id bigint, minima array<bigint>, bits array<bigint>")
 
 
-#: Bits of the filter that keeps sets nobody asked for from being shuffled; of fixed size, whatever the data.
-_FILTER = 1 << 25
+#: Most bits of the filter that keeps sets nobody asked for from being shuffled.
+_FILTER = 1 << 27
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column key, with two bits a key, as words of 64 bits."""
-    slots = keys.select(F.explode(F.array(F.xxhash64("key"), F.xxhash64("key", F.lit(1)))).alias("h")).select(F.pmod("h", F.lit(_FILTER)).alias("s"))
+    """A Bloom filter of the column key, with two bits a key, as words of 64 bits; sized by the number of keys, up to _FILTER."""
+    size = min(_FILTER, 1 << max(12, (16 * keys.count()).bit_length()))
+    slots = keys.select(F.explode(F.array(F.xxhash64("key"), F.xxhash64("key", F.lit(1)))).alias("h")).select(F.pmod("h", F.lit(size)).alias("s"))
     words = slots.select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     found = words.toArrow()  # at most _FILTER / 64 rows
-    table = np.zeros(_FILTER // 64, dtype=np.uint64)
+    table = np.zeros(size // 64, dtype=np.uint64)
     table[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
     return table
 
 
 def _packed(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Rows (key, set) of the wanted keys: packed sorted sets. Others are dropped where they are read, as far as the filter knows them."""
-    shared = df.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    slots = [F.pmod(F.xxhash64("key"), F.lit(_FILTER)).alias("s1"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(_FILTER)).alias("s2")]
+    """Rows (id, set) of the wanted classes (id, key): packed sorted sets, one row each. Rows of other keys are dropped where they are read, as far as the filter knows them."""
+    table = _filter_of(wanted.select("key").distinct())
+    shared, size = df.sparkSession.sparkContext.broadcast(table), len(table) * 64
 
     def run(batches):
         table = shared.value
         for batch in batches:
             keep = np.ones(len(batch), dtype=bool)
-            for k in (2, 3):
+            for k in (1, 2):
                 s = batch.column(k).to_numpy().astype(np.uint64)
                 keep &= (table[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
-            some = batch.filter(pa.array(keep))
-            sets = pa.array([s.tobytes() for s in _sets(some.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([some.column(0), sets], ["key", "set"])
+            sets = list(_sets(batch.column(0).filter(pa.array(keep))))
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null").select("key", "text", *slots)
-    return rows.mapInArrow(run, "key bigint, set binary")
+    slots = [F.pmod(F.xxhash64("key"), F.lit(size)).alias("s1"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(size)).alias("s2")]
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null").select("text", *slots)
+    found = rows.mapInArrow(run, "id bigint, set binary").join(wanted.select("id"), "id", "left_semi")
+    return found.groupBy("id").agg(F.first("set").alias("set"))
 
 
-def verified(df: DataFrame, key: str, text: str, pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Of distinct pairs (src, dst) of class keys, those that link: by their bitmaps, then by their sets."""
-    bits = signs.select("key", "n", "bits")
+def verified(df: DataFrame, key: str, text: str, pairs: DataFrame, ones: DataFrame) -> DataFrame:
+    """Of distinct pairs (src, dst) of classes, those that link: by their bitmaps if of one size, then by their sets."""
+    bits = ones.select("id", "n", "bits")
     near = pairs.join(bits.toDF("src", "n1", "bits1"), "src").join(bits.toDF("dst", "n2", "bits2"), "dst")
-    differing = F.aggregate(F.zip_with("bits1", "bits2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    differing = F.when(F.size("bits1") == F.size("bits2"), F.aggregate(F.zip_with("bits1", "bits2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)).otherwise(0)
     # |A and B| >= TOP / (TOP + BOTTOM) (|A| + |B|), and |A and B| <= (|A| + |B| - differing) / 2
     near = near.where((BOTTOM + TOP) * (F.col("n1") + F.col("n2") - differing) >= 2 * TOP * (F.col("n1") + F.col("n2")))
     near = stored(near.select("src", "dst"))
-    sets = _packed(df, key, text, near.select(F.explode(F.array("src", "dst")).alias("key")))
+    wanted = ones.select("id", "key").join(near.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")
+    sets = _packed(df, key, text, wanted)
     both = near.join(sets.toDF("src", "set1"), "src").join(sets.toDF("dst", "set2"), "dst")
 
     def run(batches):
@@ -141,40 +181,45 @@ def verified(df: DataFrame, key: str, text: str, pairs: DataFrame, signs: DataFr
             ok = [linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
             yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("src", "dst", "set1", "set2").mapInArrow(run, "src bigint, dst bigint")
+    found = stored(both.select("src", "dst", "set1", "set2").mapInArrow(run, "src bigint, dst bigint"))
+    dropped(near)
+    return found
 
 
-def near_copies(signs: DataFrame) -> DataFrame:
+def near_copies(ones: DataFrame) -> DataFrame:
     """Step 1: distinct pairs (src, dst) of a class and the smallest class of one of its tiles, where sizes allow a link."""
-    tiles = signs.select("key", "n", F.posexplode("minima").alias("band", "value"))
-    hubs = tiles.groupBy("band", "value").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "value", "hub")
-    pairs = tiles.join(hubs, ["band", "value"]).where("hub.key <> key")
+    tiles = ones.select("id", "n", F.posexplode("minima").alias("band", "value"))
+    hubs = tiles.groupBy("band", "value").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "value", "hub")
+    pairs = tiles.join(hubs, ["band", "value"]).where("hub.id <> id")
     fit = TOP * F.greatest("n", "hub.n") <= BOTTOM * F.least("n", "hub.n")
-    return pairs.where(fit).select(F.col("key").alias("src"), F.col("hub.key").alias("dst")).distinct()
+    return pairs.where(fit).select(F.col("id").alias("src"), F.col("hub.id").alias("dst")).distinct()
 
 
 def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def frequent(df: DataFrame, key: str, text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(df: DataFrame, text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that FREQUENT prefixes hold, a third more than a prefix counted, and their levels, the binary
     logarithms of how many do: sorted, at most HOT, the lowest levels left out beyond that."""
 
     def deal(batches):
         for batch in batches:
             heads = [s[: prefix_length(len(s)) * 4 // 3 + 2] for s in _sets(batch.column(0))]
-            keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *heads]))
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *heads]), return_counts=True)
             at = np.searchsorted(_buckets(keys, buckets), np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([keys[at[b] : at[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "keys"])
+            cut = [slice(at[b], at[b + 1]) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([keys[c].tobytes() for c in cut], pa.binary()), pa.array([n[c].astype(np.int32).tobytes() for c in cut], pa.binary())], ["bucket", "keys", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        keys, n = np.unique(np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64), return_counts=True)
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+        keys, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back, weights=np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32), minlength=len(keys)).astype(np.int64)
         keys, n = keys[n >= FREQUENT], n[n >= FREQUENT]
         return pa.table({"key": keys.view(np.int64), "n": n})
 
-    counted = stored(df.select(text).mapInArrow(deal, "bucket bigint, keys binary").groupBy("bucket").applyInArrow(count, "key bigint, n bigint"))
+    counted = stored(df.select(text).mapInArrow(deal, "bucket bigint, keys binary, counts binary").groupBy("bucket").applyInArrow(count, "key bigint, n bigint"))
     level = F.floor(F.log2("n")).cast("int")
     least, total = 64, 0
     for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 64 rows
@@ -185,156 +230,89 @@ def frequent(df: DataFrame, key: str, text: str, buckets: int) -> tuple[np.ndarr
     found = counted.where(level >= least).select("key", level.alias("level")).toArrow()  # at most HOT rows
     keys, levels = found["key"].to_numpy().view(np.uint64), found["level"].to_numpy().astype(np.uint8)
     order = np.argsort(keys)
+    dropped(counted)
     return keys[order], levels[order]
 
 
 def prefixes(df: DataFrame, key: str, text: str, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (key, prefix): the packed first shingles of each set, rare ones by hash and then frequent ones by level and hash."""
+    """Rows (id, prefix), one for each class: the packed first shingles, rare ones by hash and then frequent ones by level and hash."""
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         hot, levels = shared.value
         for batch in batches:
-            out = []
-            for s in _sets(batch.column(1)):
-                size = prefix_length(len(s)) if len(s) else 0
-                if len(hot) and len(s):
+            ids, out = [], []
+            for s in _sets(batch.column(0)):
+                if not len(s):
+                    continue
+                ids.append(_digest(s))
+                size = prefix_length(len(s))
+                if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     s = s[np.argsort(np.where(hot[at] == s, levels[at], 0), kind="stable")]
                 out.append(s[:size].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "prefix"])
 
-    return df.select(F.col(key).cast("long").alias("key"), text).where("key is not null").mapInArrow(run, "key bigint, prefix binary")
+    return df.where(F.col(key).isNotNull()).select(text).mapInArrow(run, "id bigint, prefix binary").groupBy("id").agg(F.first("prefix").alias("prefix"))
 
 
-#: Members of the largest tile that is compared together with others of its size; pairs that are compared at once.
-_SMALL, _AT_ONCE = 64, 1 << 21
+def _opened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of packed rows one after another, and the row of each."""
+    lists = [np.frombuffer(p.as_py(), np.uint64) for p in column]
+    return np.concatenate([np.zeros(0, np.uint64), *lists]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
 
 
-def _fitting(a: np.ndarray, b: np.ndarray, comps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which pairs of rows lie in different components and have sizes that allow a link."""
-    return (comps[a] != comps[b]) & (TOP * np.maximum(sizes[a], sizes[b]) <= BOTTOM * np.minimum(sizes[a], sizes[b]))
+def _extremes(shingles: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each shingle its smallest component and, if it has several, its largest: sorted by shingle."""
+    order = np.lexsort((comps, shingles))
+    shingles, comps = shingles[order], comps[order]
+    change = shingles[1:] != shingles[:-1]
+    first, last = np.concatenate([[True], change]), np.concatenate([change, [True]])
+    again = last & ~first  # not alone
+    if len(again):
+        start = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        again &= comps != comps[start]
+    keep = first | again
+    return shingles[keep], comps[keep]
 
 
-def _tile_pairs(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, comps: np.ndarray, sizes: np.ndarray):
-    """Candidate pairs (a, b) of the tiles row[start:end], as arrays: tiles of equal size together, large ones in blocks of members sorted by size."""
-    count = ends - starts
-    for m in np.unique(count[count <= _SMALL]).tolist():
-        own = starts[count == m]
-        i, j = np.triu_indices(m, 1)
-        step = max(1, _AT_ONCE // len(i))
-        for lo in range(0, len(own), step):
-            members = row[own[lo : lo + step, None] + np.arange(m)]
-            a, b = members[:, i].ravel(), members[:, j].ravel()
-            ok = _fitting(a, b, comps, sizes)
-            yield a[ok], b[ok]
-    for start, end in zip(starts[count > _SMALL].tolist(), ends[count > _SMALL].tolist()):
-        members = row[start:end]
-        members = members[np.argsort(sizes[members], kind="stable")]
-        own = sizes[members]
-        last = np.searchsorted(own, own * BOTTOM // TOP, side="right")
-        step = max(1, _AT_ONCE // len(members))
-        for lo in range(0, len(members), step):
-            hi = min(lo + step, len(members))
-            span = np.arange(lo, int(last[hi - 1]))
-            i, j = np.nonzero(span[None, :] > np.arange(lo, hi)[:, None])
-            a, b = members[lo + i], members[span[j]]
-            ok = _fitting(a, b, comps, sizes)
-            yield a[ok], b[ok]
-
-
-def other_links(heads: DataFrame, signs: DataFrame, buckets: int) -> DataFrame:
-    """Step 2: distinct candidate pairs (src, dst) from rows (key, comp, n, prefix) of classes.
-
-    Only the members of tiles where several components meet get their bitmaps; pairs leave a tile once
-    they pass them.
-    """
+def shared_shingles(heads: DataFrame, buckets: int) -> DataFrame:
+    """Rows (shingles), packed: those in prefixes of several components, from rows (id, comp, n, prefix)."""
 
     def deal(batches):
         for batch in batches:
-            lists = [np.frombuffer(p.as_py(), np.uint64) for p in batch.column(3)]
-            counts = np.array([len(x) for x in lists], dtype=np.int64)
-            keys = np.concatenate([np.zeros(0, np.uint64), *lists])
-            row = np.repeat(np.arange(len(lists)), counts)
-            bucket = _buckets(keys, buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys, row, at = keys[order], row[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            fields = [batch.column(k).to_numpy() for k in range(3)]
+            shingles, row = _opened(batch.column(1))
+            if not len(shingles):
+                continue
+            shingles, comps = _extremes(shingles, batch.column(0).to_numpy()[row])
+            order = np.lexsort((comps, bucket := _buckets(shingles, buckets)))
+            shingles, comps, bucket = shingles[order], comps[order], bucket[order]
+            at = np.searchsorted(bucket, np.arange(buckets + 1))
             out = []
             for b in np.flatnonzero(np.diff(at)):
-                own, counts = np.unique(row[at[b] : at[b + 1]], return_counts=True)
-                out.append((b, *(f[own].tobytes() for f in fields), counts.astype(np.int32).tobytes(), keys[at[b] : at[b + 1]].tobytes()))
-            kinds = [pa.int64(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "keys", "comps", "sizes", "counts", "shingles"])
-
-    def gathered(batches):
-        """The arrays of a bucket's rows, and its tiles of several components: places in row, and keys of the rows they hold."""
-        table = pa.Table.from_batches(list(batches))
-
-        def joined(name, kind):
-            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
-
-        counts = joined("counts", np.int32)
-        shingles, row = joined("shingles", np.uint64), np.repeat(np.arange(len(counts)), counts)
-        keys, comps, sizes = joined("keys", np.int64), joined("comps", np.int64), joined("sizes", np.int64)
-        order = np.argsort(shingles)
-        shingles, row = shingles[order], row[order]
-        starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(shingles))
-        least, most = np.minimum.reduceat(comps[row], starts), np.maximum.reduceat(comps[row], starts)
-        return row, starts[least != most], ends[least != most], keys, comps, sizes
-
-    def shared(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The tiles where several components meet, packed, and the keys in them."""
-        row, starts, ends, keys, comps, sizes = gathered(batches)
-        if len(starts):
-            width = ends - starts
-            offsets = np.cumsum(width) - width
-            members = row[np.repeat(starts - offsets, width) + np.arange(width.sum())]
-            own, members = np.unique(members, return_inverse=True)
-            packed = (keys[own], comps[own], sizes[own], members.astype(np.int64), width.astype(np.int64))
-            columns = [key[0].as_py(), *(x.tobytes() for x in packed)]
-            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], ["bucket", "keys", "comps", "sizes", "members", "widths"])
-
-    def opened(batches):
+                own, counts = np.unique(comps[at[b] : at[b + 1]], return_counts=True)
+                out.append((b, own.tobytes(), counts.astype(np.int32).tobytes(), shingles[at[b] : at[b + 1]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), *[pa.binary()] * 3))], ["bucket", "comps", "counts", "shingles"])
+
+    def meet(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batch by batch, so that a shingle waits with two components at most."""
+        shingles, comps = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting = []
+        def joined():
+            return (np.concatenate(x) for x in zip((shingles, comps), *waiting))
         for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = np.frombuffer(packed, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket)), pa.array(keys)], ["bucket", "key"])
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Pairs of the tiles that lie in different components and pass the bounds of sizes and bitmaps."""
-        keys, comps, sizes, row, width = (np.frombuffer(left[c][0].as_py(), np.int64) for c in ("keys", "comps", "sizes", "members", "widths"))
-        theirs = right["key"].to_numpy()
-        order = np.argsort(theirs)
-        bits = right["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)[order[np.searchsorted(theirs, keys, sorter=order)]]
-        ends = np.cumsum(width)
-        rows, found, waiting, size = len(keys), np.zeros(0, np.int64), [], 0
-        for a, b in _tile_pairs(row, ends - width, ends, comps, sizes):
-            waiting.append(np.minimum(a, b) * rows + np.maximum(a, b))
-            size += len(a)
-            if size > _AT_ONCE:
-                found, waiting, size = np.concatenate([found, _bounded(np.setdiff1d(np.concatenate(waiting), found), rows, sizes, bits)]), [], 0
-        codes = np.unique(np.concatenate([found, _bounded(np.unique(np.concatenate([np.zeros(0, np.int64), *waiting])), rows, sizes, bits)]))
-        a, b = keys[codes // rows], keys[codes % rows]
-        return pa.table({"src": np.maximum(a, b), "dst": np.minimum(a, b)})
-
-    dealt = heads.select("key", "comp", "n", "prefix").mapInArrow(deal, "bucket bigint, keys binary, comps binary, sizes binary, counts binary, shingles binary")
-    tiles = stored(dealt.groupBy("bucket").applyInArrow(_iterated(shared), "bucket bigint, keys binary, comps binary, sizes binary, members binary, widths binary"))
-    known = tiles.select("bucket", "keys").mapInArrow(opened, "bucket bigint, key bigint").join(signs.select("key", "bits"), "key")
-    return tiles.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(meet, "src bigint, dst bigint").distinct()
-
-
-def _bounded(codes: np.ndarray, rows: int, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The pairs, as a * rows + b, whose bitmaps don't rule a link out."""
-    out = [np.zeros(0, np.int64)]
-    for lo in range(0, len(codes), 1 << 17):
-        some = codes[lo : lo + (1 << 17)]
-        a, b = some // rows, some % rows
-        differing = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        both = sizes[a] + sizes[b]
-        out.append(some[(BOTTOM + TOP) * (both - differing) >= 2 * TOP * both])
-    return np.concatenate(out)
+            for c, n, s in zip(*(batch.column(k).to_pylist() for k in ("comps", "counts", "shingles"))):
+                waiting.append((np.frombuffer(s, np.uint64), np.repeat(np.frombuffer(c, np.int64), np.frombuffer(n, np.int32))))
+            if sum(len(s) for s, _ in waiting) > max(1 << 19, len(shingles)):
+                shingles, comps = _extremes(*joined())
+                waiting = []
+        shingles, comps = _extremes(*joined())
+        some = np.unique(shingles[1:][shingles[1:] == shingles[:-1]])
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([some.tobytes()])], ["shingles"])
+
+    dealt = heads.select("comp", "prefix").mapInArrow(deal, "bucket bigint, comps binary, counts binary, shingles binary")
+    return dealt.groupBy("bucket").applyInArrow(_iterated(meet), "shingles binary")
 
 
 def _iterated(function):
@@ -343,27 +321,198 @@ def _iterated(function):
     return function
 
 
+def memberships(heads: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows (h, id, comp, n, band): the shared shingles of each class's prefix."""
+    listed = shared.select((F.octet_length("shingles") / 8).cast("long").alias("c")).agg(F.sum("c")).first()[0] or 0
+    if listed <= LISTED:
+        found = shared.toArrow()["shingles"].to_pylist()
+        known = heads.sparkSession.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(found), np.uint64)))
+    else:
+        known = None
+
+    def run(batches):
+        for batch in batches:
+            shingles, row = _opened(batch.column(3))
+            if known is not None:
+                at = np.minimum(np.searchsorted(known.value, shingles), max(len(known.value) - 1, 0))
+                some = known.value[at] == shingles if len(known.value) else np.zeros(len(shingles), dtype=bool)
+                shingles, row = shingles[some], row[some]
+            ids, comps, n = (batch.column(k).to_numpy()[row] for k in range(3))
+            for lo in range(0, max(len(row), 1), 1 << 20):
+                part = slice(lo, lo + (1 << 20))
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (shingles.view(np.int64), ids, comps, n, band_of(n).astype(np.int32))], ["h", "id", "comp", "n", "band"])
+
+    rows = heads.select("id", "comp", "n", "prefix").mapInArrow(run, "h bigint, id bigint, comp bigint, n bigint, band int")
+    if known is not None:
+        return rows
+
+    def opened(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_opened(batch.column(0))[0].view(np.int64))], ["h"])
+
+    return rows.join(shared.mapInArrow(opened, "h bigint"), "h")
+
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """Rows (task, side, same, own, id, comp, n): the members of each pair of blocks of each tile where several components meet."""
+    of = rows.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    rows = rows.join(of.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
+    both = rows.withColumn("own", F.lit(True)).union(rows.withColumns({"band": F.col("band") - 1, "own": F.lit(False)}))
+    blocks = F.ceil(F.greatest(F.count("*") / MOST, F.sum("n") / WEIGHT)).cast("int")
+    met = both.groupBy("h", "band").agg(F.count_if("own").alias("owned"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("g"))
+    placed = both.join(met.where("owned > 0 and lo < hi").select("h", "band", "g"), ["h", "band"])
+    placed = placed.withColumn("x", F.pmod(F.xxhash64("id", F.lit(2)), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    i, j = F.least("x", "j"), F.greatest("x", "j")
+    return placed.select(F.xxhash64("h", "band", i, j).alias("task"), (F.col("x") != i).alias("side"), (i == j).alias("same"), "own", "id", "comp", "n")
+
+
+#: Members of the largest task that is compared together with others of its size; pairs that are compared at once.
+_SMALL, _AT_ONCE = 64, 1 << 20
+
+
+def _pairs(task: np.ndarray, side: np.ndarray, same: np.ndarray, own: np.ndarray, comp: np.ndarray, n: np.ndarray):
+    """Candidate pairs (a, b) of rows sorted by task, as arrays: those of tasks of equal size together, those of large ones in blocks."""
+
+    def fitting(a, b):
+        ok = (comp[a] != comp[b]) & (own[a] | own[b]) & (same[a] | (side[a] != side[b]))
+        a, b = a[ok], b[ok]
+        ok = TOP * np.maximum(n[a], n[b]) <= BOTTOM * np.minimum(n[a], n[b])
+        return a[ok], b[ok]
+
+    starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if len(task) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(task))
+    count = ends - starts
+    for m in np.unique(count[count <= _SMALL]).tolist():
+        at = starts[count == m]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, _AT_ONCE // max(len(i), 1))
+        for lo in range(0, len(at), step):
+            own_at = at[lo : lo + step, None]
+            yield fitting((own_at + i).ravel(), (own_at + j).ravel())
+    for start, end in zip(starts[count > _SMALL].tolist(), ends[count > _SMALL].tolist()):
+        members = np.arange(start, end)
+        names, back, size = np.unique(comp[start:end], return_inverse=True, return_counts=True)
+        main = back == np.argmax(size)  # the members of the largest component don't meet each other
+        few, rest = members[~main], members[main]
+        step = max(1, _AT_ONCE // max(len(members), 1))
+        for lo in range(0, len(few), step):
+            some = few[lo : lo + step]
+            yield fitting(np.repeat(some, len(rest)), np.tile(rest, len(some)))
+            left = few[lo:]
+            a, b = np.repeat(some, len(left)), np.tile(left, len(some))
+            yield fitting(a[a < b], b[a < b])
+
+
+def _passing(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """Which pairs aren't ruled out by their bitmaps."""
+    size = np.array([len(x) for x in bits], dtype=np.int64)
+    least = np.minimum(size[a], size[b])
+    ok = np.zeros(len(a), dtype=bool)
+    for words in np.unique(least).tolist():
+        at = np.flatnonzero(least == words)
+        used, back = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        step = max(1, (1 << 21) // words)
+        rows = np.empty((len(used), words), dtype=np.uint64)
+        for k, u in enumerate(used.tolist()):
+            rows[k] = folded(bits[u], words)
+        left, right = back[: len(at)], back[len(at) :]
+        for lo in range(0, len(at), step):
+            x, y = left[lo : lo + step], right[lo : lo + step]
+            differing = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64)
+            both = n[used[x]] + n[used[y]]
+            ok[at[lo : lo + step]] = (BOTTOM + TOP) * (both - differing) >= 2 * TOP * both
+    return ok
+
+
+_MEMBER = "task bigint, side boolean, same boolean, own boolean, id bigint, comp bigint, n bigint"
+_FIELDS = [c.split()[0] for c in _MEMBER.split(", ")]
+
+
+def _members(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    table = table.take(pa.array(np.argsort(table["task"].to_numpy(), kind="stable"))).combine_chunks()
+    return table, [table[c].to_numpy() for c in ("task", "side", "same", "own", "comp", "n")]
+
+
+def surviving(table: pa.Table) -> pa.Table:
+    """The members (task, ..., n, bits) of pairs that their bitmaps don't rule out, without the bitmaps."""
+    table, fields = _members(table)
+    lists = table["bits"].combine_chunks() if isinstance(table["bits"], pa.ChunkedArray) else table["bits"]
+    flat, offsets = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    bits = [flat[offsets[k] : offsets[k + 1]] for k in range(len(table))]
+    keep = np.zeros(len(table), dtype=bool)
+    for a, b in _pairs(*fields):
+        if len(a):
+            ok = _passing(a, b, fields[-1], bits)
+            keep[a[ok]] = keep[b[ok]] = True
+    return table.select(_FIELDS).filter(pa.array(keep))
+
+
+def edges_of(table: pa.Table) -> pa.Table:
+    """The edges (src, dst) that connect the members (task, ..., n, set) by links: no more than members."""
+    table, fields = _members(table)
+    sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+    bits, ids = [bitmap(s) for s in sets], table["id"].to_numpy()
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    out, task, comp = [], fields[0], fields[4]
+    for a, b in _pairs(*fields):
+        ok = _passing(a, b, fields[-1], bits) if len(a) else np.zeros(0, dtype=bool)
+        for x, y in zip(a[ok].tolist(), b[ok].tolist()):
+            p, q = root((int(task[x]), int(comp[x]))), root((int(task[y]), int(comp[y])))
+            if p != q and linked(sets[x], sets[y]):
+                up[p] = q
+                out.append((int(ids[x]), int(ids[y])))
+    return pa.table({"src": pa.array([x for x, _ in out], pa.int64()), "dst": pa.array([y for _, y in out], pa.int64())})
+
+
+def _dealt(rows: DataFrame, each: int) -> DataFrame:
+    """Rows with a column bucket: whole tasks, as many together as hold about so many shingles or 1 / 64 as many members."""
+    w, m = rows.agg(F.sum("n"), F.count("*")).first()
+    return rows.withColumn("bucket", F.pmod("task", F.lit(int(max(12, (w or 0) // each, m // (each // 64))))))
+
+
+def other_links(df: DataFrame, key: str, text: str, heads: DataFrame, ones: DataFrame, buckets: int) -> DataFrame:
+    """Step 2: edges (src, dst) that connect components wherever a link does, from rows (id, comp, n, prefix)."""
+    shared = stored(shared_shingles(heads, buckets))
+    members = stored(memberships(heads, shared))
+    placed = stored(tiles(members))
+    kept = stored(_dealt(placed, 1 << 22).join(ones.select("id", "bits"), "id").groupBy("bucket").applyInArrow(surviving, _MEMBER))
+    wanted = ones.select("id", "key").join(kept.select("id").distinct(), "id", "left_semi")
+    found = stored(_dealt(kept, 1 << 21).join(_packed(df, key, text, wanted), "id").groupBy("bucket").applyInArrow(edges_of, "src bigint, dst bigint"))
+    for x in (shared, members, placed, kept):
+        dropped(x)
+    return found
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_shingles, component_id), one for each row of df.
 
-    component_id is the smallest key that links reach, the row's own included. Rows without words or
-    text have n_shingles 0 and link with nothing. Rows that repeat a key should repeat its text: if
-    they don't, each row has its own set, compared wherever its key is. A null key is no component's name and carries over what its text links to, or null.
+    component_id is the smallest key that links reach, the row's own included; keys are of any type
+    that has an order. Rows without words or text have n_shingles 0 and link with nothing. Each row has
+    its own set: rows that repeat a key with other texts are in several components, and name each of
+    them. A null key is no component's name and carries over what its text links to, or null.
     """
     signs = stored(signed(df, key, text))
-    classes = stored(signs.where("n > 0 and key is not null").groupBy("d1", "d2").agg(F.min("key").alias("class")))
-    ones = stored(signs.where("n > 0").join(classes, ["d1", "d2"]).where("key = class").select("key", "n", "minima", "bits").dropDuplicates(["key", "n"]))
-    edges = stored(verified(df, key, text, near_copies(ones), ones))
+    ones = stored(signs.where("n > 0 and key is not null").groupBy("id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bits").alias("bits")))
+    edges = verified(df, key, text, near_copies(ones), ones)
     first = stored(components(edges))
     total = ones.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(12, total // 1_000_000))
-    hot = frequent(df, key, text, buckets)
-    heads = prefixes(df, key, text, hot).join(ones.select("key", "n"), "key").join(first.withColumnRenamed("node", "key"), "key", "left")
-    heads = heads.select("key", F.coalesce("component", "key").alias("comp"), "n", "prefix")
-    more = stored(verified(df, key, text, stored(other_links(heads, ones, buckets)), ones))
-    found = components(edges.union(more))
-    out = signs.select("key", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(found.withColumnRenamed("node", "class"), "class", "left")
-    return out.select(F.col("key").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class")).otherwise(F.col("key")).cast(df.schema[key].dataType).alias("component_id"))
+    heads = prefixes(df, key, text, frequent(df, text, buckets)).join(ones.select("id", "n"), "id").join(first.toDF("id", "comp"), "id", "left")
+    heads = stored(heads.select("id", F.coalesce("comp", "id").alias("comp"), "n", "prefix"))
+    more = other_links(df, key, text, heads, ones, buckets)
+    found = stored(components(edges.union(more)))
+    named = ones.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
+    least = named.join(named.groupBy("comp").agg(F.min("key").alias("least")), "comp").select("id", "least")
+    for x in (edges, first, heads, more):
+        dropped(x)
+    out = signs.select("key", "n", "id").join(least, "id", "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
