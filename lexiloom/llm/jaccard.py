@@ -18,8 +18,9 @@ the set. The rest goes in two steps:
 Candidates are pruned by size, then by bitmaps: each element flips one bit of a bitmap that has at
 least BITS_EACH bits for each, so that bits that differ are no more than the elements outside the
 intersection: |A and B| <= (|A| + |B| - popcount(b_A xor b_B)) / 2. A larger bitmap is folded to the smaller's
-size. Members of pairs that pass get their sorted arrays, whose intersection decides; a tile gives at
-most as many edges as it has members, since pairs that are already connected are skipped.
+size. A pair that passes counts in the largest of its tiles only. Members of such pairs get their
+sorted arrays, whose intersection decides; a tile gives at most as many edges as it has members, since
+pairs that are already connected are skipped.
 
 Nothing is gathered that grows with a group. A tile of more than MOST members or WEIGHT shingles is
 dealt out as pairs of blocks. A batch sends at most two components for a shingle to the search for
@@ -353,17 +354,23 @@ def memberships(heads: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.join(shared.mapInArrow(opened, "h bigint"), "h")
 
 
-def tiles(rows: DataFrame) -> DataFrame:
-    """Rows (task, side, same, own, id, comp, n): the members of each pair of blocks of each tile where several components meet."""
+def distinct_tiles(rows: DataFrame) -> DataFrame:
+    """Of rows (h, id, ...) those of one shingle for each set of members, with a column code: larger for tiles with more members."""
     of = rows.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    rows = rows.join(of.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
+    one = of.groupBy("m", "x", "y").agg(F.min("h").alias("h"))
+    code = F.shiftleft(F.least("m", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftrightunsigned("h", 21))
+    return rows.join(one.select("h", code.alias("code")), "h")
+
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """Rows (task, side, same, own, id, comp, n, code): the members of each pair of blocks of each tile where several components meet."""
     both = rows.withColumn("own", F.lit(True)).union(rows.withColumns({"band": F.col("band") - 1, "own": F.lit(False)}))
     blocks = F.ceil(F.greatest(F.count("*") / MOST, F.sum("n") / WEIGHT)).cast("int")
     met = both.groupBy("h", "band").agg(F.count_if("own").alias("owned"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("g"))
     placed = both.join(met.where("owned > 0 and lo < hi").select("h", "band", "g"), ["h", "band"])
     placed = placed.withColumn("x", F.pmod(F.xxhash64("id", F.lit(2)), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     i, j = F.least("x", "j"), F.greatest("x", "j")
-    return placed.select(F.xxhash64("h", "band", i, j).alias("task"), (F.col("x") != i).alias("side"), (i == j).alias("same"), "own", "id", "comp", "n")
+    return placed.select(F.xxhash64("h", "band", i, j).alias("task"), (F.col("x") != i).alias("side"), (i == j).alias("same"), "own", "id", "comp", "n", "code")
 
 
 #: Members of the largest task that is compared together with others of its size; pairs that are compared at once.
@@ -424,6 +431,27 @@ def _passing(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[np.ndarray]
     return ok
 
 
+def _counting_here(a: np.ndarray, b: np.ndarray, task: np.ndarray, code: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
+    """Which pairs have no larger tile in common than that of their task; codes: the sorted tiles of each row."""
+    order = np.argsort(task[a], kind="stable")
+    own = task[a][order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    ok = np.ones(len(a), dtype=bool)
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+        at = order[start:end]
+        used, back = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        larger = [codes[u][np.searchsorted(codes[u], code[u], side="right") :] for u in used.tolist()]
+        names, place = np.unique(np.concatenate(larger), return_inverse=True)
+        holds = np.zeros((len(used), -(-max(len(names), 1) // 64) * 64), dtype=bool)
+        holds[np.repeat(np.arange(len(used)), [len(x) for x in larger]), place] = True
+        holds = np.packbits(holds, axis=1).view(np.uint64)
+        step = max(1, (1 << 20) // holds.shape[1])
+        for lo in range(0, len(at), step):
+            x, y = back[: len(at)][lo : lo + step], back[len(at) :][lo : lo + step]
+            ok[at[lo : lo + step]] = ~(holds[x] & holds[y]).any(axis=1)
+    return ok
+
+
 _MEMBER = "task bigint, side boolean, same boolean, own boolean, id bigint, comp bigint, n bigint"
 _FIELDS = [c.split()[0] for c in _MEMBER.split(", ")]
 
@@ -433,16 +461,23 @@ def _members(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
     return table, [table[c].to_numpy() for c in ("task", "side", "same", "own", "comp", "n")]
 
 
+def _lists(column) -> list[np.ndarray]:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return [flat[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def surviving(table: pa.Table) -> pa.Table:
-    """The members (task, ..., n, bits) of pairs that their bitmaps don't rule out, without the bitmaps."""
+    """The members (task, ..., n, code, bits, codes) of pairs that count in their task and that their bitmaps don't rule out; without code and lists."""
     table, fields = _members(table)
-    lists = table["bits"].combine_chunks() if isinstance(table["bits"], pa.ChunkedArray) else table["bits"]
-    flat, offsets = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    bits = [flat[offsets[k] : offsets[k + 1]] for k in range(len(table))]
+    bits, codes, code = [x.view(np.uint64) for x in _lists(table["bits"])], _lists(table["codes"]), table["code"].to_numpy()
     keep = np.zeros(len(table), dtype=bool)
     for a, b in _pairs(*fields):
         if len(a):
             ok = _passing(a, b, fields[-1], bits)
+            a, b = a[ok], b[ok]
+        if len(a):
+            ok = _counting_here(a, b, fields[0], code, codes)
             keep[a[ok]] = keep[b[ok]] = True
     return table.select(_FIELDS).filter(pa.array(keep))
 
@@ -479,9 +514,10 @@ def _dealt(rows: DataFrame, each: int) -> DataFrame:
 def other_links(df: DataFrame, key: str, text: str, heads: DataFrame, ones: DataFrame, buckets: int) -> DataFrame:
     """Step 2: edges (src, dst) that connect components wherever a link does, from rows (id, comp, n, prefix)."""
     shared = stored(shared_shingles(heads, buckets))
-    members = stored(memberships(heads, shared))
+    members = stored(distinct_tiles(stored(memberships(heads, shared))))
     placed = stored(tiles(members))
-    kept = stored(_dealt(placed, 1 << 22).join(ones.select("id", "bits"), "id").groupBy("bucket").applyInArrow(surviving, _MEMBER))
+    known = ones.select("id", "bits").join(members.groupBy("id").agg(F.sort_array(F.collect_list("code")).alias("codes")), "id")  # as many as its prefix has
+    kept = stored(_dealt(placed, 1 << 22).join(known, "id").groupBy("bucket").applyInArrow(surviving, _MEMBER))
     wanted = ones.select("id", "key").join(kept.select("id").distinct(), "id", "left_semi")
     found = stored(_dealt(kept, 1 << 21).join(_packed(df, key, text, wanted), "id").groupBy("bucket").applyInArrow(edges_of, "src bigint, dst bigint"))
     for x in (shared, members, placed, kept):
