@@ -1,394 +1,484 @@
 """Operator 10: language-model scoring by a probabilistic suffix tree.
 
-Symbols are the bytes of lower-cased words, with a space before and after each; the end of a text is
-the empty word. A state of the tree is a context of up to DEPTH symbols. It is retained if it occurs
-at least OCCURRENCES times in the training words, however many there are, and its next-symbol
-distribution diverges from that of its parent (the context without its oldest symbol) by more than a
-description-length penalty; its suffixes are then retained too. A state's distribution is smoothed by its parent's, down to the root. A
-symbol is scored by the longest retained suffix of what stands before it in its word. A word's
-probability is its share of the training tokens, smoothed by the tree's probability of its spelling with
-the weight of all words seen once, so that the probabilities of all words sum to 1.
-
-This replaces scoring by the suffix of the whole preceding text: contexts begin anew at each word and
-are learned from different words, each counted once, so a score doesn't depend on the order of words.
-
-Every word of every text is counted: by hash buckets, as packed arrays, so that one row moves a whole
-batch's share of a bucket. The table of frequent words is bounded by construction, 1 / LEAST; the tree
-grows with the different words of the training texts. Tasks get both in full. All other words meet
-their counts by a shuffle of their hashes.
+Symbols are words, lower-cased, and the end of a text. A state of the tree is a context of up to DEPTH
+words that stand before a symbol, wherever lines or sentences end. A state lists the symbols that
+follow it at least OCCURRENCES times in training, c of its N times, with the probability (c - DISCOUNT) / N; what is
+left of 1, its ``rest``, is spread over all symbols as its parent does: the longest shorter suffix that is
+in the tree, in the end the root. A context is retained if its list diverges from its parent's
+distribution: the log-likelihood that it gains over its training occurrences must exceed half a
+logarithm of N for each listed symbol. Each token is scored by the longest retained suffix of what stands before it.
+The root gives a word its share of the training tokens, smoothed by its spelling with the weight of all words seen
+once; spelling is a Markov model of two bytes of context. All probabilities of a state sum to 1.
+
+The tree is never gathered: it stays dealt by context hash, in buckets. Texts are cut into batches of words once;
+level by level, a batch sends its distinct (context, symbol) pairs with their counts and their
+probabilities by the levels above to the contexts' buckets, packed as one row a (batch, bucket), and gets back the
+counts and the rests of retained contexts, one row again. A context that occurs once gets no deeper ones,
+and symbols that are rare after a shorter context already are sent as one. So what is counted grows
+with the corpus, and levels get smaller.
+
+Contexts of more than HOT occurrences (or 1 / 2 ** SHARE of all tokens, if that is more) are dealt to
+several buckets by symbol, and only their sums, at most 2 ** SHARE rows, are shipped to all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import stored
-
-#: Symbols of the longest context (at most 7: a context and a symbol are one 64-bit number).
-DEPTH = 7
-#: Least occurrences of a context.
-OCCURRENCES = 4
-#: Least share of a word among all tokens to be sent to every task.
-LEAST = 2e-6
-#: Weight of the parent's distribution, in occurrences.
+from .common import dropped, stored
+
+#: Words of the longest context.
+DEPTH = 3
+#: Least occurrences of a symbol after a context to be listed, and what is taken off each.
+OCCURRENCES, DISCOUNT = 2, 0.5
+#: Occurrences of a context that one bucket takes; if more, logarithm of the share of all tokens that one takes.
+HOT, SHARE = 1 << 20, 18
+#: Tokens of a batch (or one longer text), and pairs of a bucket, about.
+BATCH, BUCKET = 1_000_000, 1_000_000
+#: Weight of the shorter context in the spelling model.
 PARENT = 2.0
 #: Documents whose crc32(key) mod FOLDS is HELD are not learned from.
 FOLDS, HELD = 7, 2
 #: The separator: before a word as context, after it as a symbol; no word contains it.
 SPACE = 0x20
+#: Steps of a power of two in which probabilities are sent.
+_STEPS = 512
+_END, _ONE, _TWO = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, compressed: the bytes of like place together."""
+    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    return head + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, np.int64, len(kinds), 8)
+    at = [0, *np.cumsum([n * np.dtype(k).itemsize for n, k in zip(sizes.tolist(), kinds)]).tolist()]
+    body = np.frombuffer(pa.decompress(data[8 * (len(kinds) + 1) :], at[-1], "zstd", asbytes=True) if at[-1] else b"", np.uint8)
+    return [np.ascontiguousarray(body[i:j].reshape(np.dtype(k).itemsize, -1).T).reshape(-1).view(k) for i, j, k in zip(at[:-1], at[1:], kinds)]
 
 
+# Spelling
+
 def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lower-cased bytes of some words one after another, and their offsets."""
     sizes = ends - starts
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
-    raw = data[at]
+    raw = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
     return np.where((raw >= 0x41) & (raw <= 0x5A), raw + 32, raw).astype(np.uint8), offsets
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
+def _triples(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three bytes for each symbol of the words' spelling, two before it and itself, and the word of each; words end with SPACE."""
+    begin = np.concatenate([[0], np.cumsum(sizes + 3)])
+    text = np.full(begin[-1], SPACE, dtype=np.uint8)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(spelled)) + 3 * word + 2
+    text[at] = spelled
+    symbol = np.ones(len(text), dtype=bool)
+    symbol[begin[:-1]] = symbol[begin[:-1] + 1] = False
+    at = np.flatnonzero(symbol)
+    return np.stack([text[at - 2], text[at - 1], text[at]]), np.repeat(np.arange(len(sizes)), sizes + 1)
+
+
+class Spelling:
+    """log10 probabilities of the bytes of words by the two before them; bytes that no training word has share one symbol."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        bytes_ = np.stack([keys >> 16, keys >> 8 & 255, keys & 255]).astype(np.int64)
+        known = np.unique(np.append(bytes_, SPACE))
+        self.code = np.zeros(256, np.int64)
+        self.code[known] = np.arange(1, len(known) + 1)
+        n = len(known) + 1
+        table = np.zeros((n, n, n))
+        np.add.at(table, tuple(self.code[bytes_]), counts)
+        p = np.full(n, 1.0 / n)
+        for axes in ((0, 1), (0,), ()):  # smoothed by shorter contexts
+            c = table.sum(axis=axes)
+            p = (c + PARENT * p) / (c.sum(axis=-1, keepdims=True) + PARENT)
+        self.logs = np.log10(p)
+        self.logs[..., 0] -= np.log10(256)
+        self.logs = self.logs.astype(np.float32)
+
+    def words(self, spelled: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probabilities of words, at least -300."""
+        out = np.zeros(len(sizes))
+        ends = np.cumsum(sizes)
+        for lo in range(0, len(sizes), 50_000):
+            hi = min(lo + 50_000, len(sizes))
+            triples, word = _triples(spelled[ends[lo] - sizes[lo] : ends[hi - 1]], sizes[lo:hi])
+            out[lo:hi] = np.bincount(word, weights=self.logs[tuple(self.code[triples])], minlength=hi - lo)
+        return np.maximum(out, -300.0)
+
+
+def _counted(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct triples of some words, and how many times each stands there."""
+    t, _ = _triples(spelled, sizes)
+    return np.unique(t[0].astype(np.int32) << 16 | t[1].astype(np.int32) << 8 | t[2], return_counts=True)
+
+
+# Batches
+
+_BATCH = "batch bigint, train binary, docs binary, tokens binary, types binary, spelled binary, triples binary"
+_NAMES = [c.split()[0] for c in _BATCH.split(", ")]
+
+
+def batches_of(df: DataFrame, kind: str) -> DataFrame:
+    """Rows (batch, keys, ...) of about BATCH tokens from rows (key, text, train).
+
+    train: a flag for each text; docs: their numbers of words; tokens: numbers of words in types, the sorted
+    hashes of the batch's different words; spelled: their bytes and sizes; triples: what the spelling model counts,
+    each word of a training text once.
+    """
 
-def word_types(df: DataFrame, text: str, train: str, buckets: int) -> DataFrame:
-    """Rows (bucket, hashes, counts, sizes, data): all distinct words, packed, with their numbers of tokens in the rows marked train."""
+    def row(number, waiting):
+        keys = pa.concat_arrays([w[0] for w in waiting])
+        train, docs, hashes, data, sizes = (np.concatenate([w[k] for w in waiting]) for k in range(1, 6))
+        types, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
+        ends = np.cumsum(sizes)
+        spelled, offsets = _spelled(data, (ends - sizes)[first], ends[first])
+        learned = np.bincount(tokens, weights=np.repeat(train, docs), minlength=len(types)) > 0
+        some, places = _spelled(spelled, offsets[:-1][learned], offsets[1:][learned])
+        triples = _counted(some, np.diff(places))
+        values = [(TaskContext.get().partitionId() << 32) + number, train.tobytes(), packed(docs), packed(tokens.astype(np.int32)), packed(types), packed(spelled, np.diff(offsets).astype(np.int32)), packed(triples[0].astype(np.int32), triples[1].astype(np.int64))]
+        lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        return pa.RecordBatch.from_arrays([*(pa.array([v]) for v in values), lists], [*_NAMES, "keys"])
 
-    def deal(batches):
+    def run(batches):
+        number, waiting, size = 0, [], 0
         for batch in batches:
-            data, offsets = kernel.flat(batch.column(0))
-            learned = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, at, hashes, starts, ends in kernel.words(batch.column(0), places=True):
-                weight = np.repeat(learned[row : row + len(at) - 1], np.diff(at))
-                base = np.repeat(offsets[row : row + len(at) - 1], np.diff(at))
-                unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-                counts = np.bincount(back, weights=weight, minlength=len(unique)).astype(np.int64)
-                spelled, places = _spelled(data, (starts + base)[first], (ends + base)[first])
-                yield _packed(unique, counts, spelled, places, buckets)
-
-    def merge(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, spelled, offsets = _unpacked(list(batches))
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.bincount(back, weights=counts, minlength=len(unique)).astype(np.int64)
-        spelled, offsets = _spelled(spelled, offsets[first], offsets[first + 1])
-        out = _packed(unique, counts, spelled, offsets, 1)
-        yield out.set_column(0, "bucket", pa.array([key[0].as_py()] * len(out), pa.int64()))
-
-    return df.select(text, train).mapInArrow(deal, _TYPES).groupBy("bucket").applyInArrow(_streams(merge), _TYPES)
-
-
-_TYPES = "bucket bigint, hashes binary, counts binary, sizes binary, data binary"
-
-
-def _streams(function):
-    """The function with the annotations by which applyInArrow knows that it streams batches."""
-    function.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return function
-
-
-def _packed(hashes, counts, spelled, offsets, buckets) -> pa.RecordBatch:
-    """Words in the order of their hashes as one row a bucket."""
-    at = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-    rows = [(b, hashes[i:j].tobytes(), counts[i:j].tobytes(), np.diff(offsets[i : j + 1]).astype(np.int32).tobytes(), spelled[offsets[i] : offsets[j]].tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
-    kinds = (pa.int64(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "hashes", "counts", "sizes", "data"])
-
-
-def _unpacked(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts, bytes and offsets of the words of packed rows."""
-    read = lambda name, kind: np.frombuffer(b"".join(x for b in batches for x in b.column(name).to_pylist()), kind)
-    offsets = np.concatenate([[0], np.cumsum(read("sizes", np.int32), dtype=np.int64)])
-    return read("hashes", np.uint64), read("counts", np.int64), read("data", np.uint8), offsets
-
-
-def _symbols(spelled: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols to predict: numbers of up to 8 bytes that end with each, its place in its word, and its word."""
-    sizes = np.diff(offsets) + 2
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    text = np.full(begin[-1], SPACE, dtype=np.uint64)
-    inner = np.ones(begin[-1], dtype=bool)
-    inner[begin[:-1]] = inner[begin[1:] - 1] = False
-    text[inner] = spelled
-    place = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
-    windows = np.zeros(len(text), dtype=np.uint64)
-    for k in range(min(DEPTH + 1, len(text))):
-        windows[k:] |= text[: len(text) - k] << np.uint64(8 * k)
-    some = place > 0
-    return windows[some], place[some], np.repeat(np.arange(len(sizes)), sizes)[some]
-
-
-def _low(windows: np.ndarray, symbols: int) -> np.ndarray:
-    return windows & np.uint64((1 << 8 * symbols) - 1)
-
-
-class Tree:
-    """Retained states: for each depth, contexts with their counts, and seen (context, symbol) numbers with log10 probabilities."""
-
-    def __init__(self):
-        self.contexts: list[np.ndarray] = []
-        self.missing: list[np.ndarray] = []  # log10 of the weight of the parent
-        self.seen: list[np.ndarray] = []
-        self.logs: list[np.ndarray] = []
-        self.floor = 0.0
-
-    def add(self, contexts, counts, seen, seen_counts, total: float | None = None) -> None:
-        """One more depth, sorted; each (context, symbol) with its count. The root's has total occurrences of symbols."""
-        d = len(self.contexts)
-        if d == 0:
-            self.floor = -np.log10(total + 256)
-            self.contexts.append(np.zeros(1, np.uint64))
-            self.missing.append(np.zeros(1))
-            logs = np.log10(seen_counts + 1) + self.floor
-        else:
-            n = counts[np.searchsorted(contexts, seen >> np.uint64(8))]
-            parent = self.log_of(seen, np.full(len(seen), d - 1))
-            self.contexts.append(contexts)
-            self.missing.append(np.log10(PARENT) - np.log10(counts + PARENT))
-            logs = np.log10(seen_counts + PARENT * 10.0**parent) - np.log10(n + PARENT)
-        self.seen.append(seen)
-        self.logs.append(logs)
-
-    def log_of(self, windows: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """log10 probabilities of symbols by their longest retained contexts of at most so many symbols."""
-        out, open_ = np.zeros(len(windows)), np.ones(len(windows), dtype=bool)
-        for d in range(min(len(self.contexts), DEPTH + 1) - 1, -1, -1):
-            at = np.flatnonzero(open_ & (most >= d))
-            contexts = _low(windows[at] >> np.uint64(8), d) if d else np.zeros(len(at), np.uint64)
-            if not len(self.contexts[d]):
-                continue
-            state = np.minimum(np.searchsorted(self.contexts[d], contexts), len(self.contexts[d]) - 1)
-            inside = self.contexts[d][state] == contexts
-            at, state = at[inside], state[inside]
-            keys = _low(windows[at], d + 1)
-            pair = np.minimum(np.searchsorted(self.seen[d], keys), max(len(self.seen[d]) - 1, 0))
-            known = self.seen[d][pair] == keys if len(self.seen[d]) else np.zeros(len(at), dtype=bool)
-            out[at[known]] += self.logs[d][pair[known]]
-            open_[at[known]] = False
-            out[at[~known]] += self.missing[d][state[~known]] if d else self.floor
+            data, offsets = kernel.flat(batch.column(1))
+            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for at_row, at, hashes, starts, ends in kernel.words(batch.column(1), places=True):
+                n = len(at) - 1
+                base = np.repeat(offsets[at_row : at_row + n], np.diff(at))
+                # a piece's different words alone keep their bytes
+                _, first = np.unique(hashes, return_index=True)
+                keep = np.zeros(len(hashes), dtype=bool)
+                keep[first] = True
+                spelled, _ = _spelled(data, (starts + base)[keep], (ends + base)[keep])
+                sizes = np.where(keep, ends - starts, 0).astype(np.int64)
+                waiting.append((batch.column(0).slice(at_row, n), flags[at_row : at_row + n], np.diff(at).astype(np.int64), hashes, spelled, sizes))
+                size += len(hashes) + n
+                if size >= BATCH:
+                    yield row(number, waiting)
+                    number, waiting, size = number + 1, [], 0
+        if waiting:
+            yield row(number, waiting)
+
+    return df.select("key", "text", "train").mapInArrow(run, f"{_BATCH}, keys array<{kind}>")
+
+
+# Levels
+
+class Level:
+    """The distinct (context, symbol) pairs of a batch at one depth, in the order in which they are dealt."""
+
+    def __init__(self, contexts, context, symbol, hashes, counts, n, q, buckets, limit):
+        """contexts: their hashes; of each pair: context (a number in contexts), symbol hash, training count, occurrences n of the context, sent probability."""
+        share = np.where(n > limit, 1 + n // limit, 1).astype(np.uint64)
+        part = kernel.mix(hashes * _TWO) % share
+        spread = kernel.mix(contexts[context] + part * _ONE)
+        bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.at = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.fields = contexts, context[self.order], symbol[self.order], counts[self.order], n[self.order], q[self.order]
+
+    def runs(self, i: int, j: int) -> np.ndarray:
+        own = self.fields[1][i:j]
+        return np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+
+    def rows(self):
+        """(bucket, packed pairs) of the buckets that get any."""
+        contexts, context, symbol, counts, n, q = self.fields
+        for b in np.flatnonzero(np.diff(self.at)).tolist():
+            i, j = self.at[b], self.at[b + 1]
+            runs = self.runs(i, j)
+            yield b, packed(contexts[context[i:j][runs]], np.diff(np.append(runs, j - i)).astype(np.int32), n[i:j][runs].astype(np.int64), symbol[i:j], counts[i:j].astype(np.int32), q[i:j])
+
+    def answered(self, replies: dict[int, bytes], sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair, in the order before dealing, its count, and the rest of its context, -1 if that is not retained."""
+        contexts, context = self.fields[:2]
+        counts, rest = np.zeros(len(self.order), np.int64), np.full(len(self.order), -1.0)
+        for b in np.flatnonzero(np.diff(self.at)).tolist():
+            i, j = self.at[b], self.at[b + 1]
+            runs = self.runs(i, j)
+            c, r = unpacked(replies[b], np.int64, np.float32)
+            hot = np.flatnonzero(r < -1.5)
+            if len(hot):  # contexts in several buckets
+                at = np.searchsorted(sums[0], contexts[context[i:j][runs[hot]]])
+                r = r.copy()
+                r[hot] = sums[1][at]
+            counts[self.order[i:j]] = c
+            rest[self.order[i:j]] = np.repeat(r, np.diff(np.append(runs, j - i)))
+        return counts, rest
+
+
+def retained(n, c, discounted, symbols, gain):
+    """The rest of contexts from sums over their listed symbols, -1 if they don't diverge: n occurrences, c of listed symbols,
+    their discounted sum, their number, and the gain in nats of their probabilities over the parent's."""
+    rest = 1 - discounted / np.maximum(n, 1)
+    total = gain + (n - c) * np.log(np.maximum(rest, 1e-12))
+    return np.where((symbols > 0) & (total > 0.5 * symbols * np.log(np.maximum(n, 2))), rest, -1.0)
+
+
+def meet(table: pa.Table, limit: float) -> pa.Table:
+    """A bucket's rows (batch, bucket, pairs) answered: rows (batch, bucket, reply); and rows of sums, (context, n, c,
+    discounted, symbols, gain) of contexts in several buckets, and with a null context the numbers (n, c, symbols) of
+    training occurrences, of pairs that have any and of those that have one."""
+    kinds = (np.uint64, np.int32, np.int64, np.uint32, np.int32, np.uint16)
+    rows = [unpacked(x, *kinds) for x in table["pairs"].to_pylist()]
+    runs, sizes = np.concatenate([r[1] for r in rows]), [len(r[3]) for r in rows]
+    context, n = np.repeat(np.concatenate([r[0] for r in rows]), runs), np.repeat(np.concatenate([r[2] for r in rows]), runs)
+    symbol, count, q = (np.concatenate([r[k] for r in rows]) for k in (3, 4, 5))
+    order = np.lexsort((symbol, context))
+    context, symbol, n, q = context[order], symbol[order], n[order], q[order]
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    first = np.flatnonzero(new | np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+    c = np.add.reduceat(count[order].astype(np.int64), first)
+    start = np.flatnonzero(new[first])  # of contexts, among pairs
+    listed = (c >= OCCURRENCES) & (symbol[first] > 0)
+    n_pair = np.maximum(n[first], 1)
+    taken = np.where(listed, c - DISCOUNT, 0.0)
+    gain = np.where(listed, c * (np.log(np.maximum(taken, DISCOUNT) / n_pair) + q[first] * (np.log(2) / _STEPS)), 0.0)
+    n_own, c_own, t_own, k_own, g_own = n[first][start], *(np.add.reduceat(x, start) for x in (np.where(listed, c, 0), taken, listed.astype(np.int64), gain))
+    hot = n_own > limit
+    rest = np.where(hot, -2.0, retained(n_own, c_own, t_own, k_own, g_own)).astype(np.float32)
+    of_pair = np.cumsum(new[first]) - 1
+    back, rest_back = np.empty(len(order), np.int64), np.empty(len(order), np.float32)
+    length = np.diff(np.append(first, len(order)))
+    back[order], rest_back[order] = np.repeat(c, length), np.repeat(rest[of_pair], length)
+    replies, at = [], 0
+    for r, size in zip(rows, sizes):
+        begin = np.cumsum(r[1]) - r[1]
+        replies.append(packed(back[at : at + size], rest_back[at : at + size][begin]))
+        at += size
+    sums = int(hot.sum())
+    column = lambda head, tail, kind: pa.array([*head, *tail], kind)
+    gone = [None] * (sums + 1)
+    return pa.table({
+        "batch": column(table["batch"].to_pylist(), gone, pa.int64()), "bucket": column(table["bucket"].to_pylist(), gone, pa.int64()), "reply": column(replies, gone, pa.binary()),
+        "context": column([None] * len(rows), [*context[first][start][hot].view(np.int64).tolist(), None], pa.int64()),
+        "n": column([None] * len(rows), [*n_own[hot].tolist(), int(c.sum())], pa.int64()), "c": column([None] * len(rows), [*c_own[hot].tolist(), int((c > 0).sum())], pa.int64()),
+        "discounted": column([None] * len(rows), [*t_own[hot].tolist(), 0.0], pa.float64()), "symbols": column([None] * len(rows), [*k_own[hot].tolist(), int((c == 1).sum())], pa.int64()),
+        "gain": column([None] * len(rows), [*g_own[hot].tolist(), 0.0], pa.float64()),
+    })
+
+
+_REPLY = "batch bigint, bucket bigint, reply binary, context bigint, n bigint, c bigint, discounted double, symbols bigint, gain double"
+
+
+class Corpus:
+    """What is known of the whole corpus, level by level: numbers of small size that tasks get."""
+
+    def __init__(self, buckets: int):
+        self.buckets = [buckets]  # of each level
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []  # contexts in several buckets of each level, and their rests
+        self.ends = self.total = self.distinct = 0
+        self.unseen, self.limit = 1.0, float(HOT)
+        self.spelling: Spelling | None = None
+
+
+class Batch:
+    """A batch of texts, as far as the levels are known."""
+
+    def __init__(self, row: dict, corpus: Corpus, replies: dict[int, dict[int, bytes]]):
+        self.corpus = corpus
+        self.train = np.frombuffer(row["train"], bool)
+        (docs,) = unpacked(row["docs"], np.int64)
+        (tokens,) = unpacked(row["tokens"], np.int32)
+        (types,) = unpacked(row["types"], np.uint64)
+        self.types = np.append(types, _END)  # the end of a text is the last type
+        self.doc = np.repeat(np.arange(len(docs)), docs + 1)
+        self.tokens = np.full(len(self.doc), len(types), np.int64)
+        begin = np.cumsum(docs + 1) - (docs + 1)
+        self.place = np.arange(len(self.doc)) - np.repeat(begin, docs + 1)
+        self.tokens[self.place < np.repeat(docs, docs + 1)] = tokens
+        self.learned = self.train[self.doc]
+        self.level = 0
+        words = self.tokens < len(types)
+        counts = np.bincount(self.tokens[words & self.learned], minlength=len(types))
+        every = np.arange(len(types))
+        nothing = np.zeros(len(types), np.int64)
+        self.dealt = Level(types, every, nothing.astype(np.uint32), types, counts, nothing, nothing.astype(np.uint16), corpus.buckets[0], np.inf)
+        if 0 in replies:
+            spelled, sizes = unpacked(row["spelled"], np.uint8, np.int32)
+            self._root(replies[0], spelled, sizes.astype(np.int64))
+        for level in range(1, len(replies)):
+            self._grown(replies[level], corpus.sums[level])
+
+    def _root(self, replies, spelled, sizes):
+        c = self.corpus
+        counts, _ = self.dealt.answered(replies, c.sums[0])
+        self.counts = np.append(counts, c.ends)
+        logs = np.append(c.spelling.words(spelled, sizes), c.spelling.words(np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        self.p = ((self.counts + c.unseen * 10.0**logs) / (c.total + c.unseen))[self.tokens]
+        self.p = np.maximum(self.p, 1e-300)
+        self.first = self.counts[self.tokens]
+        self.gram, self.gram_hash, self.seen = self.tokens, kernel.mix(self.types * _ONE), self.counts
+        self._next()
+
+    def _next(self):
+        """The pairs of the next level."""
+        self.level += 1
+        size = len(self.types) + 1
+        before = np.concatenate([[-1], self.gram[:-1]])
+        before[self.place < self.level] = -1
+        n = np.where(before >= 0, self.seen[before], 0)
+        self.some = np.flatnonzero(n >= OCCURRENCES)
+        before = before[self.some]
+        symbol = np.where(self._often()[self.some], self.tokens[self.some] + 1, 0)  # 0: too rare to be listed
+        codes, self.back = np.unique(before * size + symbol, return_inverse=True)
+        context, symbol = codes // size, codes % size
+        counts = np.bincount(self.back, weights=self.learned[self.some], minlength=len(codes)).astype(np.int64)
+        place = np.zeros(len(codes), np.int64)
+        place[self.back] = self.some
+        q = np.where(symbol > 0, np.clip(np.round(-np.log2(self.p[place]) * _STEPS), 0, 65535), 0).astype(np.uint16)
+        hashes = np.where(symbol > 0, self.types[symbol - 1], np.uint64(0))
+        short = np.where(symbol > 0, np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1), 0).astype(np.uint32)
+        self.symbol, self.n = symbol, self.seen[context]
+        self.pair_hash = kernel.mix(self.gram_hash[context] * _ONE + hashes)
+        names, context = np.unique(context, return_inverse=True)
+        buckets = self.corpus.buckets
+        self.dealt = Level(self.gram_hash[names], context, short, hashes, counts, self.n, q, buckets[min(self.level, len(buckets) - 1)], self.corpus.limit)
+
+    def _often(self) -> np.ndarray:
+        """Tokens that occur often enough after the context of the level above."""
+        if self.level == 1:
+            return self.first >= OCCURRENCES
+        out = np.zeros(len(self.tokens), dtype=bool)
+        at = self.gram >= 0
+        out[at] = self.seen[self.gram[at]] >= OCCURRENCES
         return out
 
-    def words(self, spelled: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words; the empty word is the end of a text."""
-        out = np.zeros(len(offsets) - 1)
-        for lo in range(0, len(out), 50_000):
-            hi = min(lo + 50_000, len(out))
-            windows, place, word = _symbols(spelled[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            out[lo:hi] = np.bincount(word, weights=self.log_of(windows, np.minimum(place, DEPTH)), minlength=hi - lo)
-        return out
+    def _grown(self, replies, sums):
+        counts, rest = self.dealt.answered(replies, sums)
+        counts = np.where(self.symbol > 0, counts, 0)
+        r, c, n = rest[self.back], counts[self.back], self.n[self.back]
+        own = self.p[self.some]
+        self.p[self.some] = np.where(r >= 0, r * own + np.where(c >= OCCURRENCES, (c - DISCOUNT) / np.maximum(n, 1), 0.0), own)
+        self.gram = np.full(len(self.tokens), -1)
+        listed = self.symbol[self.back] > 0
+        self.gram[self.some[listed]] = self.back[listed]
+        self.gram_hash, self.seen = self.pair_hash, counts
+        self._next()
 
+    def scores(self):
+        """Numbers of tokens, of known ones, base scores and scores of the texts."""
+        c, docs = self.corpus, len(self.train)
+        n = np.bincount(self.doc, minlength=docs)
+        base = np.bincount(self.doc, weights=np.log10(self.first + 1.0), minlength=docs) - n * np.log10(c.total + c.distinct + 1)
+        return n, np.bincount(self.doc, weights=self.first > 0, minlength=docs).astype(np.int64), base, np.bincount(self.doc, weights=np.log10(self.p), minlength=docs)
 
-def _counted(types: DataFrame, depth: int, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, symbol) numbers of a depth whose context without its oldest symbol is a frequent one, sorted, and their occurrences in training."""
-    shared = types.sparkSession.sparkContext.broadcast(parents)
 
-    def run(batches):
-        parents = shared.value
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for row in range(len(batch)):
-                hashes, n, spelled, offsets = _unpacked([batch.slice(row, 1)])
-                for lo in range(0, len(n), 200_000):
-                    hi = min(lo + 200_000, len(n))
-                    windows, place, word = _symbols(spelled[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    weight = np.minimum(n[lo:hi], 1)[word]  # a new word is like the types, not like the tokens
-                    some = (place >= depth) & (weight > 0)
-                    if depth:
-                        context = _low(windows >> np.uint64(8), depth - 1) if depth > 1 else np.zeros(len(windows), np.uint64)
-                        at = np.minimum(np.searchsorted(parents, context), max(len(parents) - 1, 0))
-                        some &= parents[at] == context if len(parents) else False
-                    both = np.concatenate([keys, _low(windows[some], depth + 1)])
-                    keys, back = np.unique(both, return_inverse=True)
-                    counts = np.bincount(back, weights=np.concatenate([counts, weight[some]]), minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
-
-    pairs = types.select("hashes", "counts", "sizes", "data").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return pairs
-
-
-def learned(types: DataFrame, ends: int) -> Tree:
-    """The tree of the packed words; ends: training texts, each with an end.
-
-    Level by level: a context is counted if its parent is frequent. Frequent contexts alone come to
-    the driver: they grow with the different words.
-    """
-    tree, parents, total, above = Tree(), np.zeros(0, np.uint64), 0.0, None
-    for depth in range(DEPTH + 1):
-        pairs = _counted(types, depth, parents)
-        if depth == 0:
-            found = pairs.orderBy("key").toArrow()  # at most 256 symbols
-            keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(float)
-            n, keys = _plus(n, keys, np.uint64(SPACE), ends)
-            total = float(n.sum())
-            tree.add(None, None, keys, n, total)
-            parents = np.zeros(1, np.uint64)
-            above = keys, n, np.zeros(1, np.uint64), np.array([total])
-            continue
-        context = F.shiftrightunsigned("key", 8)
-        from_ends = ends if depth == 1 else 0
-        sums = pairs.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).where((F.col("t") >= OCCURRENCES) | (F.lit(from_ends > 0) & (F.col("c") == SPACE)))
-        found = pairs.withColumn("c", context).join(sums, "c").select("key", "n").toArrow()
-        keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(float)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        if depth == 1:
-            n, keys = _plus(n, keys, np.uint64(SPACE << 8 | SPACE), ends)
-        contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-        counts = np.add.reduceat(n, first) if len(first) else np.zeros(0)
-        symbols = np.diff(np.append(first, len(keys)))
-        # divergence from the parent, in nats over all occurrences, against half a log of the count for each symbol
-        up_keys, up_n, up_contexts, up_counts = above
-        own, parent_key = np.searchsorted(contexts, keys >> np.uint64(8)), _low(keys, depth)
-        p_parent = up_n[np.searchsorted(up_keys, parent_key)] / up_counts[np.searchsorted(up_contexts, parent_key >> np.uint64(8) if depth > 1 else np.zeros(len(keys), np.uint64))]
-        gain = np.bincount(own, weights=n * np.log(n / counts[own] / p_parent), minlength=len(contexts)) if len(keys) else np.zeros(0)
-        keep = gain > 0.5 * symbols * np.log(np.maximum(counts, 2))
-        tree.levels = getattr(tree, "levels", []) + [(contexts, counts, keys, n, keep)]
-        parents, above = contexts, (keys, n, contexts, counts)
-        if not len(contexts):
-            break
-    _closed(tree)
-    return tree
-
-
-def _plus(n: np.ndarray, keys: np.ndarray, key: np.uint64, more: int) -> tuple[np.ndarray, np.ndarray]:
-    at = int(np.searchsorted(keys, key))
-    if more and (at == len(keys) or keys[at] != key):
-        keys, n = np.insert(keys, at, key), np.insert(n, at, 0.0)
-    if more:
-        n[at] += more
-    return n, keys
-
-
-def _closed(tree: Tree) -> None:
-    """Keep the retained contexts and all their suffixes, the deepest first, then smooth from the root down."""
-    levels, wanted = tree.__dict__.pop("levels", []), np.zeros(0, np.uint64)
-    kept = []
-    for depth in range(len(levels), 0, -1):
-        contexts, counts, keys, n, keep = levels[depth - 1]
-        keep = keep | np.isin(contexts, wanted)
-        wanted = np.unique(_low(contexts[keep], depth - 1)) if depth > 1 else wanted
-        inside = keep[np.searchsorted(contexts, keys >> np.uint64(8))] if len(keys) else np.zeros(0, dtype=bool)
-        kept.append((contexts[keep], counts[keep], keys[inside], n[inside]))
-    for level in reversed(kept):
-        tree.add(*level)
+def _replies(table: pa.Table) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for level, bucket, reply in zip(*(table[c].to_pylist() for c in ("level", "bucket", "reply"))):
+        out.setdefault(level, {})[bucket] = reply
+    return out
 
 
-def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of df.
+_PAIRS = "batch bigint, bucket bigint, pairs binary"
 
-    A null or empty text is its end alone. A null key counts as the empty string when folds are
-    dealt. Rows that repeat a key count as often as they stand there. Without training texts N and V
-    are 0, and no token is known.
-    """
-    held = (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD).alias("held")
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held)
-    rows = rows.select("*", (~F.col("held")).alias("train"), F.xxhash64("text").alias("mark"))
-    sizes = df.select(F.sum(F.octet_length(text)).alias("b")).first()[0] or 0
-    buckets = int(max(12, sizes // 12_000_000))
-    types = stored(word_types(rows, "text", "train", buckets))
-    ends = rows.where("train").count()
-
-    def summed(batches):
-        for batch in batches:
-            hashes, n, _, _ = _unpacked([batch])
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (n.sum(), (n > 0).sum(), (n == 1).sum())], ["n", "v", "once"])
 
-    total, distinct, once = types.drop("bucket").mapInArrow(summed, "n bigint, v bigint, once bigint").agg(F.sum("n"), F.sum("v"), F.sum("once")).first()
-    total, distinct, unseen = (total or 0) + ends, (distinct or 0) + (ends > 0), float(max(once or 0, 1))
+def _dealt(batch: int, level: Level) -> pa.Table:
+    rows = list(level.rows())
+    return pa.table({"batch": pa.array([batch] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int64()), "pairs": pa.array([x for _, x in rows], pa.binary())})
 
-    def of_words(counts, spelled):
-        """log10 probabilities of words: their counts, smoothed by their spelling with the weight of words seen once."""
-        return np.log10(counts + unseen * 10.0**spelled) - np.log10(total + unseen)
 
-    shared = df.sparkSession.sparkContext.broadcast(learned(types, min(ends, 1)))
-    share = max(LEAST * total, 2)
+def _meeting(limit: float):
+    return lambda table: meet(table, limit)
 
-    def score(batches):
-        for batch in batches:
-            hashes, n, spelled, offsets = _unpacked([batch])
-            logs = of_words(n, np.maximum(shared.value.words(spelled, offsets), -300.0))
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([hashes.tobytes()]), pa.array([n.tobytes()]), pa.array([logs.tobytes()])], ["bucket", "hashes", "counts", "logs"])
 
-    def rows_alone(function):
-        return lambda batches: (out for batch in batches for k in range(len(batch)) for out in function([batch.slice(k, 1)]))
+def _further(shared):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        return _dealt(row["batch"], Batch(row, shared.value, _replies(right)).dealt)
 
-    vocabulary = stored(types.mapInArrow(rows_alone(score), "bucket bigint, hashes binary, counts binary, logs binary"))
+    return run
 
-    def often(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, n, p = (np.frombuffer(row[c], kind) for c, kind in (("hashes", np.int64), ("counts", np.int64), ("logs", np.float64)))
-                some = n >= share
-                yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(n[some]), pa.array(p[some])], ["h", "n", "p"])
-
-    found = vocabulary.mapInArrow(often, "h bigint, n bigint, p double").toArrow()  # at most 1 / LEAST words
-    h = found["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    common = df.sparkSession.sparkContext.broadcast((h[order], found["n"].to_numpy()[order], found["p"].to_numpy()[order]))
-
-    def deal(batches):
-        """Sums over the frequent words of each row, and the other words packed by bucket."""
-        known, counts, logs = common.value
-        for batch in batches:
-            keys, marks = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
-            nulls = np.array(batch.column(0).is_null())
-            heads, tails = [], []
-            for row, at, hashes, _, _ in kernel.words(batch.column(2)):
-                owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                inside = known[place] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
-                sums = [np.bincount(owner[inside], weights=w, minlength=len(at) - 1) for w in (np.log10(counts[place[inside]] + 1.0), logs[place[inside]], np.ones(int(inside.sum())))]
-                heads.append((np.diff(at), *sums))
-                rest, owner = hashes[~inside], owner[~inside]
-                bucket = _bucket(rest, buckets)
-                order = np.argsort(bucket, kind="stable")
-                rest, owner = rest[order], owner[order] + row
-                ends_ = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(ends_)):
-                    own, n = np.unique(owner[ends_[b] : ends_[b + 1]], return_counts=True)
-                    tails.append((int(b), keys[own].tobytes(), nulls[own].tobytes(), marks[own].tobytes(), n.astype(np.int32).tobytes(), rest[ends_[b] : ends_[b + 1]].tobytes()))
-            n, base, logp, seen = (np.concatenate([x[k] for x in heads]) if heads else np.zeros(0) for k in range(4))
-            none = pa.nulls(len(batch), pa.int64())
-            blank = pa.nulls(len(batch), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks), pa.array(n.astype(np.int64)), pa.array(base), pa.array(logp), pa.array(seen.astype(np.int64)), none, *[blank] * 5], _DEALT_NAMES)
-            m = len(tails)
-            columns = [pa.array([t[k] for t in tails], kind) for k, kind in enumerate((pa.int64(), *[pa.binary()] * 5))]
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), *columns], _DEALT_NAMES)
-
-    dealt = stored(rows.select(F.col("key").cast("long"), "mark", "text").mapInArrow(deal, _DEALT))
-    heads = dealt.where("bucket is null").select("key", "mark", "n", "base", "logp", "known", F.lit(1).cast("long").alias("rows"))
-
-    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        read = lambda t, name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind)
-        h, n, p = read(right, "hashes", np.uint64), read(right, "counts", np.int64), read(right, "logs", np.float64)
-        words, sizes = read(left, "words", np.uint64), read(left, "sizes", np.int32)
-        at = np.searchsorted(h, words)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        sums = [np.bincount(owner, weights=w, minlength=len(sizes)) for w in (np.log10(n[at] + 1.0), p[at], (n[at] > 0).astype(float))]
-        keys = pa.array(read(left, "keys", np.int64), mask=read(left, "nulls", bool))
-        zero = pa.array(np.zeros(len(sizes), np.int64))
-        return pa.table({"key": keys, "mark": read(left, "marks", np.int64), "n": zero, "base": sums[0], "logp": sums[1], "known": sums[2].astype(np.int64), "rows": zero})
-
-    tails = dealt.where("bucket is not null").groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(meet, "key bigint, mark bigint, n bigint, base double, logp double, known bigint, rows bigint")
-    sums = heads.union(tails).groupBy("key", "mark").agg(*(F.sum(c).alias(c) for c in ("n", "base", "logp", "known", "rows")))
-    end = float(of_words(ends, shared.value.words(np.zeros(0, np.uint8), np.zeros(2, np.int64)))[0])
-    norm = float(np.log10(total + distinct + 1))
-    per = lambda c: F.col(c) / F.col("rows")
-    tokens = (per("n") + 1).cast("long")
-    out = sums.where("rows > 0").select(
-        F.col("key").cast(df.schema[key].dataType).alias(key),
-        (F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD).alias("held_out"),
-        tokens.alias("n_tokens"), (per("known").cast("long") + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (per("base") + float(np.log10(ends + 1)) - tokens * norm).alias("base_score"), (per("logp") + end).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_row"),
-    )
-    return out.drop("_row")
-
-
-_DEALT = "key bigint, mark bigint, n bigint, base double, logp double, known bigint, bucket bigint, keys binary, nulls binary, marks binary, sizes binary, words binary"
-_DEALT_NAMES = [c.split()[0] for c in _DEALT.split(", ")]
+
+def grown(batches: DataFrame, tokens: int) -> tuple[Corpus, DataFrame]:
+    """The tree over batches of so many tokens: what tasks get, and the replies (batch, bucket, reply, level) of all levels."""
+    spark = batches.sparkSession
+    corpus = Corpus(int(max(12, tokens // (4 * BUCKET))))
+
+    def triples(rows):
+        for batch in rows:
+            for x in batch.column(0).to_pylist():
+                key, n = unpacked(x, np.int32, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    found = batches.select("triples").mapInArrow(triples, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** 3 rows
+    corpus.spelling = Spelling(found["key"].to_numpy(), found["n"].to_numpy())
+    ends = batches.select("train").mapInArrow(lambda rows: (pa.RecordBatch.from_arrays([pa.array([sum(x.count(1) for x in b.column(0).to_pylist())])], ["n"]) for b in rows), "n bigint").agg(F.sum("n")).first()[0]
+    corpus.ends = int(ends or 0)
+    shared, answered, kept = spark.sparkContext.broadcast(corpus), None, []
+    slim = batches.drop("keys", "triples")
+    for level in range(DEPTH + 1):
+        if level == 0:
+
+            def first(rows):
+                for b in rows:
+                    for row in b.to_pylist():
+                        yield from _dealt(row["batch"], Batch(row, shared.value, {}).dealt).to_batches()
+
+            pairs = slim.mapInArrow(first, _PAIRS)
+        else:
+
+            pairs = slim.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(_further(shared), _PAIRS)
+        found = stored(pairs.groupBy("bucket").applyInArrow(_meeting(corpus.limit if level else float("inf")), _REPLY))
+        kept.append(found)
+        if level == 0:
+            total, distinct, once = found.where("batch is null").agg(F.sum("n"), F.sum("c"), F.sum("symbols")).first()
+            corpus.total, corpus.distinct = int(total or 0) + corpus.ends, int(distinct or 0) + (corpus.ends > 0)
+            corpus.unseen, corpus.limit = float(max(once or 0, 1)), float(max(HOT, corpus.total >> SHARE))
+            corpus.sums.append((np.zeros(0, np.uint64), np.zeros(0)))
+        else:
+            parts = found.where("batch is null and context is not null").groupBy("context").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in ("c", "discounted", "symbols", "gain")))
+            t = parts.toArrow()  # at most 2 ** SHARE rows
+            names, values = t["context"].to_numpy().view(np.uint64), [t[c].to_numpy() for c in ("n", "c", "discounted", "symbols", "gain")]
+            order = np.argsort(names)
+            corpus.sums.append((names[order], retained(*values)[order]))
+        corpus.buckets.append(int(max(12, tokens // BUCKET)))
+        reply = found.where("batch is not null").select("batch", "bucket", "reply", F.lit(level).alias("level"))
+        answered = reply if answered is None else answered.union(reply)
+        shared = spark.sparkContext.broadcast(corpus)
+    return corpus, answered
+
+
+def scored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of df.
+
+    A null or empty text is its end alone. A null key counts as the empty string when folds are
+    dealt; keys are of any type that can be a string. Rows that repeat a key count as often as they
+    stand there. Without training texts N and V are 0, and no token is known.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    held = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (~held).alias("train"))
+    batches = stored(batches_of(rows, kind))
+
+    def sizes(found):
+        for batch in found:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(unpacked(x, np.int32)[0]) for x in batch.column(0).to_pylist())])], ["n"])
+
+    tokens = int(batches.select("tokens").mapInArrow(sizes, "n bigint").agg(F.sum("n")).first()[0] or 0)
+    corpus, answered = grown(batches, tokens)
+    shared = df.sparkSession.sparkContext.broadcast(corpus)
+    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = left["keys"].combine_chunks().flatten()
+        batch = Batch(left.drop_columns(["keys"]).to_pylist()[0], shared.value, _replies(right))
+        n, known, base, score = batch.scores()
+        return pa.table([keys, pa.array(~batch.train), pa.array(n), pa.array(known), pa.array(np.full(len(n), shared.value.total)), pa.array(base), pa.array(score)], names=names)
+
+    return batches.drop("triples").groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(scores, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
