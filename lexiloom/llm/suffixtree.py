@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import dropped, stored
+from .common import freed, stored
 
 #: Words of the longest context.
 DEPTH = 3
@@ -39,7 +39,7 @@ OCCURRENCES, DISCOUNT = 2, 0.5
 #: Occurrences of a context that one bucket takes; if more, logarithm of the share of all tokens that one takes.
 HOT, SHARE = 1 << 20, 18
 #: Tokens of a batch (or one longer text), and pairs of a bucket, about.
-BATCH, BUCKET = 1_000_000, 1_000_000
+BATCH, BUCKET = 400_000, 500_000
 #: Weight of the shorter context in the spelling model.
 PARENT = 2.0
 #: Documents whose crc32(key) mod FOLDS is HELD are not learned from.
@@ -451,6 +451,8 @@ def grown(batches: DataFrame, tokens: int) -> tuple[Corpus, DataFrame]:
         reply = found.where("batch is not null").select("batch", "bucket", "reply", F.lit(level).alias("level"))
         answered = reply if answered is None else answered.union(reply)
         shared = spark.sparkContext.broadcast(corpus)
+        del pairs
+        freed(spark)
     return corpus, answered
 
 

@@ -131,5 +131,5 @@ def test_long_text_and_other_keys(spark):
 
 
 def test_held_out_texts_score_above_the_base(spark):
-    found = suffixtree.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    found = suffixtree.scored(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert found.s > found.b
