@@ -47,7 +47,7 @@ FOLDS, HELD = 7, 2
 #: The separator: before a word as context, after it as a symbol; no word contains it.
 SPACE = 0x20
 #: Steps of a power of two in which probabilities are sent.
-_STEPS = 512
+_STEPS = 32
 _END, _ONE, _TWO = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -126,28 +126,32 @@ def _counted(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # Batches
 
-_BATCH = "batch bigint, train binary, docs binary, tokens binary, types binary, spelled binary, triples binary"
+_BATCH = "batch bigint, train binary, docs binary, tokens binary, spelled binary, letters bigint, triples binary"
 _NAMES = [c.split()[0] for c in _BATCH.split(", ")]
 
 
 def batches_of(df: DataFrame, kind: str) -> DataFrame:
     """Rows (batch, keys, ...) of about BATCH tokens from rows (key, text, train).
 
-    train: a flag for each text; docs: their numbers of words; tokens: numbers of words in types, the sorted
-    hashes of the batch's different words; spelled: their bytes and sizes; triples: what the spelling model counts,
-    each word of a training text once.
+    train: a flag for each text; docs: their numbers of words; spelled: the batch's different words, frequent ones
+    first, with a SPACE after each; tokens: their numbers in that order; triples: what the spelling model
+    counts, each word of a training text once.
     """
 
     def row(number, waiting):
         keys = pa.concat_arrays([w[0] for w in waiting])
         train, docs, hashes, data, sizes = (np.concatenate([w[k] for w in waiting]) for k in range(1, 6))
-        types, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
+        types, first, tokens, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        order = np.lexsort((types, -np.log2(n).astype(np.int64)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, tokens = first[order], place[tokens]
         ends = np.cumsum(sizes)
         spelled, offsets = _spelled(data, (ends - sizes)[first], ends[first])
         learned = np.bincount(tokens, weights=np.repeat(train, docs), minlength=len(types)) > 0
         some, places = _spelled(spelled, offsets[:-1][learned], offsets[1:][learned])
         triples = _counted(some, np.diff(places))
-        values = [(TaskContext.get().partitionId() << 32) + number, train.tobytes(), packed(docs), packed(tokens.astype(np.int32)), packed(types), packed(spelled, np.diff(offsets).astype(np.int32)), packed(triples[0].astype(np.int32), triples[1].astype(np.int64))]
+        values = [(TaskContext.get().partitionId() << 32) + number, train.tobytes(), packed(docs), packed(tokens.astype(np.int32)), pa.compress(np.insert(spelled, offsets[1:], SPACE).tobytes(), "zstd", asbytes=True), len(spelled) + len(types), packed(triples[0].astype(np.int32), triples[1].astype(np.int64))]
         lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
         return pa.RecordBatch.from_arrays([*(pa.array([v]) for v in values), lists], [*_NAMES, "keys"])
 
@@ -182,12 +186,16 @@ class Level:
     """The distinct (context, symbol) pairs of a batch at one depth, in the order in which they are dealt."""
 
     def __init__(self, contexts, context, symbol, hashes, counts, n, q, buckets, limit):
-        """contexts: their hashes; of each pair: context (a number in contexts), symbol hash, training count, occurrences n of the context, sent probability."""
+        """contexts: their hashes; of each pair: context (a number in contexts), symbol hash, training count, occurrences n of the context, sent probability.
+        limit: a context of more occurrences goes to several buckets."""
         share = np.where(n > limit, 1 + n // limit, 1).astype(np.uint64)
         part = kernel.mix(hashes * _TWO) % share
         spread = kernel.mix(contexts[context] + part * _ONE)
         bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(contexts), np.int64)
+        place[np.argsort(contexts)] = np.arange(len(contexts))
+        n = np.where(n > limit, n, 0)  # a context in one bucket gets all its occurrences
+        self.order = np.argsort(bucket * len(contexts) + place[context], kind="stable")  # sorted hashes are smaller
         self.at = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
         self.fields = contexts, context[self.order], symbol[self.order], counts[self.order], n[self.order], q[self.order]
 
@@ -245,13 +253,15 @@ def meet(table: pa.Table, limit: float) -> pa.Table:
     c = np.add.reduceat(count[order].astype(np.int64), first)
     start = np.flatnonzero(new[first])  # of contexts, among pairs
     listed = (c >= OCCURRENCES) & (symbol[first] > 0)
-    n_pair = np.maximum(n[first], 1)
+    of_pair = np.cumsum(new[first]) - 1
+    n_own = n[first][start]
+    n_own = np.where(n_own > 0, n_own, np.add.reduceat(c, start))
+    n_pair = np.maximum(n_own[of_pair], 1)
     taken = np.where(listed, c - DISCOUNT, 0.0)
     gain = np.where(listed, c * (np.log(np.maximum(taken, DISCOUNT) / n_pair) + q[first] * (np.log(2) / _STEPS)), 0.0)
-    n_own, c_own, t_own, k_own, g_own = n[first][start], *(np.add.reduceat(x, start) for x in (np.where(listed, c, 0), taken, listed.astype(np.int64), gain))
+    c_own, t_own, k_own, g_own = (np.add.reduceat(x, start) for x in (np.where(listed, c, 0), taken, listed.astype(np.int64), gain))
     hot = n_own > limit
     rest = np.where(hot, -2.0, retained(n_own, c_own, t_own, k_own, g_own)).astype(np.float32)
-    of_pair = np.cumsum(new[first]) - 1
     back, rest_back = np.empty(len(order), np.int64), np.empty(len(order), np.float32)
     length = np.diff(np.append(first, len(order)))
     back[order], rest_back[order] = np.repeat(c, length), np.repeat(rest[of_pair], length)
@@ -294,7 +304,11 @@ class Batch:
         self.train = np.frombuffer(row["train"], bool)
         (docs,) = unpacked(row["docs"], np.int64)
         (tokens,) = unpacked(row["tokens"], np.int32)
-        (types,) = unpacked(row["types"], np.uint64)
+        text = pa.decompress(row["spelled"], row["letters"], "zstd", asbytes=True) if row["letters"] else b""
+        spelled = np.frombuffer(text, np.uint8)
+        ends = np.flatnonzero(spelled == SPACE)
+        sizes = np.diff(ends, prepend=-1) - 1
+        types = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _, _ in kernel.words(pa.array([text.decode("utf-8", "surrogatepass")])))])
         self.types = np.append(types, _END)  # the end of a text is the last type
         self.doc = np.repeat(np.arange(len(docs)), docs + 1)
         self.tokens = np.full(len(self.doc), len(types), np.int64)
@@ -309,8 +323,7 @@ class Batch:
         nothing = np.zeros(len(types), np.int64)
         self.dealt = Level(types, every, nothing.astype(np.uint32), types, counts, nothing, nothing.astype(np.uint16), corpus.buckets[0], np.inf)
         if 0 in replies:
-            spelled, sizes = unpacked(row["spelled"], np.uint8, np.int32)
-            self._root(replies[0], spelled, sizes.astype(np.int64))
+            self._root(replies[0], spelled[spelled != SPACE], sizes)
         for level in range(1, len(replies)):
             self._grown(replies[level], corpus.sums[level])
 

@@ -60,7 +60,8 @@ def brute(rows, model, depth):
             own = counts[len(context)].get(context, {})
             n, listed = sum(own.values()), {w: c for w, c in own.items() if c >= 2}
             left = 1 - sum(c - 0.5 for c in listed.values()) / max(n, 1)
-            gain = sum(c * math.log((c - 0.5) / n / p(context[1:], w)) for w, c in listed.items()) + (n - sum(listed.values())) * math.log(max(left, 1e-12))
+            sent = lambda x: round(-math.log2(x) * suffixtree._STEPS) / suffixtree._STEPS * math.log(2)
+            gain = sum(c * (math.log((c - 0.5) / n) + sent(p(context[1:], w))) for w, c in listed.items()) + (n - sum(listed.values())) * math.log(max(left, 1e-12))
             rests[context] = left if listed and gain > 0.5 * len(listed) * math.log(n) else None
         return rests[context]
 
