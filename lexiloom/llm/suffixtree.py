@@ -14,8 +14,8 @@ The tree is never gathered: it stays dealt by context hash, in buckets. Texts ar
 level by level, a batch sends its distinct (context, symbol) pairs with their counts and their
 probabilities by the levels above to the contexts' buckets, packed as one row a (batch, bucket), and gets back the
 counts and the rests of retained contexts, one row again. A context that occurs once gets no deeper ones,
-and symbols that are rare after a shorter context already are sent as one. So what is counted grows
-with the corpus, and levels get smaller.
+one that occurs as often as without its first word isn't sent, and symbols that are rare after a shorter
+context already are sent as one. So what is counted grows with the corpus, and levels get smaller.
 
 Contexts of more than HOT occurrences (or 1 / 2 ** SHARE of all tokens, if that is more) are dealt to
 several buckets by symbol, and only their sums, at most 2 ** SHARE rows, are shipped to all tasks.
@@ -182,6 +182,29 @@ def batches_of(df: DataFrame, kind: str) -> DataFrame:
 
 # Levels
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted, the place of each number among them, and a place where each stands."""
+    bits = max(1, len(codes).bit_length())
+    if len(codes) and int(codes.max()) < 1 << (62 - bits):  # numbers and places in one: sorts several times as fast
+        both = np.sort(codes << bits | np.arange(len(codes)))
+        codes, order = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+    new = np.concatenate([[True], codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=bool)
+    back = np.empty(len(codes), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return codes[new], back, order[new]
+
+
+def _sorted(codes: np.ndarray) -> np.ndarray:
+    """The order that sorts the numbers, and equal ones by place."""
+    bits = max(1, len(codes).bit_length())
+    if len(codes) and int(codes.max()) < 1 << (62 - bits):
+        return np.sort(codes << bits | np.arange(len(codes))) & ((1 << bits) - 1)
+    return np.argsort(codes, kind="stable")
+
+
 class Level:
     """The distinct (context, symbol) pairs of a batch at one depth, in the order in which they are dealt."""
 
@@ -195,7 +218,7 @@ class Level:
         place = np.empty(len(contexts), np.int64)
         place[np.argsort(contexts)] = np.arange(len(contexts))
         n = np.where(n > limit, n, 0)  # a context in one bucket gets all its occurrences
-        self.order = np.argsort(bucket * len(contexts) + place[context], kind="stable")  # sorted hashes are smaller
+        self.order = _sorted(bucket * len(contexts) + place[context])  # sorted hashes are smaller
         self.at = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
         self.fields = contexts, context[self.order], symbol[self.order], counts[self.order], n[self.order], q[self.order]
 
@@ -289,6 +312,7 @@ class Corpus:
     """What is known of the whole corpus, level by level: numbers of small size that tasks get."""
 
     def __init__(self, buckets: int):
+        self.depth = DEPTH
         self.buckets = [buckets]  # of each level
         self.sums: list[tuple[np.ndarray, np.ndarray]] = []  # contexts in several buckets of each level, and their rests
         self.ends = self.total = self.distinct = 0
@@ -336,29 +360,34 @@ class Batch:
         self.p = np.maximum(self.p, 1e-300)
         self.first = self.counts[self.tokens]
         self.gram, self.gram_hash, self.seen = self.tokens, kernel.mix(self.types * _ONE), self.counts
-        self._next()
+        self.before = np.full(len(self.tokens), -1)  # how often the context of the level above occurs
+        if self.corpus.depth:
+            self._next()
 
     def _next(self):
-        """The pairs of the next level."""
+        """The pairs of the next level. A context that occurs as often as the one without its first word has the
+        same symbols: it can't diverge from it, and its counts are known."""
         self.level += 1
         size = len(self.types) + 1
         before = np.concatenate([[-1], self.gram[:-1]])
         before[self.place < self.level] = -1
         n = np.where(before >= 0, self.seen[before], 0)
-        self.some = np.flatnonzero(n >= OCCURRENCES)
+        same = (n >= OCCURRENCES) & (n == self.before) & (self.gram >= 0)
+        self.same, self.same_gram = np.flatnonzero(same), self.gram[same]
+        self.some = np.flatnonzero((n >= OCCURRENCES) & (n != self.before))
+        self.before = n
         before = before[self.some]
         symbol = np.where(self._often()[self.some], self.tokens[self.some] + 1, 0)  # 0: too rare to be listed
-        codes, self.back = np.unique(before * size + symbol, return_inverse=True)
-        context, symbol = codes // size, codes % size
+        codes, self.back, place = _distinct(before * size + symbol)
+        context, symbol, place = codes // size, codes % size, self.some[place]
         counts = np.bincount(self.back, weights=self.learned[self.some], minlength=len(codes)).astype(np.int64)
-        place = np.zeros(len(codes), np.int64)
-        place[self.back] = self.some
         q = np.where(symbol > 0, np.clip(np.round(-np.log2(self.p[place]) * _STEPS), 0, 65535), 0).astype(np.uint16)
         hashes = np.where(symbol > 0, self.types[symbol - 1], np.uint64(0))
         short = np.where(symbol > 0, np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1), 0).astype(np.uint32)
         self.symbol, self.n = symbol, self.seen[context]
         self.pair_hash = kernel.mix(self.gram_hash[context] * _ONE + hashes)
-        names, context = np.unique(context, return_inverse=True)
+        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, dtype=bool)
+        names, context = context[new], np.cumsum(new) - 1
         buckets = self.corpus.buckets
         self.dealt = Level(self.gram_hash[names], context, short, hashes, counts, self.n, q, buckets[min(self.level, len(buckets) - 1)], self.corpus.limit)
 
@@ -380,8 +409,11 @@ class Batch:
         self.gram = np.full(len(self.tokens), -1)
         listed = self.symbol[self.back] > 0
         self.gram[self.some[listed]] = self.back[listed]
-        self.gram_hash, self.seen = self.pair_hash, counts
-        self._next()
+        old, place = np.unique(self.same_gram, return_inverse=True)
+        self.gram[self.same] = len(counts) + place
+        self.gram_hash, self.seen = np.concatenate([self.pair_hash, self.gram_hash[old]]), np.concatenate([counts, self.seen[old]])
+        if self.level < self.corpus.depth:
+            self._next()
 
     def scores(self):
         """Numbers of tokens, of known ones, base scores and scores of the texts."""
