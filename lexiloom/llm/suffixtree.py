@@ -39,7 +39,7 @@ OCCURRENCES, DISCOUNT = 2, 0.5
 #: Occurrences of a context that one bucket takes; if more, logarithm of the share of all tokens that one takes.
 HOT, SHARE = 1 << 20, 18
 #: Tokens of a batch (or one longer text), and pairs of a bucket, about.
-BATCH, BUCKET = 400_000, 500_000
+BATCH, BUCKET = 800_000, 1_000_000
 #: Weight of the shorter context in the spelling model.
 PARENT = 2.0
 #: Documents whose crc32(key) mod FOLDS is HELD are not learned from.
@@ -48,6 +48,8 @@ FOLDS, HELD = 7, 2
 SPACE = 0x20
 #: Steps of a power of two in which probabilities are sent.
 _STEPS = 32
+#: Bits of a context's hash that aren't sent: its bucket depends on all of them, and a bucket has some million contexts.
+_CUT = np.uint64(16)
 _END, _ONE, _TWO = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -232,7 +234,7 @@ class Level:
         for b in np.flatnonzero(np.diff(self.at)).tolist():
             i, j = self.at[b], self.at[b + 1]
             runs = self.runs(i, j)
-            yield b, packed(contexts[context[i:j][runs]], np.diff(np.append(runs, j - i)).astype(np.int32), n[i:j][runs].astype(np.int64), symbol[i:j], counts[i:j].astype(np.int32), q[i:j])
+            yield b, packed(contexts[context[i:j][runs]] >> _CUT, np.diff(np.append(runs, j - i)).astype(np.int32), n[i:j][runs].astype(np.int64), symbol[i:j], counts[i:j].astype(np.int32), q[i:j])
 
     def answered(self, replies: dict[int, bytes], sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each pair, in the order before dealing, its count, and the rest of its context, -1 if that is not retained."""
@@ -244,7 +246,7 @@ class Level:
             c, r = unpacked(replies[b], np.int64, np.float32)
             hot = np.flatnonzero(r < -1.5)
             if len(hot):  # contexts in several buckets
-                at = np.searchsorted(sums[0], contexts[context[i:j][runs[hot]]])
+                at = np.searchsorted(sums[0], contexts[context[i:j][runs[hot]]] >> _CUT)
                 r = r.copy()
                 r[hot] = sums[1][at]
             counts[self.order[i:j]] = c
@@ -383,7 +385,8 @@ class Batch:
         counts = np.bincount(self.back, weights=self.learned[self.some], minlength=len(codes)).astype(np.int64)
         q = np.where(symbol > 0, np.clip(np.round(-np.log2(self.p[place]) * _STEPS), 0, 65535), 0).astype(np.uint16)
         hashes = np.where(symbol > 0, self.types[symbol - 1], np.uint64(0))
-        short = np.where(symbol > 0, np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1), 0).astype(np.uint32)
+        bits = np.uint64(32 if self.level == 1 else 40)  # a context of several words has few symbols
+        short = np.where(symbol > 0, np.maximum((hashes >> bits).astype(np.uint32), 1), 0).astype(np.uint32)
         self.symbol, self.n = symbol, self.seen[context]
         self.pair_hash = kernel.mix(self.gram_hash[context] * _ONE + hashes)
         new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, dtype=bool)
