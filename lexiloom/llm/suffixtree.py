@@ -77,8 +77,8 @@ def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return np.where((raw >= 0x41) & (raw <= 0x5A), raw + 32, raw).astype(np.uint8), offsets
 
 
-def _triples(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three bytes for each symbol of the words' spelling, two before it and itself, and the word of each; words end with SPACE."""
+def _triples(spelled: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Three bytes for each symbol of the words' spelling, two before it and itself; words end with SPACE."""
     begin = np.concatenate([[0], np.cumsum(sizes + 3)])
     text = np.full(begin[-1], SPACE, dtype=np.uint8)
     word = np.repeat(np.arange(len(sizes)), sizes)
@@ -87,7 +87,7 @@ def _triples(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     symbol = np.ones(len(text), dtype=bool)
     symbol[begin[:-1]] = symbol[begin[:-1] + 1] = False
     at = np.flatnonzero(symbol)
-    return np.stack([text[at - 2], text[at - 1], text[at]]), np.repeat(np.arange(len(sizes)), sizes + 1)
+    return np.stack([text[at - 2], text[at - 1], text[at]])
 
 
 class Spelling:
@@ -108,6 +108,7 @@ class Spelling:
         self.logs = np.log10(p)
         self.logs[..., 0] -= np.log10(256)
         self.logs = self.logs.astype(np.float32)
+        self.codes = self.code * n * n, self.code * n, self.code
 
     def words(self, spelled: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probabilities of words, at least -300."""
@@ -115,14 +116,15 @@ class Spelling:
         ends = np.cumsum(sizes)
         for lo in range(0, len(sizes), 50_000):
             hi = min(lo + 50_000, len(sizes))
-            triples, word = _triples(spelled[ends[lo] - sizes[lo] : ends[hi - 1]], sizes[lo:hi])
-            out[lo:hi] = np.bincount(word, weights=self.logs[tuple(self.code[triples])], minlength=hi - lo)
+            triples = _triples(spelled[ends[lo] - sizes[lo] : ends[hi - 1]], sizes[lo:hi])
+            logs = self.logs.reshape(-1)[sum(code[t] for code, t in zip(self.codes, triples))]
+            out[lo:hi] = np.add.reduceat(logs, np.cumsum(sizes[lo:hi] + 1) - sizes[lo:hi] - 1, dtype=np.float64)
         return np.maximum(out, -300.0)
 
 
 def _counted(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct triples of some words, and how many times each stands there."""
-    t, _ = _triples(spelled, sizes)
+    t = _triples(spelled, sizes)
     return np.unique(t[0].astype(np.int32) << 16 | t[1].astype(np.int32) << 8 | t[2], return_counts=True)
 
 
@@ -207,38 +209,45 @@ def _sorted(codes: np.ndarray) -> np.ndarray:
     return np.argsort(codes, kind="stable")
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((kernel.mix(hashes) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 class Level:
     """The distinct (context, symbol) pairs of a batch at one depth, in the order in which they are dealt."""
 
-    def __init__(self, contexts, context, symbol, hashes, counts, n, q, buckets, limit):
-        """contexts: their hashes; of each pair: context (a number in contexts), symbol hash, training count, occurrences n of the context, sent probability.
+    def __init__(self, contexts, context, symbols, n, buckets, limit):
+        """contexts: their hashes and occurrences n; of each pair: context (a number in contexts, in their order), hash of the symbol.
         limit: a context of more occurrences goes to several buckets."""
-        share = np.where(n > limit, 1 + n // limit, 1).astype(np.uint64)
-        part = kernel.mix(hashes * _TWO) % share
-        spread = kernel.mix(contexts[context] + part * _ONE)
-        bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         place = np.empty(len(contexts), np.int64)
-        place[np.argsort(contexts)] = np.arange(len(contexts))
-        n = np.where(n > limit, n, 0)  # a context in one bucket gets all its occurrences
-        self.order = _sorted(bucket * len(contexts) + place[context])  # sorted hashes are smaller
+        place[np.argsort(contexts)] = np.arange(len(contexts))  # sorted hashes are smaller
+        self.n = np.where(n > limit, n, 0)  # a context in one bucket gets all its occurrences
+        bucket = _bucket(contexts, buckets)[context]
+        hot = np.flatnonzero(self.n[context]) if self.n.any() else np.zeros(0, np.int64)
+        if len(hot):
+            own = contexts[context[hot]]
+            part = kernel.mix(symbols[hot] * _TWO) % (1 + self.n[context[hot]] // int(limit)).astype(np.uint64)
+            bucket[hot] = _bucket(own + part * _ONE, buckets)
+        self.order = _sorted(bucket * len(contexts) + place[context])
         self.at = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
-        self.fields = contexts, context[self.order], symbol[self.order], counts[self.order], n[self.order], q[self.order]
+        self.contexts, self.context = contexts, context[self.order]
 
     def runs(self, i: int, j: int) -> np.ndarray:
-        own = self.fields[1][i:j]
+        own = self.context[i:j]
         return np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
 
-    def rows(self):
-        """(bucket, packed pairs) of the buckets that get any."""
-        contexts, context, symbol, counts, n, q = self.fields
+    def rows(self, symbol, counts, q):
+        """(bucket, packed pairs) of the buckets that get any. Of each pair: what is sent of its symbol, training count, probability."""
+        symbol, counts, q = symbol[self.order], counts[self.order].astype(np.int32), q[self.order]
         for b in np.flatnonzero(np.diff(self.at)).tolist():
             i, j = self.at[b], self.at[b + 1]
             runs = self.runs(i, j)
-            yield b, packed(contexts[context[i:j][runs]] >> _CUT, np.diff(np.append(runs, j - i)).astype(np.int32), n[i:j][runs].astype(np.int64), symbol[i:j], counts[i:j].astype(np.int32), q[i:j])
+            own = self.context[i:j][runs]
+            yield b, packed(self.contexts[own] >> _CUT, np.diff(np.append(runs, j - i)).astype(np.int32), self.n[own].astype(np.int64), symbol[i:j], counts[i:j], q[i:j])
 
     def answered(self, replies: dict[int, bytes], sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each pair, in the order before dealing, its count, and the rest of its context, -1 if that is not retained."""
-        contexts, context = self.fields[:2]
+        contexts, context = self.contexts, self.context
         counts, rest = np.zeros(len(self.order), np.int64), np.full(len(self.order), -1.0)
         for b in np.flatnonzero(np.diff(self.at)).tolist():
             i, j = self.at[b], self.at[b + 1]
@@ -343,11 +352,8 @@ class Batch:
         self.tokens[self.place < np.repeat(docs, docs + 1)] = tokens
         self.learned = self.train[self.doc]
         self.level = 0
-        words = self.tokens < len(types)
-        counts = np.bincount(self.tokens[words & self.learned], minlength=len(types))
         every = np.arange(len(types))
-        nothing = np.zeros(len(types), np.int64)
-        self.dealt = Level(types, every, nothing.astype(np.uint32), types, counts, nothing, nothing.astype(np.uint16), corpus.buckets[0], np.inf)
+        self.dealt = Level(types, every, types, np.zeros(len(types), np.int64), corpus.buckets[0], np.inf)
         if 0 in replies:
             self._root(replies[0], spelled[spelled != SPACE], sizes)
         for level in range(1, len(replies)):
@@ -380,19 +386,25 @@ class Batch:
         self.before = n
         before = before[self.some]
         symbol = np.where(self._often()[self.some], self.tokens[self.some] + 1, 0)  # 0: too rare to be listed
-        codes, self.back, place = _distinct(before * size + symbol)
-        context, symbol, place = codes // size, codes % size, self.some[place]
-        counts = np.bincount(self.back, weights=self.learned[self.some], minlength=len(codes)).astype(np.int64)
-        q = np.where(symbol > 0, np.clip(np.round(-np.log2(self.p[place]) * _STEPS), 0, 65535), 0).astype(np.uint16)
-        hashes = np.where(symbol > 0, self.types[symbol - 1], np.uint64(0))
+        codes, self.back, self.at = _distinct(before * size + symbol)
+        self.context, self.symbol = codes // size, codes % size
+        self.hashes = np.where(self.symbol > 0, self.types[self.symbol - 1], np.uint64(0))
+        new = np.concatenate([[True], self.context[1:] != self.context[:-1]]) if len(codes) else np.zeros(0, dtype=bool)
+        names, buckets = self.context[new], self.corpus.buckets
+        self.dealt = Level(self.gram_hash[names], np.cumsum(new) - 1, self.hashes, self.seen[names], buckets[min(self.level, len(buckets) - 1)], self.corpus.limit)
+
+    def rows(self):
+        """(bucket, packed pairs) of the last level."""
+        if self.level == 0:
+            n = len(self.types) - 1
+            nothing = np.zeros(n, np.int64)
+            counts = np.bincount(self.tokens[self.learned], minlength=n + 1)[:n]
+            return self.dealt.rows(nothing.astype(np.uint32), counts, nothing.astype(np.uint16))
+        counts = np.bincount(self.back, weights=self.learned[self.some], minlength=len(self.symbol))
+        q = np.where(self.symbol > 0, np.clip(np.round(-np.log2(self.p[self.some[self.at]]) * _STEPS), 0, 65535), 0).astype(np.uint16)
         bits = np.uint64(32 if self.level == 1 else 40)  # a context of several words has few symbols
-        short = np.where(symbol > 0, np.maximum((hashes >> bits).astype(np.uint32), 1), 0).astype(np.uint32)
-        self.symbol, self.n = symbol, self.seen[context]
-        self.pair_hash = kernel.mix(self.gram_hash[context] * _ONE + hashes)
-        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, dtype=bool)
-        names, context = context[new], np.cumsum(new) - 1
-        buckets = self.corpus.buckets
-        self.dealt = Level(self.gram_hash[names], context, short, hashes, counts, self.n, q, buckets[min(self.level, len(buckets) - 1)], self.corpus.limit)
+        short = np.where(self.symbol > 0, np.maximum((self.hashes >> bits).astype(np.uint32), 1), 0).astype(np.uint32)
+        return self.dealt.rows(short, counts, q)
 
     def _often(self) -> np.ndarray:
         """Tokens that occur often enough after the context of the level above."""
@@ -406,17 +418,19 @@ class Batch:
     def _grown(self, replies, sums):
         counts, rest = self.dealt.answered(replies, sums)
         counts = np.where(self.symbol > 0, counts, 0)
-        r, c, n = rest[self.back], counts[self.back], self.n[self.back]
-        own = self.p[self.some]
-        self.p[self.some] = np.where(r >= 0, r * own + np.where(c >= OCCURRENCES, (c - DISCOUNT) / np.maximum(n, 1), 0.0), own)
+        listed = np.where(counts >= OCCURRENCES, (counts - DISCOUNT) / np.maximum(self.seen[self.context], 1), 0.0)
+        held = np.flatnonzero((rest >= 0)[self.back])
+        pair, place = self.back[held], self.some[held]
+        self.p[place] = rest[pair] * self.p[place] + listed[pair]
+        if self.level == self.corpus.depth:
+            return
+        pair_hash = kernel.mix(self.gram_hash[self.context] * _ONE + self.hashes)
         self.gram = np.full(len(self.tokens), -1)
-        listed = self.symbol[self.back] > 0
-        self.gram[self.some[listed]] = self.back[listed]
+        self.gram[self.some] = np.where((self.symbol > 0)[self.back], self.back, -1)
         old, place = np.unique(self.same_gram, return_inverse=True)
         self.gram[self.same] = len(counts) + place
-        self.gram_hash, self.seen = np.concatenate([self.pair_hash, self.gram_hash[old]]), np.concatenate([counts, self.seen[old]])
-        if self.level < self.corpus.depth:
-            self._next()
+        self.gram_hash, self.seen = np.concatenate([pair_hash, self.gram_hash[old]]), np.concatenate([counts, self.seen[old]])
+        self._next()
 
     def scores(self):
         """Numbers of tokens, of known ones, base scores and scores of the texts."""
@@ -436,9 +450,9 @@ def _replies(table: pa.Table) -> dict[int, dict[int, bytes]]:
 _PAIRS = "batch bigint, bucket bigint, pairs binary"
 
 
-def _dealt(batch: int, level: Level) -> pa.Table:
-    rows = list(level.rows())
-    return pa.table({"batch": pa.array([batch] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int64()), "pairs": pa.array([x for _, x in rows], pa.binary())})
+def _dealt(number: int, batch: Batch) -> pa.Table:
+    rows = list(batch.rows())
+    return pa.table({"batch": pa.array([number] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int64()), "pairs": pa.array([x for _, x in rows], pa.binary())})
 
 
 def _meeting(limit: float):
@@ -448,7 +462,7 @@ def _meeting(limit: float):
 def _further(shared):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        return _dealt(row["batch"], Batch(row, shared.value, _replies(right)).dealt)
+        return _dealt(row["batch"], Batch(row, shared.value, _replies(right)))
 
     return run
 
@@ -476,7 +490,7 @@ def grown(batches: DataFrame, tokens: int) -> tuple[Corpus, DataFrame]:
             def first(rows):
                 for b in rows:
                     for row in b.to_pylist():
-                        yield from _dealt(row["batch"], Batch(row, shared.value, {}).dealt).to_batches()
+                        yield from _dealt(row["batch"], Batch(row, shared.value, {})).to_batches()
 
             pairs = slim.mapInArrow(first, _PAIRS)
         else:
