@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lexiloom.llm import pii
 
@@ -53,3 +54,62 @@ def test_contexts_discover_unseen_identifiers(spark):
     found = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
     assert found[100] == "context:14:25"
     assert found[101] == ""
+
+
+def test_long_runs_take_linear_time():
+    begin = time.time()
+    for piece in ("0", "a", "a@", "1.", "1.0.0.", "語", "+1 (", "1 ", "a1", "x@y.z,"):
+        pii._instances(t := piece * (1_000_000 // len(piece)), pii.base_spans(t))
+    assert time.time() - begin < 60
+    assert pii.base_spans("0" * 5000 + "1.0.0.1") == [("ip", 0, 5007)]
+    assert pii.base_spans("7" * 5000 + ".0.0.1") == []
+
+
+def graph(rows, rounds, threshold, support):
+    """The accepted instances, by plain loops over (pattern, instance, seed)."""
+    seeds = {i: 1.0 for _, i, s in rows if s}
+    known = dict(seeds)
+    for _ in range(rounds):
+        sure = {}
+        for p in {p for p, _, _ in rows}:
+            own = {i for q, i, _ in rows if q == p}
+            good = [known[i] for i in own if i in known]
+            if len(good) >= support and sum(good) / (len(own) + pii.PRIOR) >= threshold:
+                sure[p] = sum(good) / (len(own) + pii.PRIOR)
+        known = dict(seeds)
+        for p, i, _ in rows:
+            if i not in seeds and p in sure:
+                known[i] = max(known.get(i, 0.0), sure[p])
+    return known
+
+
+def test_graph_against_brute_force(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        seeds = set(range(40))
+        rows = sorted({(rng.randrange(8), i, i in seeds) for i in range(60) for _ in range(2)} | {(100 + i % 3, i, False) for i in range(40, 60)})
+        found = {r.instance: r.c for r in pii.accepted(spark.createDataFrame(rows, "pattern long, instance long, seed boolean"), 3, 0.4, 3).collect()}
+        expected = graph(rows, 3, 0.4, 3)
+        assert found.keys() == expected.keys() and all(abs(found[k] - c) < 1e-9 for k, c in expected.items())
+        assert len(found) > 40
+
+
+def test_patterns_come_in_through_discovered_instances(spark):
+    rows = [(k, f"account 10.0.{k}.1 word{k}") for k in range(90)]
+    codes = [f"ZX-{k}-8891" for k in range(20)]
+    rows += [(200 + k, f"account {c} plain{k} and then badge {c} other{k}") for k, c in enumerate(codes)]
+    rows += [(300, "my badge QQ-5512-77 here"), (301, "in the year 1999-2000 again")]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[300] == "context:9:19" and found[301] == ""
+    one = spark.createDataFrame([r for r in rows if r[0] != 200], "doc_id long, text string")
+    assert pii.discovered(pii._scan(one, "doc_id", "text"), rounds=1).where("key = 300").count() == 0
+
+
+def test_repeated_and_null_keys_and_clashing_names(spark):
+    rows = [(k, f"customer account 10.0.0.{k} active word{k} end") for k in range(12)]
+    rows += [(50, "their account ZX-889-1234 active today"), (50, "a quite different text without any of it"), (None, "their account ZX-889-1234 active today"), (None, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _s string, mark int")
+    found = sorted((str(r.doc_id), r.spans) for r in pii.personal_data(df).where("doc_id is null or doc_id = 50").collect())
+    assert found == [("50", ""), ("50", "context:14:25"), ("None", ""), ("None", "context:14:25")]
+    clean = sorted((str(r.doc_id), str(r.text), r._s, r.mark) for r in pii.redacted(df).where("doc_id is null or doc_id = 50").collect())
+    assert clean == [("50", "a quite different text without any of it", "x", 1), ("50", "their account <context> active today", "x", 1), ("None", "None", "x", 1), ("None", "their account <context> active today", "x", 1)]
