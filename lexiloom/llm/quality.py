@@ -86,10 +86,13 @@ def fitted(rows: list[tuple[np.ndarray, int]], grades: int) -> Model:
     lists = [np.unique(x) for x, _ in rows]
     y = np.array([g for _, g in rows])
     index = np.concatenate(lists)
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     often = np.bincount(index, minlength=size) >= min(LEAST, len(rows))
     index, doc = index[often[index]], doc[often[index]]
-    names, index = np.unique(index, return_inverse=True)
+    names = np.flatnonzero(often)
+    place = np.zeros(size, np.int32)
+    place[names] = np.arange(len(names))
+    index = place[index]
     # ordered thresholds: the first, and logarithms of the steps to the next ones
     share = np.clip([(y <= k).mean() for k in range(grades - 1)], 1e-3, 1 - 1e-3)
     theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-2 * np.arange(grades - 1))
@@ -126,7 +129,12 @@ def sampled(df: DataFrame, labels: DataFrame, grade: str, key: str = "doc_id", t
 
     chosen = labels.select(key, F.col(grade).cast("int").alias("_grade")).dropna().dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(rows)
     found = df.select(key, text).join(F.broadcast(chosen), key).select(text, "_grade")  # at most ``rows`` small rows
-    return [(np.array(r.x, dtype=np.int64), r.y) for r in found.mapInArrow(run, "x array<int>, y int").collect()]
+    table = found.mapInArrow(run, "x array<int>, y int").toArrow()
+    if not len(table):
+        return []
+    lists = table["x"].combine_chunks()
+    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+    return [(flat[i:j], y) for i, j, y in zip(at[:-1], at[1:], table["y"].to_pylist())]
 
 
 def graded(df: DataFrame, model: Model, text: str = "text", keep: float | None = None) -> DataFrame:
