@@ -10,7 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most rows of a batch that Python workers get: texts may be long, and a batch is in memory several times.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let the session send batches of BATCH_ROWS rows at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: this cuts the lineage, survives lost
     executors and is computed once however often it is used."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
