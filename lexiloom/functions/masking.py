@@ -8,7 +8,9 @@ masked().
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,47 +78,44 @@ def guarded(pattern: str, lead: str = "", rejected: frozenset[str] = _WORD_OR_BA
     return find
 
 
+def _apart(spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that aren't empty and begin after the ones before them."""
+    done = 0
+    for start, end in spans:
+        if done <= start < end:
+            yield start, end
+            done = end
+
+
 class Masker:
-    """Patterns masked one after another. Placeholders are numbered from 0 in each text; a number whose placeholder the
-    text holds already is left out; a span that takes in earlier placeholders becomes a single one."""
+    """Patterns masked one after another. Each cuts the text, with the placeholders so far, into plain and protected
+    pieces in turn; the protected ones are then numbered. Numbers whose placeholder the text itself holds are left out.
+    A piece that takes in earlier placeholders is one piece; one that is a placeholder stays."""
 
     def __init__(self, patterns: Iterable = DEFAULT_PATTERNS):
         self.finders = [finder(p) for p in patterns]
 
     def mask(self, text: str) -> tuple[str, dict[str, str]]:
-        found: dict[str, str] = {}
-        out, number = text, 0
+        names = (name for k in count() if (name := f"{PREFIX}{k}__") not in text)
+        shown, held = text, {}
         for find in self.finders:
-            parts, done = [], 0
-            for start, end in find(out):
-                if start < done or end <= start:
-                    continue
-                piece = out[start:end]
-                parts.append(out[done:start])
-                done = end
-                if piece in found:
-                    parts.append(piece)
-                    continue
-                piece = re.sub(PLACEHOLDER, lambda m: found.pop(m[0], m[0]), piece)
-                while (name := f"{PREFIX}{number}__") in found or name in text:
-                    number += 1
-                number += 1
-                found[name] = piece
-                parts.append(name)
-            out = "".join(parts) + out[done:]
-        return out, found
+            spans = [(a, b) for a, b in _apart(find(shown)) if shown[a:b] not in held]
+            pieces = [shown[a:b] for a, b in pairwise([0, *chain(*spans), len(shown)])]
+            for k, name in zip(range(1, len(pieces), 2), names):
+                whole = re.sub(PLACEHOLDER, lambda m: held.pop(m[0], m[0]), pieces[k])
+                held[name], pieces[k] = whole, name
+            shown = "".join(pieces)
+        return shown, held
 
 
 def unmasked(text: str, found: dict[str, str]) -> str:
     """The translation with its placeholders restored. They may have changed case or spacing, but each has to be there once."""
-    text = re.sub(MANGLED, lambda m: f"{PREFIX}{m[1].upper()}__", text)
-    seen = re.findall(PLACEHOLDER, text)
-    if unknown := [p for p in seen if p not in found]:
-        raise IntegrityError(f"unexpected placeholder {unknown[0]}")
-    for p in found:
-        if seen.count(p) != 1:
-            raise IntegrityError(f"placeholder {p} " + ("missing" if p not in seen else "doubled"))
-    return re.sub(PLACEHOLDER, lambda m: found[m[0]], text)
+    pieces = re.split(f"({PLACEHOLDER})", re.sub(MANGLED, lambda m: f"{PREFIX}{m[1].upper()}__", text))
+    names = Counter(pieces[1::2])
+    for what, wrong in (("unexpected", names.keys() - found.keys()), ("missing", found.keys() - names.keys()), ("doubled", (names - Counter(found.keys())).keys())):
+        if wrong:
+            raise IntegrityError(f"placeholder {min(wrong)} {what}")
+    return "".join(found.get(piece, piece) if k % 2 else piece for k, piece in enumerate(pieces))
 
 
 def masked(df: DataFrame, patterns=DEFAULT_PATTERNS, text: str = "source") -> DataFrame:
