@@ -1,8 +1,9 @@
 """Operator 4: benchmark decontamination by greedy string tiling.
 
 Seeds are the runs of ``TILE`` words of a benchmark item. A document that shares a seed with an item
-is tiled against it: the longest matches of unmarked words, found by running Karp-Rabin hashes of
-the seeds and extended word by word, are marked again and again until none of TILE words is left.
+is tiled against it: running Karp-Rabin hashes of its words are joined with the sorted seeds, shared
+seeds that follow each other in both are one match, and the longest matches of unmarked words are
+marked again and again until none of TILE words is left.
 The share of the item's words that tiles cover doesn't depend on their order, so that a passage
 whose sentences were moved is caught too.
 
@@ -12,6 +13,7 @@ most ``BLOCK_WORDS`` words: its size is checked, and a larger one takes a pass f
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from functools import reduce
 
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel
 
@@ -37,59 +40,88 @@ def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return kernel.mix(total)
 
 
+#: Shared seeds that are held at once.
+AT_ONCE = 1 << 20
+
+
 class Benchmark:
-    """Items as word hashes, and where their seeds are. Items shorter than a tile are one seed; items without words match nothing."""
+    """Items as word hashes, and their sorted seeds. Items shorter than a tile are one seed; items without words match nothing."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = {i: h for i, h in items if len(h)}
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, h in self.items.items():
-            for k, s in enumerate(_runs(h, min(TILE, len(h))).tolist()):
-                self.seeds[min(TILE, len(h))][s].append((i, k))
-        self.seeds = {size: dict(s) for size, s in self.seeds.items()}
-        self.marks = {}
-        for size, s in self.seeds.items():
-            self.marks[size] = np.zeros(1 << 20, dtype=bool)
-            self.marks[size][np.fromiter(s, np.uint64, len(s)) >> np.uint64(44)] = True
-
-    def hits(self, hashes: np.ndarray):
-        """For each item that shares a seed with a text: the places (in the text, in the item) of the shared seeds."""
-        found = defaultdict(list)
-        for size, seeds in self.seeds.items():
+        self.seeds = {}
+        for size in sorted({min(TILE, len(h)) for h in self.items.values()}):
+            runs = {i: _runs(h, size) for i, h in self.items.items() if min(TILE, len(h)) == size}
+            keys = np.concatenate(list(runs.values()))
+            item = np.repeat(np.array(list(runs), np.int64), [len(r) for r in runs.values()])
+            place = np.concatenate([np.arange(len(r)) for r in runs.values()])
+            order = np.argsort(keys, kind="stable")
+            marks = np.zeros(1 << 20, dtype=bool)
+            marks[keys >> np.uint64(44)] = True
+            self.seeds[size] = keys[order], item[order], place[order], marks
+
+    def matches(self, hashes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """For each item that shares a seed with a text: (start in text, start in item, words) of the matches that can't be made longer."""
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for size, (keys, items, places, marks) in self.seeds.items():
             runs = _runs(hashes, size)
-            for at in np.flatnonzero(self.marks[size][runs >> np.uint64(44)]).tolist():
-                for item, k in seeds.get(int(runs[at]), ()):
-                    found[item].append((at, k))
+            at = np.flatnonzero(marks[runs >> np.uint64(44)])
+            low, high = np.searchsorted(keys, runs[at], side="left"), np.searchsorted(keys, runs[at], side="right")
+            at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+            ends, waiting, begin = np.cumsum(n), {}, 0
+            while begin < len(at):  # parts of the text; a match that reaches the end of one may go on in the next
+                stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] - n[begin] + AT_ONCE, side="right")))
+                part = slice(begin, stop)
+                seed = np.repeat(low[part] - (ends[part] - n[part] - ends[begin] + n[begin]), n[part]) + np.arange(ends[stop - 1] - ends[begin] + n[begin])
+                text, item = np.repeat(at[part], n[part]), items[seed]
+                shift = text - places[seed]
+                order = np.lexsort((text, shift, item))
+                text, item, shift = text[order], item[order], shift[order]
+                first = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (text[1:] != text[:-1] + 1)]))
+                last = np.append(first[1:], len(text)) - 1
+                open_, waiting = waiting, {}
+                for i, d, a, b in zip(item[first].tolist(), shift[first].tolist(), text[first].tolist(), text[last].tolist()):
+                    before = open_.pop((i, d), None)
+                    if before is not None and before[1] + 1 == a:
+                        a = before[0]
+                    elif before is not None:
+                        found[i].append((before[0], before[0] - d, before[1] - before[0] + size))
+                    if b == at[stop - 1]:
+                        waiting[i, d] = a, b
+                    else:
+                        found[i].append((a, a - d, b - a + size))
+                for (i, d), (a, b) in open_.items():
+                    found[i].append((a, a - d, b - a + size))
+                begin = stop
+            for (i, d), (a, b) in waiting.items():
+                found[i].append((a, a - d, b - a + size))
         return found
 
 
-def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of word hashes: (start in text, start in item, words) of non-overlapping matches, the longest first,
-    of equal ones the first in the text. seeds: all places where TILE words (or all of a shorter item) agree."""
-    least = min(TILE, len(item))
-    free_text, free_item, made = np.ones(len(text), dtype=bool), np.ones(len(item), dtype=bool), []
-    while True:
-        seeds = [(a, b) for a, b in seeds if free_text[a] and free_item[b] and free_text[a + least - 1] and free_item[b + least - 1]]
-        longest, ready, reach = 0, [], {}
-        for a, b in seeds:  # by place in the text: a seed within a match that began before belongs to it
-            if reach.get(a - b, -1) >= a + least:
-                continue
-            n, most = 0, min(len(text) - a, len(item) - b)
-            while n < most and text[a + n] == item[b + n] and free_text[a + n] and free_item[b + n]:
-                n += 1
-            reach[a - b] = a + n
-            if n >= least:
-                if n > longest:
-                    longest, ready = n, []
-                if n == longest:
-                    ready.append((a, b))
-        if not ready:
-            return made
-        for a, b in ready:
-            if free_text[a : a + longest].all() and free_item[b : b + longest].all():
-                free_text[a : a + longest] = False
-                free_item[b : b + longest] = False
-                made.append((a, b, longest))
+def _free(marked: np.ndarray, start: int, n: int) -> np.ndarray:
+    return ~marked[start : start + n]
+
+
+def tiles(text: int, item: int, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of so many words: (start in text, start in item, words) of non-overlapping matches, the longest first,
+    of equal ones the first in the text. matches: all that can't be made longer, of TILE words at least (or all of a shorter item)."""
+    least = min(TILE, item)
+    marked_text, marked_item, made, left = np.zeros(text, dtype=bool), np.zeros(item, dtype=bool), [], item
+    waiting = [(-n, a, b) for a, b, n in matches]
+    heapq.heapify(waiting)
+    while waiting and left >= least:
+        n, a, b = heapq.heappop(waiting)
+        free = _free(marked_text, a, -n) & _free(marked_item, b, -n)
+        if free.all():
+            made.append((a, b, -n))
+            marked_text[a : a - n] = marked_item[b : b - n] = True
+            left += n
+        else:  # the pieces between marked words wait for their turn
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+            for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if j - i >= least:
+                    heapq.heappush(waiting, (i - j, a + i, b + i))
+    return made
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
@@ -117,6 +149,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     benchmark is an item by itself, whether its id is null or that of others.
     """
     key_kind, item_kind = df.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     names = [key, item, "n_tiles", "n_covered", "n_words", "coverage"]
 
     def passed(block):
@@ -125,20 +158,20 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         def run(batches):
             ids = [i for i, _ in shared.value]
             known = Benchmark([(n, h) for n, (_, h) in enumerate(shared.value)])
-            item_arrow = None
             for batch in batches:
                 at_row, rows = [], []
                 for row, at, hashes, _, _ in kernel.words(batch.column(1)):
                     for k in range(len(at) - 1):
                         words = hashes[at[k] : at[k + 1]]
-                        for i, seeds in known.hits(words).items():
-                            made, total = tiles(words, known.items[i], seeds), len(known.items[i])
+                        for i, matches in known.matches(words).items():
+                            total = len(known.items[i])
+                            made = tiles(len(words), total, matches)
                             covered = sum(n for _, _, n in made)
                             if covered >= coverage * total:
                                 at_row.append(row + k)
                                 rows.append((ids[i], len(made), covered, total, covered / total))
                 keys = batch.column(0).take(pa.array(at_row, pa.int64()))
-                item_arrow = pa.array([r[0] for r in rows], pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32())
+                item_arrow = pa.array([r[0] for r in rows], item_type)
                 rest = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays([keys, item_arrow, *rest, pa.array([r[4] for r in rows], pa.float64())], names)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from lexiloom.llm import decontaminate
 
@@ -28,16 +29,27 @@ def brute(text, item, least):
                 covered += best
 
 
-def test_tiling_against_its_definition():
+@pytest.mark.parametrize("at_once", [decontaminate.AT_ONCE, 6])
+def test_tiling_against_its_definition(monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
     rng = random.Random(4)
     for _ in range(500):
         item = np.array([rng.randrange(4) for _ in range(rng.randint(1, 24))], dtype=np.uint64)
         text = np.array([rng.randrange(4) for _ in range(rng.randint(0, 60))], dtype=np.uint64)
-        hits = decontaminate.Benchmark([(0, item)]).hits(text)
-        made = decontaminate.tiles(text, item, hits[0]) if 0 in hits else []
+        matches = decontaminate.Benchmark([(0, item)]).matches(text)
+        made = decontaminate.tiles(len(text), len(item), matches[0]) if 0 in matches else []
         assert sum(n for _, _, n in made) == brute(text.tolist(), item.tolist(), min(5, len(item)))
 
 
+def test_long_text_of_one_word_and_other_types(spark):
+    items = spark.createDataFrame([("x", "a " * 200), ("y", "p q r s t u v")], "item_id string, text string")
+    df = spark.createDataFrame([(1.5, "a " * 100_000), (2.5, "z p q r s t u v z"), (3.5, "q " * 100_000)], "doc_id double, text string")
+    found = sorted((r.doc_id, r.item_id, r.n_tiles, r.n_covered) for r in decontaminate.leaks(df, items).collect())
+    assert found == [(1.5, "x", 1, 200), (2.5, "y", 1, 7)]
+    dated = items.selectExpr("date'2020-01-01' item_id", "text", "1 coverage")
+    assert decontaminate.leaks(df, dated).count() == 2
+
+
 def test_reordered_passages_and_edges(spark, monkeypatch):
     words = [f"w{k}" for k in range(40)]
     items = spark.createDataFrame([(1, " ".join(words)), (2, "Two words"), (3, None), (None, "a b c d e f"), (4, " ")], "item_id long, text string")

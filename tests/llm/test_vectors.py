@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lexiloom.llm import vectors
 
@@ -28,7 +29,9 @@ def brute(rows, least=0.98):
     return {k: (n[k], root(k), root(k) == k) for k in up}
 
 
-def test_recall_and_edges(spark):
+@pytest.mark.parametrize("block", [vectors.BLOCK, 16])
+def test_recall_and_edges(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
     rows, centres = [], rng.standard_normal((60, 64))
     for k in range(600):
@@ -46,3 +49,12 @@ def test_recall_and_edges(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     assert sorted((r.vec_id or 0) for r in vectors.near_duplicates(twice).collect()) == [0, 1, 1]
+
+
+def test_repeated_keys_and_other_keys(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect())
+    assert found == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1)]
+    named = vectors.near_duplicates(df.selectExpr("concat('k', vec_id) vec_id", "embedding", "'x' label")).collect()
+    assert sorted((r.vec_id, r.component_id) for r in named) == [("k1", "k1"), ("k1", "k1"), ("k2", "k1"), ("k3", "k1")]
