@@ -128,7 +128,8 @@ def sampled(df: DataFrame, labels: DataFrame, grade: str, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in features(batch.column(0))], pa.list_(pa.int32())), batch.column(1)], ["x", "y"])
 
     chosen = labels.select(key, F.col(grade).cast("int").alias("_grade")).dropna().dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(rows)
-    found = df.select(key, text).join(F.broadcast(chosen), key).select(text, "_grade")  # at most ``rows`` small rows
+    found = df.select(key, text).join(F.broadcast(chosen), key)  # at most ``rows`` small rows
+    found = found.groupBy(key).agg(F.min(text).alias(text), F.first("_grade").alias("_grade")).select(text, "_grade")  # keys may repeat
     table = found.mapInArrow(run, "x array<int>, y int").toArrow()
     if not len(table):
         return []
