@@ -104,13 +104,7 @@ def counted(table: pa.Table) -> pa.Table:
         lines, unit = (np.stack(part[c].to_numpy()) for c in ("lines", "unit"))
         line, left = part["line"][0].as_py(), np.flatnonzero(~side[start:end])
         right = left if part["same"][0].as_py() else np.flatnonzero(side[start:end])
-        n, up = np.zeros(end - start, np.int64), {}
-
-        def root(x, up=up):
-            while x in up:
-                x = up[x]
-            return x
-
+        n, group = np.zeros(end - start, np.int64), np.arange(end - start)
         right = right[np.argsort(lines[right, line], kind="stable")]  # windows of the pivot line
         low = np.searchsorted(lines[right, line], lines[left, line] - np.float32(WINDOW), side="left")
         high = np.searchsorted(lines[right, line], lines[left, line] + np.float32(WINDOW), side="right")
@@ -135,11 +129,10 @@ def counted(table: pa.Table) -> pa.Table:
                 a, b = a[ok], b[ok]
                 np.add.at(n, a, copies[start + b])
                 np.add.at(n, b, copies[start + a])
-                for x, y in zip(a.tolist(), b.tolist()):
-                    p, q = root(x), root(y)
-                    if p != q:
-                        up[p] = q
-                        edges.append((int(ids[start + x]), int(ids[start + y])))
+                while (apart := group[a] != group[b]).any():  # as often as groups become one
+                    a, b = a[apart], b[apart]
+                    group[group == group[a[0]]] = group[b[0]]
+                    edges.append((int(ids[start + a[0]]), int(ids[start + b[0]])))
         some = np.flatnonzero(n)
         out_id += ids[start + some].tolist()
         out_n += n[some].tolist()
