@@ -81,6 +81,6 @@ def summary(states: DataFrame) -> DataFrame:
 def loaded(spark: SparkSession, path: str) -> DataFrame:
     """Records of a meta file; none if it is missing, broken or of a newer schema. Rows (rel, original_sha256, translated_sha256, status)."""
     entry = "struct<original_sha256:string,translated_sha256:string,status:string>"
-    text = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"schema_version int, files map<string,{entry}>").alias("m"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"schema_version int, files map<string,{entry}>").alias("m"))
     rows = text.where(F.col("m.schema_version") <= SCHEMA_VERSION).select(F.explode("m.files").alias("rel", "f"))
     return rows.select("rel", "f.*")

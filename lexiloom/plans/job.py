@@ -12,7 +12,7 @@ import os
 import shutil
 import tempfile
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,16 +103,40 @@ def _segments(spark: SparkSession, config: Config):
 
 def estimated(spark: SparkSession, config: Config, tm: Memory) -> DataFrame:
     """One row: segments, those in memory, characters to send, milliseconds; nothing is written."""
-    *_, segments, _ = _segments(spark, config.checked())
+    config = config.checked()
+    if os.path.abspath(config.source) == os.path.abspath(config.target) and os.path.isdir(originals(config.source)):
+        config = from_originals(config)
+    *_, segments, _ = _segments(spark, config)
     hits = memory.lookup(segments, tm.read(), config.tgt_lang, config.engine, Policy(switch_engine=config.switch_engine))
     limit = estimate.PROVIDERS.get(config.engine, estimate.Capabilities())
     rows = estimate.estimated(hits, [], limit)
     return rows.withColumn("est_ms", F.lit(0).cast("long")) if config.memory_only else rows
 
 
+def originals(source: str) -> str:
+    """The folder beside a translated one that keeps its originals."""
+    return os.path.abspath(source) + ".originals"
+
+
+def from_originals(config: Config) -> Config:
+    """The run as it reads: where a folder is translated in place, from its originals, which are kept once, before the first run.
+
+    A copy that was broken off is made anew: it only gets its name when it is whole.
+    """
+    if os.path.abspath(config.source) != os.path.abspath(config.target):
+        return config
+    kept = originals(config.source)
+    if not os.path.isdir(kept):
+        shutil.rmtree(kept + ".new", ignore_errors=True)
+        shutil.copytree(config.source, kept + ".new", ignore=shutil.ignore_patterns(lineage.FOLDER))
+        os.replace(kept + ".new", kept)
+    return replace(config, source=kept)
+
+
 def run(spark: SparkSession, config: Config, tm: Memory, provider: translate.Provider | None) -> DataFrame:
-    """Translate a folder into another one, store new pairs and the record; rows (file, n_segments, n_missing, n_cached, outcome)."""
-    found, kind, options, plan, segments, _ = _segments(spark, config.checked())
+    """Translate a folder into another one, or in place from its kept originals; store new pairs and the record; rows (file, n_segments, n_missing, n_cached, outcome)."""
+    config = from_originals(config.checked())
+    found, kind, options, plan, segments, _ = _segments(spark, config)
     result = translate.translated(
         segments, tm.read(), config.tgt_lang, config.engine, None if config.memory_only else provider, kind.patterns, Policy(switch_engine=config.switch_engine), found.name
     )
@@ -122,13 +146,16 @@ def run(spark: SparkSession, config: Config, tm: Memory, provider: translate.Pro
     tm.write(memory.merged(tm.read(), result.entries, now()))
     root = os.path.abspath(config.source)
     work = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(config.target)))
-    for row in injected(plan, result.occurrences, kind, options).toLocalIterator():  # a partition at a time
-        rel = os.path.relpath(row.path.split(":", 1)[-1].replace("//", "/", 1) if row.path.startswith("file:") else row.path, root)
-        place = os.path.join(work, rel)
-        os.makedirs(os.path.dirname(place), exist_ok=True)
-        with open(place, "wb") as out:
-            out.write(bytes(row.content))
-    committed(work, config.target)
+    try:
+        for row in injected(plan, result.occurrences, kind, options).toLocalIterator():  # a partition at a time
+            rel = os.path.relpath(row.path.split(":", 1)[-1].replace("//", "/", 1) if row.path.startswith("file:") else row.path, root)
+            place = os.path.join(work, rel)
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            with open(place, "wb") as out:
+                out.write(bytes(row.content))
+        committed(work, config.target)
+    finally:
+        shutil.rmtree(work, ignore_errors=True)
     recorded(spark, config.target, config.source, kind.extensions, states)
     return states
 
@@ -140,7 +167,6 @@ def committed(work: str, target: str) -> None:
             place = os.path.join(target, os.path.relpath(os.path.join(folder, name), work))
             os.makedirs(os.path.dirname(place), exist_ok=True)
             os.replace(os.path.join(folder, name), place)
-    shutil.rmtree(work)
 
 
 def recorded(spark: SparkSession, translated: str, original: str, extensions, states: DataFrame | None = None) -> int:

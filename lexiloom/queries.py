@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import langcodes, masking, predicates, text
-from .operators import estimate, lineage, memory, outcome
+from .functions import codes, gametext, langcodes, masking, predicates, text
+from .operators import batching, estimate, filenames, lineage, memory, outcome
 from .operators.memory import Policy
 
 QUERIES: dict = {}
@@ -201,7 +201,7 @@ def mask_tags(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select("page_id", "m.masked", F.size("m.token_map").cast("long").alias("n_tokens"))
 
 
-CODED = r"""coded as (select id, '\C[' || (doc_id % 8) || ']' || source || '{v' || pos || '}' as source from seg)"""
+CODED = r"""coded as (select id, doc_id, pos, source as source_line, '\C[' || (doc_id % 8) || ']' || source || '{v' || pos || '}' as source from seg)"""
 
 
 def _coded(spark, sf_dir):
@@ -219,17 +219,15 @@ def dedupe_masked_templates(spark, sf_dir):
     return m.groupBy("masked").agg(F.count("*").alias("occurrences"), F.min("id").alias("first_id"))
 
 
-@query(rf"""with {SEG}, {CODED} select id, case when length(id) % 4 = 3 then null else source end as target, length(id) % 4 <> 3 as intact from coded""")
+@query(rf"""with {SEG}, {CODED} select id,
+case length(id) % 4 when 3 then null when 0 then '\C[' || (doc_id % 8) || ']' || lower(source_line) || '{{v' || pos || '}}' else source end as target, length(id) % 4 <> 3 as intact from coded""")
 def unmask_integrity(spark, sf_dir):
-    """Translations that mangle, keep or lose a placeholder: the first two are restored."""
+    """Translations in lower case, with spaced, whole or missing placeholders: all but the last are restored."""
     rows = _coded(spark, sf_dir).select("id", masking.mask_single("source", CODE_PATTERN).alias("m")).select("id", "m.*")
     turn = F.length("id") % 4
     came = F.when(turn == 0, F.lower("masked")).when(turn == 1, F.replace("masked", F.lit("__XTOK_"), F.lit("__ xtok_"))).when(turn == 3, F.replace("masked", F.lit("__XTOK_0__"), F.lit(""))).otherwise(F.col("masked"))
     restored = masking.unmask_column("came", "token_map")
-    out = rows.withColumn("came", came).select("id", restored.alias("target"), masking.is_intact("came", "token_map").alias("intact"), "masked", "token_map", turn.alias("turn"))
-    # a lower-cased translation differs in case outside of placeholders: compare the one that kept its case
-    same = masking.unmask_column("masked", "token_map")
-    return out.select("id", F.when(F.col("turn") == 0, same).otherwise(F.col("target")).alias("target"), "intact")
+    return rows.withColumn("came", came).select("id", restored.alias("target"), masking.is_intact("came", "token_map").alias("intact"))
 
 
 @query(f"""with {TM} select src_lang, tgt_lang, source_hash, target from tm
@@ -462,3 +460,72 @@ def last_status_by_key(spark, sf_dir):
     from .streaming.events import last_status
 
     return last_status(_table(spark, sf_dir, "events"), "user_id")
+
+
+@query(f"""with recursive {SEG}, s as (
+  select id, file, length(source) + 16 as size, row_number() over (partition by file order by ord) as rn from seg
+), w as (
+  select file, rn, 0::bigint as batch, 1 as items, size as chars from s where rn = 1
+  union all
+  select s.file, s.rn, case when items >= 7 or chars + size >= 900 then batch + 1 else batch end, case when items >= 7 or chars + size >= 900 then 1 else items + 1 end,
+    case when items >= 7 or chars + size >= 900 then size else chars + size end from w join s on s.file = w.file and s.rn = w.rn + 1
+) select s.id, s.file, w.batch from s join w on s.file = w.file and s.rn = w.rn""")
+def batch_assignment(spark, sf_dir):
+    """Greedy batches of each file: seven texts, or the characters that fit."""
+    return batching.assigned(segments(spark, sf_dir).select("id", "file", "ord", "source"), estimate.Capabilities(900, 7, 4), ["file"]).select("id", "file", "batch")
+
+
+@query("""with f as (
+  select lpad(p_partkey::varchar, 9, '0') as rel, 'folder-' || (p_size % 5) as folder, 'Name ' || (p_partkey % 10) as name, p_partkey % 3 = 0 as upper from part
+) select rel, folder, case when upper then upper(name) else name end || case when n > 1 then '_' || (n - 1) else '' end || '.txt' as target, n > 1 as collided
+from (select *, row_number() over (partition by folder, lower(name) order by rel) as n from f)""")
+def filename_collisions(spark, sf_dir):
+    """Translated names that are taken in their folder, in whatever case, get a number."""
+    name = F.concat(F.lit("Name "), (F.col("p_partkey") % 10).cast("string"))
+    files = _table(spark, sf_dir, "part").select(
+        F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("rel"), F.concat(F.lit("folder-"), (F.col("p_size") % 5).cast("string")).alias("folder"), F.lit("stem").alias("stem"),
+        F.lit(".txt").alias("ext"), F.when(F.col("p_partkey") % 3 == 0, F.upper(name)).otherwise(name).alias("translated"),
+    )
+    return filenames.allocated(files).select("rel", "folder", "target", "collided")
+
+
+@query(rf"""with {SEG} select id, case pos % 3 when 0 then '\F[1]' || source || '\c[2]' when 1 then '\f[1]' || source || '\Px[2]' else '\f[1]' || source end as target from seg""")
+def code_case_restore(spark, sf_dir):
+    """Codes whose case a translation lost: restored where the source has one spelling and the code isn't read in either case."""
+    turn, line = F.col("pos") % 3, F.col("source")
+    original = F.when(turn == 0, F.concat(F.lit("\\F[1]"), line, F.lit("\\C[2]"))).when(turn == 1, F.concat(F.lit("\\F[1]\\f[2]"), line, F.lit("\\Px[2]"))).otherwise(line)
+    came = F.when(turn == 0, F.concat(F.lit("\\f[1]"), line, F.lit("\\c[2]"))).when(turn == 1, F.concat(F.lit("\\f[1]"), line, F.lit("\\px[2]"))).otherwise(F.concat(F.lit("\\f[1]"), line))
+    return segments(spark, sf_dir).select("id", codes.case_restored(original, came).alias("target"))
+
+
+# Lines of the tables that are code to gametext.is_code.
+CODE_SQL = "(contains({0}, '&&') or contains({0}, '||') or contains({0}, '==') or contains({0}, '!=') or regexp_matches({0}, '^[0-9.,+ -]*[0-9][0-9.,+ -]*$'))"
+
+
+@query(f"""with {SEG} select id, case pos % 4 when 0 then 'show_if(v[1] > 0) ' when 1 then 'if(s[2] == 1)' else '' end as condition,
+case pos % 4 when 2 then 'if (x) ' || source else source end as body from seg where not regexp_matches(source, '[\\w$]\\s*=[^=]|[{{}}]|;$')""")
+def choice_condition(spark, sf_dir):
+    """Conditions before a choice's text: named ones, and comparisons without a gap. Lines that are assignments or blocks aren't choices."""
+    turn, line = F.col("pos") % 4, F.col("source")
+    shown = F.when(turn == 0, F.concat(F.lit("show_if(v[1] > 0) "), line)).when(turn == 1, F.concat(F.lit("if(s[2] == 1)"), line)).when(turn == 2, F.concat(F.lit("if (x) "), line)).otherwise(line)
+    return segments(spark, sf_dir).where(~line.rlike(r"[\w$]\s*=[^=]|[{}]|;$")).select("id", gametext.guarded_text()(shown).alias("c")).select("id", "c.*")
+
+
+@query(f"""with {SEG}, m as (select id, pos % 3 as turn, source, {CODE_SQL.format('source')} as code from seg)
+select id, 1 as "start", 4 as "end", 'Ana' as shown from m where turn = 0 and not code
+union all select id, 5 + (turn = 1)::int - 5 * (turn = 2)::int, 5 + (turn = 1)::int - 5 * (turn = 2)::int + length(source), source from m where not code""")
+def show_text_spans(spark, sf_dir):
+    """Messages: a speaker and what is said, a key and its value, or plain text."""
+    turn, line = F.col("pos") % 3, F.col("source")
+    shown = F.when(turn == 0, F.concat(F.lit("<Ana>"), line)).when(turn == 1, F.concat(F.lit("text: "), line)).otherwise(line)
+    return segments(spark, sf_dir).select("id", F.explode(gametext.spans_of(gametext.message_spans)(shown)).alias("s")).select("id", "s.start", "s.end", F.col("s.source").alias("shown"))
+
+
+@query(f"""with {SEG}, m as (select id, pos % 2 as turn, replace(source, chr(92), '/') as line from seg)
+select id, 18 - 11 * turn as "start", 18 - 11 * turn + length(replace(line, '"', chr(92) || '"')) as "end", line as shown from m where not {CODE_SQL.format('line')}""")
+def script_spans(spark, sf_dir):
+    """Literals that scripts pass to message calls, with escaped quotes."""
+    line = F.replace("source", F.lit("\\"), F.lit("/"))
+    literal = F.concat(F.lit('"'), F.replace(line, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    script = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("$gameMessage.add("), literal, F.lit(");"))).otherwise(F.concat(F.lit("mes = "), literal))
+    return segments(spark, sf_dir).select("id", F.explode(gametext.spans_of(gametext.script_spans)(script)).alias("s")).select("id", "s.start", "s.end", F.col("s.source").alias("shown"))

@@ -81,3 +81,25 @@ def test_progress_stream(spark, tmp_path):
     lines.processAllAvailable()
     lines.stop()
     assert spark.read.json(str(tmp_path / "out")).count() == source.count()
+
+
+def test_translation_in_place_reads_the_originals(spark, tmp_path):
+    game = tree(tmp_path)
+    before = (game / "www" / "data" / "System.json").read_text()
+    tm = job.Memory(spark, str(tmp_path / "tm"))
+    config = job.Config(str(game), str(game), "en", "pt")
+    assert tuple(job.estimated(spark, config, tm).first())[:2] == (5, 0) and not (tmp_path / "Hero.originals").exists()
+    for _ in range(2):  # the second run doesn't translate translations
+        job.run(spark, config, tm, Wrapping()).collect()
+        assert json.loads((game / "www" / "data" / "System.json").read_text())["gameTitle"] == "PT[Quest]"
+        assert (tmp_path / "Hero.originals" / "www" / "data" / "System.json").read_text() == before
+    assert tm.read().count() == 4 and tuple(job.estimated(spark, config, tm).first())[:2] == (5, 5)
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("tmp")]
+
+
+def test_a_failing_run_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    game = tree(tmp_path)
+    monkeypatch.setattr(job, "committed", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        job.run(spark, job.Config(str(game), str(tmp_path / "out"), "en", "pt"), job.Memory(spark, str(tmp_path / "tm")), Wrapping())
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["Hero", "tm"]
