@@ -124,3 +124,9 @@ def sniffed_line_end(text) -> Column:
 
 def has_cjk(text) -> Column:
     return F.rlike(_col(text), F.lit(r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"))
+
+
+def glob_of(extensions) -> str:
+    """A pattern of file names with one of the extensions, in whatever case: for readers that list names before they read contents."""
+    either = lambda c: f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else c
+    return "*{" + ",".join("".join(map(either, e)) for e in extensions) + "}" if extensions else "*"

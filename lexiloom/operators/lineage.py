@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, glob_of
 
 SCHEMA_VERSION = 1
 #: Folder of the record within a translated tree; scans skip it.
@@ -28,7 +28,7 @@ def has_extension(rel, extensions) -> Column:
 
 def scanned(spark: SparkSession, root: str, extensions=()) -> DataFrame:
     """Rows (rel, sha256) of the files of a tree; contents are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob_of(extensions_normalized(extensions))).load(root)
     top = "/" + root.split(":", 1)[-1].strip("/") + "/"
     rel = F.substr("path", F.instr("path", F.lit(top)) + len(top))
     rows = files.select(rel.alias("rel"), content_hash("content").alias("sha256"))

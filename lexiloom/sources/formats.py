@@ -23,6 +23,7 @@ from ..functions import gametext, langcodes
 from ..functions.gametext import Span
 from ..functions.masking import BINARY_PATTERNS, CSV_PATTERNS, JSON_PATTERNS
 from ..functions.predicates import ASSET_ENDINGS, MENU_KEYS, TEXT_KEYS
+from ..functions.text import glob_of
 from . import documents
 
 KINDS = ("dialogue", "choice", "script", "menu", "db")
@@ -399,8 +400,8 @@ FORMATS = {
 
 
 def files(spark: SparkSession, root: str, kind: Format) -> DataFrame:
-    """Rows (path, name, content) of a tree's files that a format handles, outside of hidden folders."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """Rows (path, name, content) of a tree's files that a format handles, outside of hidden folders. Files with other extensions aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob_of(kind.extensions)).load(root)
     name = F.substring_index("path", "/", -1)
     hidden = F.rlike(F.substr("path", F.lit(len(root) + 1)), F.lit(r"/\.[^/]+/"))
     return found.where(~hidden & F.rlike(name, F.lit(rf"\A(?:{kind.handles})\z"))).select("path", name.alias("name"), "content")

@@ -44,3 +44,15 @@ def test_records_of_a_folder(spark, tmp_path):
     (tmp_path / "newer.json").write_text(json.dumps({"schema_version": lineage.SCHEMA_VERSION + 1, "files": {"x": entry}}))
     (tmp_path / "broken.json").write_text("{")
     assert lineage.loaded(spark, str(tmp_path / "newer.json")).count() == lineage.loaded(spark, str(tmp_path / "broken.json")).count() == 0
+
+
+def test_files_with_other_extensions_are_not_listed(spark, tmp_path):
+    from lexiloom.sources import formats
+
+    for name in ("A.CSV", "b.csv", "c.png", "d.csv.bak", ".hidden/e.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("id,text\n1,Hello there\n")
+    found = formats.files(spark, str(tmp_path), formats.FORMATS["csv"])
+    assert sorted(r.name for r in found.select("name").collect()) == ["A.CSV", "b.csv"]
+    assert sorted(r.rel for r in lineage.scanned(spark, str(tmp_path), ["csv"]).collect()) == ["A.CSV", "b.csv"]
+    assert lineage.scanned(spark, str(tmp_path)).count() == 4 and formats.files(spark, str(tmp_path), formats.FORMATS["lines"]).count() == 0
