@@ -48,8 +48,9 @@ FOLDS, HELD = 7, 2
 SPACE = 0x20
 #: Steps of a power of two in which probabilities are sent.
 _STEPS = 32
-#: Bits of a context's hash that aren't sent: its bucket depends on all of them, and a bucket has some million contexts.
-_CUT = np.uint64(16)
+#: Bits of a hash that aren't sent at each level, the last for deeper ones: none of a word's, whose counts are exact. A
+#: context's bucket depends on all of them, and a bucket has some million contexts.
+_CUT = (0, 16, 24)
 _END, _ONE, _TWO = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -216,9 +217,10 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 class Level:
     """The distinct (context, symbol) pairs of a batch at one depth, in the order in which they are dealt."""
 
-    def __init__(self, contexts, context, symbols, n, buckets, limit):
+    def __init__(self, contexts, context, symbols, n, buckets, limit, cut):
         """contexts: their hashes and occurrences n; of each pair: context (a number in contexts, in their order), hash of the symbol.
-        limit: a context of more occurrences goes to several buckets."""
+        limit: a context of more occurrences goes to several buckets. cut: bits of contexts that aren't sent."""
+        self.cut = np.uint64(cut)
         place = np.empty(len(contexts), np.int64)
         place[np.argsort(contexts)] = np.arange(len(contexts))  # sorted hashes are smaller
         self.n = np.where(n > limit, n, 0)  # a context in one bucket gets all its occurrences
@@ -243,7 +245,7 @@ class Level:
             i, j = self.at[b], self.at[b + 1]
             runs = self.runs(i, j)
             own = self.context[i:j][runs]
-            yield b, packed(self.contexts[own] >> _CUT, np.diff(np.append(runs, j - i)).astype(np.int32), self.n[own].astype(np.int64), symbol[i:j], counts[i:j], q[i:j])
+            yield b, packed(self.contexts[own] >> self.cut, np.diff(np.append(runs, j - i)).astype(np.int32), self.n[own].astype(np.int64), symbol[i:j], counts[i:j], q[i:j])
 
     def answered(self, replies: dict[int, bytes], sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each pair, in the order before dealing, its count, and the rest of its context, -1 if that is not retained."""
@@ -255,7 +257,7 @@ class Level:
             c, r = unpacked(replies[b], np.int64, np.float32)
             hot = np.flatnonzero(r < -1.5)
             if len(hot):  # contexts in several buckets
-                at = np.searchsorted(sums[0], contexts[context[i:j][runs[hot]]] >> _CUT)
+                at = np.searchsorted(sums[0], contexts[context[i:j][runs[hot]]] >> self.cut)
                 r = r.copy()
                 r[hot] = sums[1][at]
             counts[self.order[i:j]] = c
@@ -353,7 +355,7 @@ class Batch:
         self.learned = self.train[self.doc]
         self.level = 0
         every = np.arange(len(types))
-        self.dealt = Level(types, every, types, np.zeros(len(types), np.int64), corpus.buckets[0], np.inf)
+        self.dealt = Level(types, every, types, np.zeros(len(types), np.int64), corpus.buckets[0], np.inf, _CUT[0])
         if 0 in replies:
             self._root(replies[0], spelled[spelled != SPACE], sizes)
         for level in range(1, len(replies)):
@@ -391,7 +393,7 @@ class Batch:
         self.hashes = np.where(self.symbol > 0, self.types[self.symbol - 1], np.uint64(0))
         new = np.concatenate([[True], self.context[1:] != self.context[:-1]]) if len(codes) else np.zeros(0, dtype=bool)
         names, buckets = self.context[new], self.corpus.buckets
-        self.dealt = Level(self.gram_hash[names], np.cumsum(new) - 1, self.hashes, self.seen[names], buckets[min(self.level, len(buckets) - 1)], self.corpus.limit)
+        self.dealt = Level(self.gram_hash[names], np.cumsum(new) - 1, self.hashes, self.seen[names], buckets[min(self.level, len(buckets) - 1)], self.corpus.limit, _CUT[min(self.level, len(_CUT) - 1)])
 
     def rows(self):
         """(bucket, packed pairs) of the last level."""
