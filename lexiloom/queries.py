@@ -1,8 +1,9 @@
 """The library's operators as queries over the driver's tables, and SQL that gives the same rows.
 
 The tables hold no games or memories. Both engines derive the same ones from them with integer
-arithmetic alone: segments are lines of documents, a memory is a third of those lines, lineage is
-documents with changes.
+arithmetic alone: segments are lines of documents, a memory holds all of those lines, two thirds of them
+as older texts that lookups miss, lineage is documents with changes. No row of a table is left out; what
+shall be missing has another text or name instead.
 """
 
 from __future__ import annotations
@@ -61,11 +62,12 @@ lines as (
 
 
 def raw_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a third of the documents, under four spellings of engines and four statuses."""
+    """All lines under four spellings of engines and four statuses; those of two documents in three with an older text."""
     day = F.lpad((F.col("ord") % 28 + 1).cast("string"), 2, "0")
     status = F.when(F.col("pos") % 7 == 0, "locked").when(F.col("pos") % 7 == 1, "reviewed").when(F.col("pos") % 7 == 6, "odd").otherwise("machine")
     null = F.lit(None).cast("string")
-    rows = segments(spark, sf_dir).where(F.col("doc_id") % 3 == 0).select(
+    older = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat(F.lit("Old "), "source"))
+    rows = segments(spark, sf_dir).withColumn("source", older).select(
         F.col("ord").alias("id"), "src_lang", F.lit("pt").alias("tgt_lang"), "source", F.concat(F.lit("PT["), "source", F.lit("]"), (F.col("ord") % 5).cast("string")).alias("target"),
         text.source_hash("source").alias("source_hash"), _pick(ENGINES, F.col("ord") % 4).alias("engine"), null.alias("model"),
         F.when(F.col("ord") % 3 == 0, F.concat(F.lit("game"), (F.col("ord") % 4).cast("string"))).alias("game"), null.alias("context"), status.alias("status"),
@@ -74,12 +76,14 @@ def raw_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-RAW_TM = SEG + r""", rawtm as (
+RAW_TM = SEG + r""", older as (
+  select * replace (case when doc_id % 3 = 0 then source else 'Old ' || source end as source) from seg
+), rawtm as (
   select ord as id, src_lang, 'pt' as tgt_lang, source, 'PT[' || source || ']' || (ord % 5) as target, sha1(source) as source_hash,
     (['google', 'GoogleTraslator', 'deepl', 'Ollama'])[ord % 4 + 1] as engine, case when ord % 3 = 0 then 'game' || (ord % 4) end as game,
     case pos % 7 when 0 then 'locked' when 1 then 'reviewed' when 6 then 'odd' else 'machine' end as status,
     '2026-01-' || lpad((ord % 28 + 1)::varchar, 2, '0') as created_at, '2026-02-' || lpad((ord % 28 + 1)::varchar, 2, '0') as updated_at
-  from seg where doc_id % 3 = 0
+  from older
 )
 """
 
@@ -250,10 +254,10 @@ def tm_lookup_whitespace_fallback(spark, sf_dir):
 
 
 def entries(spark, sf_dir) -> DataFrame:
-    """Lines of two thirds of the documents as entries to be stored, some blank, identical or protected."""
+    """All lines as entries to be stored, some blank, identical or protected."""
     target = F.when(F.col("ord") % 11 == 0, F.lit("")).when(F.col("ord") % 13 == 0, F.col("source")).otherwise(F.concat(F.lit("NEW["), "source", F.lit("]"), (F.col("ord") % 9).cast("string")))
     status = F.when(F.col("ord") % 6 == 0, "reviewed").when(F.col("ord") % 17 == 0, "locked").when(F.col("ord") % 5 == 0, "").otherwise("machine")
-    return segments(spark, sf_dir).where(F.col("doc_id") % 3 != 1).select(
+    return segments(spark, sf_dir).select(
         "ord", "src_lang", F.lit("pt").alias("tgt_lang"), F.col("source").alias("source_text"), target.alias("target_text"), _pick(ENGINES, F.col("ord") % 2).alias("engine"), status.alias("status"),
         F.when(F.col("ord") % 4 == 0, F.concat(F.lit("game"), (F.col("ord") % 3).cast("string"))).otherwise(F.lit("")).alias("game"), F.lit(False).alias("allow_identity"),
     )
@@ -263,7 +267,7 @@ ENTRIES = rf""", entries as (
   select ord, src_lang, 'pt' as tgt_lang, source as source_text,
     case when ord % 11 = 0 then '' when ord % 13 = 0 then source else 'NEW[' || source || ']' || (ord % 9) end as target_text, 'google' as engine,
     case when ord % 6 = 0 then 'reviewed' when ord % 17 = 0 then 'locked' else 'machine' end as status, case when ord % 4 = 0 then 'game' || (ord % 3) end as game
-  from seg where doc_id % 3 <> 1
+  from seg
 ), stored as (
   select *, sha1(source_text) as source_hash from entries where target_text <> '' and not (status = 'machine' and src_lang <> 'pt' and target_text = source_text)
 )
@@ -338,35 +342,41 @@ def cache_store_filter(spark, sf_dir):
 
 
 @query(f"""with {SEG}, u as (select kind, source, min(ord) as o from seg group by all),
-t as (select kind, source, case when o % 7 = 0 then source else 'PT[' || source || ']' end as target, o % 3 = 0 as cached from u where o % 11 <> 0),
+t as (select kind, case when o % 11 = 0 then 'Old ' || source else source end as source, case when o % 7 = 0 then source else 'PT[' || source || ']' end as target, o % 3 = 0 as cached from u),
 r as (select s.file, s.src_lang, s.source, coalesce(t.target, s.source) as target, coalesce(t.cached, false) as cached from seg s left join t on s.kind = t.kind and s.source = t.source),
 f as (select file, count(*) as n_segments, count_if(not cached and target = source)::bigint as n_missing, count_if(cached)::bigint as n_cached from r group by file)
 select *, case when n_missing > 0 then 'partial' when n_cached = n_segments then 'cached' else 'success' end as outcome from f""")
 def file_outcome(spark, sf_dir):
     seg = segments(spark, sf_dir)
-    u = outcome.unique_sources(seg).where("first_ord % 11 <> 0")
-    t = u.select("kind", "source", F.when(F.col("first_ord") % 7 == 0, F.col("source")).otherwise(F.concat(F.lit("PT["), "source", F.lit("]"))).alias("target"), (F.col("first_ord") % 3 == 0).alias("cached"))
+    u = outcome.unique_sources(seg)
+    older = F.when(F.col("first_ord") % 11 == 0, F.concat(F.lit("Old "), "source")).otherwise(F.col("source"))  # these have no translation
+    t = u.select("kind", older.alias("source"), F.when(F.col("first_ord") % 7 == 0, F.col("source")).otherwise(F.concat(F.lit("PT["), "source", F.lit("]"))).alias("target"), (F.col("first_ord") % 3 == 0).alias("cached"))
     return outcome.file_outcomes(outcome.resolved(seg, t), "pt")
 
 
 LINEAGE = """
 orig as (select 'd' || doc_id || '.txt' as rel, sha256(text) as sha256, doc_id from documents),
-trans as (select 'd' || doc_id || '.txt' as rel, case when doc_id % 10 = 0 then sha256(text) else sha256('PT' || text) end as sha256, doc_id from documents where doc_id % 13 <> 0),
+trans as (select case when doc_id % 13 = 0 then 'moved/' else '' end || 'd' || doc_id || '.txt' as rel, case when doc_id % 10 = 0 then sha256(text) else sha256('PT' || text) end as sha256, doc_id from documents),
 records as (select o.rel, o.sha256 as original_sha256, t.sha256 as translated_sha256, case when o.doc_id % 9 = 0 then 'partial' when t.sha256 <> o.sha256 then 'success' else 'unchanged' end as status, o.doc_id from orig o join trans t on o.rel = t.rel),
 states as (
   select r.rel, case when r.doc_id % 17 = 0 then 'original_missing' when r.doc_id % 19 = 0 then 'original_changed' when r.doc_id % 23 = 0 then 'translation_missing' when r.doc_id % 29 = 0 then 'edited'
     when status = 'partial' then 'partial' when status = 'unchanged' then 'unchanged' else 'intact' end as state from records r
-  union all select o.rel, 'new' from orig o where o.doc_id % 17 <> 0 and o.doc_id % 13 = 0
+  union all select case when doc_id % 17 = 0 then 'moved/' else '' end || rel, 'new' from orig where doc_id % 17 = 0 or doc_id % 13 = 0
 )
 """
 
 
+def _moved(where: F.Column) -> F.Column:
+    """The path of a file, another one for files that lie elsewhere."""
+    return F.when(where, F.concat(F.lit("moved/"), "rel")).otherwise(F.col("rel")).alias("rel")
+
+
 def _trees(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").withColumn("rel", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")))
     original = docs.select("rel", text.content_hash("text").alias("sha256"), "doc_id")
     pt = F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(F.concat(F.lit("PT"), "text"))
-    translated = docs.where("doc_id % 13 <> 0").select("rel", text.content_hash(pt).alias("sha256"), "doc_id")
-    job = docs.where("doc_id % 9 = 0").select("rel", F.lit("partial").alias("status"))
+    translated = docs.select(_moved(F.col("doc_id") % 13 == 0), text.content_hash(pt).alias("sha256"), "doc_id")
+    job = docs.select("rel", F.when(F.col("doc_id") % 9 == 0, "partial").otherwise("").alias("status"))
     return original, translated, lineage.built(original, translated, job)
 
 
@@ -379,7 +389,9 @@ def _states(spark, sf_dir):
     original, translated, records = _trees(spark, sf_dir)
     changed = F.when(F.col("doc_id") % 19 == 0, F.concat("sha256", F.lit("x"))).otherwise(F.col("sha256"))
     edited = F.when(F.col("doc_id") % 29 == 0, F.concat("sha256", F.lit("x"))).otherwise(F.col("sha256"))
-    return lineage.verified(records, translated.where("doc_id % 23 <> 0").withColumn("sha256", edited), original.where("doc_id % 17 <> 0").withColumn("sha256", changed))
+    return lineage.verified(
+        records, translated.select(_moved(F.col("doc_id") % 23 == 0), edited.alias("sha256")), original.select(_moved(F.col("doc_id") % 17 == 0), changed.alias("sha256"))
+    )
 
 
 @query(f"with {LINEAGE} select rel, state from states")
@@ -398,17 +410,22 @@ def incremental_files(spark, sf_dir):
     return plan.join(_states(spark, sf_dir).where(predicates.needs_translation("state")), "rel", "left_semi")
 
 
-@query("""select 'd' || doc_id as rel, case when doc_id % 4 = 0 then 3 when doc_id % 2 = 0 then 2 else 1 end as priority, case when doc_id % 4 = 0 then 'translated' when doc_id % 2 = 0 then 'loose' else 'archive' end as layer from documents""")
+@query("""with l as (
+  select 'd' || doc_id as rel, 1 as priority, 'archive' as layer from documents
+  union all select case when doc_id % 2 = 0 then '' else 'moved/' end || 'd' || doc_id, 2, 'loose' from documents
+  union all select case when doc_id % 4 = 0 then '' else 'moved/' end || 'd' || doc_id, 3, 'translated' from documents
+) select rel, max(priority) as priority, arg_max(layer, priority) as layer from l group by rel""")
 def overlay_layers(spark, sf_dir):
+    """Three layers of files, some of which lie elsewhere in the upper ones."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rel"), "doc_id")
-    layer = lambda n, name, where: docs.where(where).select("rel", F.lit(n).alias("priority"), F.lit(name).alias("layer"))
-    return outcome.overlaid(layer(1, "archive", "true").union(layer(2, "loose", "doc_id % 2 = 0")).union(layer(3, "translated", "doc_id % 4 = 0")))
+    layer = lambda n, name: docs.select(_moved(F.col("doc_id") % n != 0), F.lit(min(n, 3)).alias("priority"), F.lit(name).alias("layer"))
+    return outcome.overlaid(layer(1, "archive").union(layer(2, "loose")).union(layer(4, "translated")))
 
 
 @query("select 'd' || doc_id as rel from documents where doc_id % 2 <> 0")
 def loose_over_packed(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rel"), "doc_id")
-    return outcome.loose_first(docs.select("rel"), docs.where("doc_id % 2 = 0"))
+    return outcome.loose_first(docs.select("rel"), docs.select(_moved(F.col("doc_id") % 2 != 0)))
 
 
 _FILES = ("en.csv", "English.csv", "strings_en.csv", "dialogue_pt_br.csv", "es_subtitles.csv", "items.csv", "PORTUGUESE.csv", "zh-tw.json", "a_b.txt", "Português.csv")
@@ -455,7 +472,7 @@ def progress_by_hour(spark, sf_dir):
     return progress(_table(spark, sf_dir, "events"), "1 hour")
 
 
-@query("select user_id, arg_max(event_type, ts) as event_type, max(ts) as ts from events group by user_id having count(distinct ts) = count(*)")
+@query("select user_id, arg_max(event_type, (ts, event_id)) as event_type, max(ts) as ts from events group by user_id")
 def last_status_by_key(spark, sf_dir):
     from .streaming.events import last_status
 
