@@ -37,8 +37,9 @@ def _arguments() -> argparse.ArgumentParser:
     t.add_argument("-s", "--source", default="auto")
     t.add_argument("-d", "--target", required=True)
     t.add_argument("--opt", action="append", default=[], metavar="KEY=VALUE")
-    for flag in ("--memory-only", "--switch-engine", "--dry-run"):
+    for flag in ("--memory-only", "--switch-engine", "--dry-run", "--review"):
         t.add_argument(flag, action="store_true")
+    t.add_argument("--incremental", action=argparse.BooleanOptionalAction, default=True)
     v = commands.add_parser("verify")
     v.add_argument("folder")
     v.add_argument("--original")
@@ -78,13 +79,25 @@ def main(argv: list[str] | None = None) -> int:
 
 def _translate(spark, args, tm) -> int:
     options = tuple(tuple(o.split("=", 1)) for o in args.opt)
-    config = job.Config(args.input, args.output or args.input, args.source, args.target, args.provider, args.format, args.memory_only, args.switch_engine, options=options)
+    config = job.Config(args.input, args.output or args.input, args.source, args.target, args.provider, args.format, args.memory_only, args.switch_engine, args.incremental, options)
     if args.dry_run:
         _print(job.estimated(spark, config, tm))
         return 0
-    states = job.run(spark, config, tm, PROVIDERS[args.provider]())
+    code = 0
+    try:
+        states = job.run(spark, config, tm, PROVIDERS[args.provider](), _reviewed if args.review else None)
+    except job.Rejected:
+        return 1
+    except translate.RateLimited as limit:
+        states, code = limit.args[0], 1
     _print(states)
-    return 0
+    _print(job.finished(states))
+    return code
+
+
+def _reviewed(folder: str) -> bool:
+    """Whether the person at the terminal accepts the files in a folder."""
+    return input(f"{folder}: write these files? [y/N] ").strip().lower() in ("y", "yes")
 
 
 def _verify(spark, args, tm) -> int:
@@ -95,7 +108,7 @@ def _verify(spark, args, tm) -> int:
 
 
 def _adopt(spark, args, tm) -> int:
-    print(job.recorded(spark, args.folder, args.original, FORMATS[args.format].extensions))
+    print(json.dumps(job.recorded(spark, args.folder, args.original, FORMATS[args.format].extensions), sort_keys=True))
     return 0
 
 

@@ -12,11 +12,13 @@ import os
 import shutil
 import tempfile
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import predicates
 from ..operators import estimate, lineage, memory
 from ..operators.memory import Policy
 from ..sources import binary, ruby  # noqa: F401  (they register their formats)
@@ -50,10 +52,21 @@ class Memory:
             file.write(name)
         os.replace(pointer + ".new", pointer)
 
+    def kept(self, replies: DataFrame) -> DataFrame:
+        """A run's translations, written beside the states: what a provider has answered isn't asked for again when an executor is lost."""
+        place = os.path.join(self.folder, f"replies-{time.time_ns()}")
+        replies.write.parquet(place)
+        return self.spark.read.schema(replies.schema).parquet(place)
+
+
+class Rejected(Exception):
+    """A review turned the run down: the memory has its pairs, but no file was written."""
+
 
 @dataclass(frozen=True)
 class Config:
-    """A run. engine: the name under which pairs are stored; format: auto or one of the formats; options: those of the format."""
+    """A run. engine: the name under which pairs are stored; format: auto or one of the formats; incremental: only the
+    files that the target's record lacks, or names as changed, partial or missing; options: those of the format."""
 
     source: str
     target: str
@@ -63,7 +76,7 @@ class Config:
     format: str = "auto"
     memory_only: bool = False
     switch_engine: bool = False
-    incremental: bool = True
+    incremental: bool = False
     options: tuple = ()
 
     def checked(self) -> Config:
@@ -89,7 +102,33 @@ def now() -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%S")
 
 
-def _segments(spark: SparkSession, config: Config):
+def _rel(path: str, root: str) -> Column:
+    """The path below a root."""
+    top = "/" + os.path.abspath(root).strip("/") + "/"
+    return F.substr(path, F.instr(path, F.lit(top)) + len(top))
+
+
+def record_of(folder: str) -> dict | None:
+    """The record of a translated folder; none if it is missing, broken or of a newer schema."""
+    try:
+        with open(os.path.join(folder, lineage.FOLDER, lineage.FILE), encoding="utf-8") as file:
+            meta = json.load(file)
+    except (OSError, ValueError):
+        return None
+    return meta if isinstance(meta, dict) and meta.get("schema_version", lineage.SCHEMA_VERSION + 1) <= lineage.SCHEMA_VERSION else None
+
+
+def outdated(spark: SparkSession, config: Config) -> DataFrame | None:
+    """Files (rel) that a run over changes takes up; None, which means all, if it isn't one or the target has no record.
+
+    Nothing is translated here: contents are hashed where they are read and compared with the record.
+    """
+    if not config.incremental or not os.path.isdir(config.source) or record_of(config.target) is None:
+        return None
+    return verified(spark, config.target, config.source).where(predicates.needs_translation("state")).select("rel")
+
+
+def _segments(spark: SparkSession, config: Config, only: DataFrame | None = None):
     found = detected(config.source)
     kind = FORMATS[config.kind()]
     lang = found.language if config.src_lang in ("", "auto") else config.src_lang
@@ -97,6 +136,8 @@ def _segments(spark: SparkSession, config: Config):
     plan = files(spark, config.source, kind)
     if kind.name == "binary":
         options["lookup_types"] = binary.looked_up(plan)
+    if only is not None:
+        plan = plan.withColumn("rel", _rel("path", config.source)).join(only, "rel", "left_semi").drop("rel")
     segments = extracted(plan, kind, options).withColumns({"file": F.col("path"), "src_lang": F.lit(lang)})
     return found, kind, options, plan, segments.where("error is null"), segments.where("error is not null").select("path", "error")
 
@@ -106,7 +147,7 @@ def estimated(spark: SparkSession, config: Config, tm: Memory) -> DataFrame:
     config = config.checked()
     if os.path.abspath(config.source) == os.path.abspath(config.target) and os.path.isdir(originals(config.source)):
         config = from_originals(config)
-    *_, segments, _ = _segments(spark, config)
+    *_, segments, _ = _segments(spark, config, outdated(spark, config))
     hits = memory.lookup(segments, tm.read(), config.tgt_lang, config.engine, Policy(switch_engine=config.switch_engine))
     limit = estimate.PROVIDERS.get(config.engine, estimate.Capabilities())
     rows = estimate.estimated(hits, [], limit)
@@ -133,14 +174,26 @@ def from_originals(config: Config) -> Config:
     return replace(config, source=kept)
 
 
-def run(spark: SparkSession, config: Config, tm: Memory, provider: translate.Provider | None) -> DataFrame:
-    """Translate a folder into another one, or in place from its kept originals; store new pairs and the record; rows (file, n_segments, n_missing, n_cached, outcome)."""
+def run(spark: SparkSession, config: Config, tm: Memory, provider: translate.Provider | None, review: Callable[[str], bool] | None = None) -> DataFrame:
+    """Translate a folder into another one, or in place from its kept originals; store new pairs and the record; rows (file, n_segments, n_missing, n_cached, outcome).
+
+    review: looks at the folder of new files before any is put in its place; Rejected if it turns them
+    down. RateLimited, with the rows as its argument, if the provider has set a limit: what had come by
+    then is written, and the files that lack something are recorded as partial.
+    """
     config = from_originals(config.checked())
-    found, kind, options, plan, segments, _ = _segments(spark, config)
+    if provider is None and not config.memory_only:
+        raise ValueError("a provider is needed")
+    only = outdated(spark, config)
+    if only is not None:  # written, as the record that it comes from is replaced below
+        place = os.path.join(config.target, lineage.FOLDER, "outdated")
+        only.write.mode("overwrite").parquet(place)
+        only = spark.read.schema(only.schema).parquet(place)
+    found, kind, options, plan, segments, _ = _segments(spark, config, only)
     result = translate.translated(
-        segments, tm.read(), config.tgt_lang, config.engine, None if config.memory_only else provider, kind.patterns, Policy(switch_engine=config.switch_engine), found.name
-    )
-    result = translate.Result(result.occurrences, result.translations.persist(), result.entries)
+        segments, tm.read(), config.tgt_lang, config.engine, None if config.memory_only else provider, kind.patterns, Policy(switch_engine=config.switch_engine), found.name,
+        kept=tm.kept,
+    )
     states = translate.outcomes(result, config.tgt_lang).persist()
     states.count()
     tm.write(memory.merged(tm.read(), result.entries, now()))
@@ -153,13 +206,23 @@ def run(spark: SparkSession, config: Config, tm: Memory, provider: translate.Pro
             os.makedirs(os.path.dirname(place), exist_ok=True)
             with open(place, "wb") as out:
                 out.write(bytes(row.content))
+        if review is not None and not review(work):
+            raise Rejected(config.target)
         committed(work, config.target)
     finally:
         shutil.rmtree(work, ignore_errors=True)
     recorded(spark, config.target, config.source, kind.extensions, states)
+    if result.health().first().rate_limited:
+        raise translate.RateLimited(states)
     return states
 
 
+def finished(states: DataFrame) -> DataFrame:
+    """One row: the files of a run by outcome."""
+    count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    return states.agg(F.count("*").alias("files"), *map(count, ("success", "cached", "partial")))
+
+
 def committed(work: str, target: str) -> None:
     """Move every file of a work folder to its place, each in one step."""
     for folder, _, names in os.walk(work):
@@ -169,15 +232,16 @@ def committed(work: str, target: str) -> None:
             os.replace(os.path.join(folder, name), place)
 
 
-def recorded(spark: SparkSession, translated: str, original: str, extensions, states: DataFrame | None = None) -> int:
-    """Write the record of a translated folder; the number of files in it. states: outcomes of a run, (file, outcome)."""
+def recorded(spark: SparkSession, translated: str, original: str, extensions, states: DataFrame | None = None) -> dict[str, int]:
+    """Write the record of a translated folder; the number of files in it by status. states: outcomes of a run, (file, outcome);
+    files that the run didn't take up keep their status."""
     was, is_ = lineage.scanned(spark, os.path.abspath(original), extensions), lineage.scanned(spark, os.path.abspath(translated), extensions)
-    job = None
+    job = previous = None
     if states is not None:
-        top = "/" + os.path.abspath(original).strip("/") + "/"
-        rel = F.substr("file", F.instr("file", F.lit(top)) + len(top))
-        job = states.select(rel.alias("rel"), F.when(F.col("outcome") == "partial", "partial").otherwise("success").alias("status"))
-    rows = lineage.built(was, is_, job).toLocalIterator()
+        job = states.select(_rel("file", original).alias("rel"), F.when(F.col("outcome") == "partial", "partial").otherwise("success").alias("status"))
+        if record_of(translated) is not None:
+            previous = lineage.loaded(spark, os.path.join(translated, lineage.FOLDER, lineage.FILE))
+    rows = lineage.built(was, is_, job, previous).toLocalIterator()
     record = {r.rel: {"original_sha256": r.original_sha256, "translated_sha256": r.translated_sha256, "status": r.status} for r in rows}
     folder = os.path.join(translated, lineage.FOLDER)
     os.makedirs(folder, exist_ok=True)
@@ -186,16 +250,18 @@ def recorded(spark: SparkSession, translated: str, original: str, extensions, st
     with open(place + ".new", "w", encoding="utf-8") as out:
         json.dump(meta, out, ensure_ascii=False, indent=1, sort_keys=True)
     os.replace(place + ".new", place)
-    return len(record)
+    counts: dict[str, int] = {}
+    for entry in record.values():
+        counts[entry["status"]] = counts.get(entry["status"], 0) + 1
+    return counts
 
 
 def verified(spark: SparkSession, translated: str, original: str | None = None) -> DataFrame:
     """Rows (rel, state) of a translated folder with a record."""
-    place = os.path.join(translated, lineage.FOLDER, lineage.FILE)
-    with open(place, encoding="utf-8") as file:
-        meta = json.load(file)
+    meta = record_of(translated)
+    if meta is None:
+        raise FileNotFoundError(f"{translated} has no record that can be read")
     original = original or os.path.join(translated, meta["original_dir"])
     was = lineage.scanned(spark, os.path.abspath(original), meta["extensions"]) if os.path.isdir(original) else None
-    rows = [(rel, f["original_sha256"], f["translated_sha256"], f["status"]) for rel, f in meta["files"].items()]
-    records = spark.createDataFrame(rows, "rel string, original_sha256 string, translated_sha256 string, status string")
+    records = lineage.loaded(spark, os.path.join(translated, lineage.FOLDER, lineage.FILE))
     return lineage.verified(records, lineage.scanned(spark, os.path.abspath(translated), meta["extensions"]), was)

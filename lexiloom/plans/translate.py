@@ -79,17 +79,25 @@ class Caller:
 
     def __init__(self, provider: Provider, retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep):
         self.provider, self.retry, self.sleep = provider, retry, sleep
-        self.failures = 0
+        self.failures, self.limited = 0, False
+
+    def state(self, ok: bool) -> str:
+        """What became of a batch: ok, limited, open (the circuit) or failed."""
+        return "ok" if ok else "limited" if self.limited else "open" if self.failures >= self.retry.attempts else "failed"
 
     def batch(self, texts: list[str], src: str, tgt: str) -> tuple[list[str], bool]:
         """The translations, or the texts themselves and False when all attempts have failed."""
         for attempt in range(self.retry.attempts):
-            if self.failures >= self.retry.attempts:
+            if self.limited or self.failures >= self.retry.attempts:
                 return texts, False
             try:
                 out = self.provider.translate(texts, src, tgt)
             except Unauthorized:
                 raise
+            except RateLimited:  # more requests would only make it worse: the rest of the task isn't sent
+                self.failures += 1
+                self.limited = True
+                return texts, False
             except Exception:
                 self.failures += 1
                 if attempt + 1 < self.retry.attempts:
@@ -120,7 +128,7 @@ def _batches(rows: Iterator[tuple[str, str]], limit: Capabilities) -> Iterator[l
 
 
 def sent(texts: DataFrame, provider: Provider, tgt_lang: str, retry: Retry = Retry()) -> DataFrame:
-    """Rows (src_lang, masked, came, ok) of distinct texts (src_lang, masked), as many tasks side by side as the provider takes."""
+    """Rows (src_lang, masked, came, state) of distinct texts (src_lang, masked), as many tasks side by side as the provider takes."""
     limit = provider.capabilities
 
     def run(batches):
@@ -133,11 +141,11 @@ def sent(texts: DataFrame, provider: Provider, tgt_lang: str, retry: Retry = Ret
             for lang, own in by_language.items():
                 for some in _batches(iter(own), limit):
                     out, ok = caller.batch(some, lang, tgt_lang)
-                    rows += [(lang, a, b, ok) for a, b in zip(some, out)]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["src_lang", "masked", "came", "ok"])
+                    rows += [(lang, a, b, caller.state(ok)) for a, b in zip(some, out)]
+            names = ["src_lang", "masked", "came", "state"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
 
-    return texts.select("src_lang", "masked").repartition(limit.concurrency).mapInArrow(run, "src_lang string, masked string, came string, ok boolean")
+    return texts.select("src_lang", "masked").repartition(limit.concurrency).mapInArrow(run, "src_lang string, masked string, came string, state string")
 
 
 @dataclass(frozen=True)
@@ -155,34 +163,45 @@ class Result:
             F.count("*").alias("total"), F.count_if("cached").alias("cached"), F.count_if(fresh & F.col("stored")).alias("translated"), F.count_if(fresh & F.col("failed")).alias("failed")
         )
 
+    def health(self) -> DataFrame:
+        """One row: unique texts that were sent, those whose request failed, whether the provider set a limit, whether a circuit opened."""
+        is_ = lambda s: F.coalesce(F.bool_or(F.col("state") == s), F.lit(False))
+        return self.translations.agg(
+            F.count_if(F.col("state").isin("ok", "failed", "limited", "open")).alias("sent"), F.count_if(F.col("state").isin("failed", "limited", "open")).alias("unanswered"),
+            is_("limited").alias("rate_limited"), is_("open").alias("circuit_open"),
+        )
+
 
 def translated(
     segments: DataFrame, tm: DataFrame, tgt_lang: str, engine: str, provider: Provider | None, patterns=masking.DEFAULT_PATTERNS,
     policy: Policy = Policy(), game: str = "", retry: Retry = Retry(), post_process: Callable[[DataFrame], DataFrame] | None = None,
+    kept: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Result:
     """Translate segments (file, id, ord, src_lang, kind, source). Without a provider misses stay as they are.
 
     A text whose translation loses, doubles or invents a placeholder goes back to its source and counts
-    as failed; the others aren't touched by it.
+    as failed; the others aren't touched by it. kept: writes the unique translations and reads them again,
+    so that no reply is asked for twice.
     """
     unique = segments.groupBy("src_lang", "kind", "source").agg(F.min("ord").alias("ord"))
     found = memory.lookup(unique, tm, tgt_lang, engine, policy)
     misses = found.where(F.col("hit_target").isNull() | (F.col("hit_target") == "")).drop("hit_target")
-    hits = found.where(F.col("hit_target") != "").select("src_lang", "kind", "source", "ord", F.col("hit_target").alias("target"), F.lit(True).alias("cached"), F.lit(False).alias("failed"))
+    hits = found.where(F.col("hit_target") != "").select("src_lang", "kind", "source", "ord", F.col("hit_target").alias("target"), F.lit(True).alias("cached"), F.lit(False).alias("failed"), F.lit("cached").alias("state"))
     if provider is None:
-        fresh = misses.select("src_lang", "kind", "source", "ord", F.col("source").alias("target"), F.lit(False).alias("cached"), F.lit(False).alias("failed"))
+        fresh = misses.select("src_lang", "kind", "source", "ord", F.col("source").alias("target"), F.lit(False).alias("cached"), F.lit(False).alias("failed"), F.lit("unsent").alias("state"))
     else:
         hidden = masking.masked(misses.where(~text.is_blank("source")), patterns)
         came = sent(hidden.select("src_lang", "masked").distinct(), provider, tgt_lang, retry)
         rows = hidden.join(came, ["src_lang", "masked"])
         rows = post_process(rows) if post_process else rows
         whole = masking.unmask_column("came", "token_map")
-        rows = rows.withColumn("target", F.coalesce(whole, F.col("source"))).withColumn("failed", whole.isNull() | ~F.col("ok"))
+        rows = rows.withColumn("target", F.coalesce(whole, F.col("source"))).withColumn("failed", whole.isNull() | (F.col("state") != "ok"))
         rows = rows.withColumn("target", text.typographic_quotes_fixed("target", "source", "kind"))
-        blank = misses.where(text.is_blank("source")).select("src_lang", "kind", "source", "ord", F.col("source").alias("target"), F.lit(False).alias("cached"), F.lit(False).alias("failed"))
-        fresh = rows.select("src_lang", "kind", "source", "ord", "target", F.lit(False).alias("cached"), "failed").unionByName(blank)
+        blank = misses.where(text.is_blank("source")).select("src_lang", "kind", "source", "ord", F.col("source").alias("target"), F.lit(False).alias("cached"), F.lit(False).alias("failed"), F.lit("unsent").alias("state"))
+        fresh = rows.select("src_lang", "kind", "source", "ord", "target", F.lit(False).alias("cached"), "failed", "state").unionByName(blank)
     stored = ~F.col("cached") & (F.col("target") != F.col("source")) & ~F.col("target").contains("__XTOK_")
     all_ = hits.unionByName(fresh).withColumn("stored", stored)
+    all_ = kept(all_) if kept else all_
     entries = all_.where("stored").select(
         "ord", "src_lang", F.lit(tgt_lang).alias("tgt_lang"), F.col("source").alias("source_text"), F.col("target").alias("target_text"), F.lit(engine).alias("engine"), F.lit("machine").alias("status"),
         F.lit(game).alias("game"), F.lit(False).alias("allow_identity"),

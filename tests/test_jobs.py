@@ -1,13 +1,18 @@
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
+from lexiloom import commands
 from lexiloom.operators import filenames
 from lexiloom.plans import job
-from lexiloom.plans.translate import Wrapping
+from lexiloom.plans.translate import RateLimited, Wrapping
 from lexiloom.sources.detection import detected, game_name, is_restricted
 from lexiloom.streaming import events
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors don't see this file
+
 
 def tree(root):
     folder = root / "Hero" / "www" / "data"
@@ -103,3 +108,83 @@ def test_a_failing_run_leaves_nothing_behind(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         job.run(spark, job.Config(str(game), str(tmp_path / "out"), "en", "pt"), job.Memory(spark, str(tmp_path / "tm")), Wrapping())
     assert sorted(p.name for p in tmp_path.iterdir()) == ["Hero", "tm"]
+
+
+class Counting(Wrapping):
+    """Writes down what it is asked, in a file, as tasks have copies of it."""
+
+    def __init__(self, log):
+        super().__init__()
+        self.log = str(log)
+
+    def translate(self, texts, src_lang, tgt_lang):
+        with open(self.log, "a") as out:
+            out.write("".join(t + "\n" for t in texts))
+        return super().translate(texts, src_lang, tgt_lang)
+
+
+class Limited(Wrapping):
+    def translate(self, texts, src_lang, tgt_lang):
+        raise RateLimited
+
+
+def test_incremental_runs_translate_changed_files_alone(spark, tmp_path):
+    game, out = tree(tmp_path), tmp_path / "out"
+    tm = job.Memory(spark, str(tmp_path / "tm"))
+    config = job.Config(str(game), str(out), "en", "pt", incremental=True)
+    job.run(spark, config, tm, Counting(tmp_path / "log"))
+    assert sorted((tmp_path / "log").read_text().split("\n")) == ["", "Gold", "Press any key", "Quest", "Welcome home"]
+    (tmp_path / "log").unlink()
+    assert job.run(spark, config, tm, Counting(tmp_path / "log")).count() == 0 and tuple(job.estimated(spark, config, tm).first())[:2] == (0, 0)
+    place = game / "www" / "data" / "Map001.json"
+    place.write_text(place.read_text().replace("Welcome home", "Farewell"))
+    before = (out / "www" / "data" / "System.json").stat().st_mtime_ns
+    states = job.run(spark, config, tm, Counting(tmp_path / "log")).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.n_segments, r.n_cached, r.outcome) for r in states] == [("Map001.json", 2, 1, "success")]
+    assert (tmp_path / "log").read_text() == "Farewell\n" and "PT[Farewell]" in (out / "www" / "data" / "Map001.json").read_text()
+    assert (out / "www" / "data" / "System.json").stat().st_mtime_ns == before
+    assert {r.rel: r.state for r in job.verified(spark, str(out)).collect()} == {"www/data/System.json": "intact", "www/data/Map001.json": "intact", "www/data/Map002.json": "unchanged"}
+    assert job.run(spark, job.Config(str(game), str(out), "en", "pt"), tm, Wrapping()).count() == 2
+    (out / ".lineage" / "meta.json").write_text("broken")  # no record: all files
+    assert job.run(spark, config, tm, Wrapping()).count() == 2
+
+
+def test_a_limit_leaves_partial_files_and_is_reported(spark, tmp_path):
+    game, out = tree(tmp_path), tmp_path / "out"
+    tm = job.Memory(spark, str(tmp_path / "tm"))
+    config = job.Config(str(game), str(out), "en", "pt", incremental=True)
+    with pytest.raises(RateLimited) as limit:
+        job.run(spark, config, tm, Limited())
+    assert tuple(job.finished(limit.value.args[0]).first()) == (2, 0, 0, 2)
+    assert (out / "www" / "data" / "Map001.json").read_text() == (game / "www" / "data" / "Map001.json").read_text()
+    assert {r.rel: r.state for r in job.verified(spark, str(out)).collect()} == {"www/data/System.json": "partial", "www/data/Map001.json": "partial", "www/data/Map002.json": "unchanged"}
+    assert tuple(job.finished(job.run(spark, config, tm, Wrapping())).first()) == (2, 2, 0, 0)  # partial files are taken up again
+    with pytest.raises(ValueError):
+        job.run(spark, config, tm, None)
+
+
+def test_a_review_that_rejects_writes_no_file(spark, tmp_path):
+    game, seen = tree(tmp_path), []
+    before = (game / "www" / "data" / "System.json").read_text()
+    tm = job.Memory(spark, str(tmp_path / "tm"))
+    config = job.Config(str(game), str(game), "en", "pt")
+
+    def review(folder):
+        with open(f"{folder}/www/data/System.json") as file:
+            seen.append(json.loads(file.read())["gameTitle"])
+        return len(seen) > 1
+
+    with pytest.raises(job.Rejected):
+        job.run(spark, config, tm, Wrapping(), review)
+    assert (game / "www" / "data" / "System.json").read_text() == before and tm.read().count() == 4
+    job.run(spark, config, tm, Wrapping(), review)
+    assert seen == ["PT[Quest]"] * 2 and "PT[Quest]" in (game / "www" / "data" / "System.json").read_text()
+
+
+def test_commands(spark, tmp_path, capsys):
+    game, out = tree(tmp_path), tmp_path / "out"
+    memory = ["--memory", str(tmp_path / "tm")]
+    assert commands.main([*memory, "translate", "-i", str(game), "-o", str(out), "-s", "en", "-d", "pt"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1]) == {"files": 2, "success": 2, "cached": 0, "partial": 0}
+    assert commands.main([*memory, "adopt", str(out), "--original", str(game), "-e", "game"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"success": 2, "unchanged": 1}
