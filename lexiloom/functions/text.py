@@ -45,6 +45,11 @@ def normalized_source(text) -> Column:
     return F.array_join(F.transform(F.split(collapsed, "\n", -1), lambda line: F.trim(line)), "\n")
 
 
+def words(text) -> Column:
+    """The words of a text, runs of letters, digits and marks, with a space before and after each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(_col(text), r"[^\pL\pN\pM]+", " ")), F.lit(" "))
+
+
 def source_hash(text) -> Column:
     """The key of a memory: SHA-1 of the raw text."""
     return F.sha1(_col(text))

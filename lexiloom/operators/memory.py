@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, name_tags_fixed, normalized_engine, normalized_source, source_hash, trimmed
+from ..functions.text import is_blank, name_tags_fixed, normalized_engine, normalized_source, source_hash, trimmed, words
 
 COLUMNS = ["id", "src_lang", "tgt_lang", "source", "target", "source_hash", "engine", "model", "game", "context", "status", "created_at", "updated_at"]
 KEY = ["src_lang", "tgt_lang", "source_hash", "engine"]
@@ -27,6 +27,7 @@ REQUIRED = {"src_lang", "tgt_lang", "source", "target", "source_hash", "engine",
 RANKS = {"locked": 0, "reviewed": 1, "machine": 2}
 TEST_ENGINES = ("prefix_translate", "basetranslate", "dummyprescantranslator")
 PLACEHOLDER = "__XTOK_"
+FOUND = 20  # rows of a search
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,18 @@ def lookup(segments: DataFrame, memory: DataFrame, tgt_lang: str, engine: str =
     return segments.join(found, ["src_lang", "source"], "left")
 
 
+def search(memory: DataFrame, src_lang: str, tgt_lang: str, phrase: str, limit: int | None = FOUND) -> DataFrame:
+    """Rows of two languages whose source has the words of a phrase side by side, in whatever case and with whatever accents.
+
+    What stands between words doesn't count, and a phrase without a word finds nothing. Those of the
+    smallest ids, as many as limit; None: all.
+    """
+    plain = lambda c: F.collate(words(c), "UNICODE_CI_AI")
+    pair = memory.where((F.col("src_lang") == src_lang) & (F.col("tgt_lang") == tgt_lang))
+    found = pair.where(plain("source").contains(plain(F.lit(phrase))) & (F.trim(words(F.lit(phrase))) != ""))
+    return found if limit is None else found.orderBy("id").limit(limit if limit > 0 else FOUND)
+
+
 def storable(entries: DataFrame) -> DataFrame:
     """The entries that a memory takes: no blank source, no empty target, no machine translation that equals its source
     between different languages, unless allow_identity. Missing languages or engines are errors."""

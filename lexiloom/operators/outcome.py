@@ -32,6 +32,14 @@ def file_outcomes(rows: DataFrame, tgt_lang: str, file: str = "file") -> DataFra
     return sums.withColumn("outcome", outcome)
 
 
+def reviewed(rows: DataFrame, tgt_lang: str, status: str = "all") -> DataFrame:
+    """rows (src_lang, source, target, cached) with status: partial without a target or with a fresh one that equals its source, else ok.
+    status: partial for these alone."""
+    target, missing = F.coalesce("target", F.lit("")), F.coalesce(~F.col("cached") & untranslated(F.col("src_lang"), F.lit(tgt_lang)), F.lit(False))
+    out = rows.withColumn("status", F.when((target == "") | missing, "partial").otherwise("ok"))
+    return out.where("status = 'partial'") if status == "partial" else out
+
+
 def cacheable(rows: DataFrame) -> DataFrame:
     """Fresh targets that a memory may keep: there, other than the source, and without a leaked placeholder."""
     return rows.where((F.col("target") != "") & (F.col("target") != F.col("source")) & ~F.col("target").contains("__XTOK_"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import codes, gametext, langcodes, masking, predicates, text
+from .functions import codes, gametext, langcodes, masking, predicates, text, wire
 from .operators import batching, estimate, filenames, lineage, memory, outcome
 from .operators.memory import Policy
 
@@ -354,6 +354,49 @@ def file_outcome(spark, sf_dir):
     return outcome.file_outcomes(outcome.resolved(seg, t), "pt")
 
 
+@query(f"""with {SEG}, r as (select *, ord % 3 = 0 as cached, case ord % 7 when 0 then source when 1 then '' when 2 then null else 'PT[' || source || ']' end as target from seg)
+select id, file, source, target, case when coalesce(target, '') = '' or (not cached and target = source) then 'partial' else 'ok' end as status from r""")
+def review_items(spark, sf_dir):
+    """What a person looks through before files are written: every segment, and whether it lacks a translation."""
+    turn = F.col("ord") % 7
+    target = F.when(turn == 0, F.col("source")).when(turn == 1, "").when(turn > 2, F.concat(F.lit("PT["), "source", F.lit("]")))
+    rows = segments(spark, sf_dir).withColumns({"target": target, "cached": F.col("ord") % 3 == 0})
+    return outcome.reviewed(rows, "pt").select("id", "file", "source", "target", "status")
+
+
+@query(rf"""with {TM} select id, source, target from tm where src_lang = 'en' and tgt_lang = 'pt'
+  and contains(' ' || trim(regexp_replace(lower(strip_accents(source)), '[^\pL\pN\pM]+', ' ', 'g')) || ' ', ' of the ')""")
+def phrase_search(spark, sf_dir):
+    """All rows of a memory that hold a phrase."""
+    return memory.search(translation_memory(spark, sf_dir), "en", "pt", "Of, THÉ", None).select("id", "source", "target")
+
+
+@query(r"""with l as (
+  select doc_id, doc_id % 3 as turn, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos, len(string_split(text, chr(10))) as n from documents
+), t as (select *, case when turn = 1 and pos > 0 then ltrim(line, chr(9) || chr(10) || chr(12) || chr(13) || ' ') else line end as head from l)
+select doc_id, pos, case when turn = 1 and pos < n - 1 then rtrim(head, chr(9) || chr(10) || chr(12) || chr(13) || ' ') else head end as part from t where turn < 2 or n = 1""")
+def reply_parts(spark, sf_dir):
+    """Lines of a document as one request, and its reply in parts: marks that came back whole, changed, or lost."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    mark, sent = F.lit(wire.DELIMITER), wire.joined("lines")
+    came = F.when(F.col("doc_id") % 3 == 0, sent).when(F.col("doc_id") % 3 == 1, F.replace(sent, mark, F.lit(' <span class="x"></span>'))).otherwise(F.replace(sent, mark, F.lit(" ")))
+    parts = docs.select("doc_id", F.posexplode(wire.parted(came, F.size("lines"))).alias("pos", "part"))
+    return parts.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"""with recursive c as (
+  select doc_id, -1::bigint as pos, null::varchar as piece, text as rest from documents
+  union all
+  select doc_id, pos + 1, p, case when length(rest) <= 450 then '' when cut <> '' then substring(rest, length(cut) + 2) else substring(rest, 451) end
+  from (select *, case when length(rest) <= 450 then rest when cut <> '' then cut else substring(rest, 1, 450) end as p
+    from (select *, regexp_extract(substring(rest, 1, 450), '(?s)^(.+)\n', 1) as cut from c where rest <> ''))
+) select doc_id, pos, piece from c where pos >= 0""")
+def text_pieces(spark, sf_dir):
+    """Whole documents in the pieces that a small service takes."""
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(wire.pieces("text")).alias("pos", "piece"))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
 LINEAGE = """
 orig as (select 'd' || doc_id || '.txt' as rel, sha256(text) as sha256, doc_id from documents),
 trans as (select case when doc_id % 13 = 0 then 'moved/' else '' end || 'd' || doc_id || '.txt' as rel, case when doc_id % 10 = 0 then sha256(text) else sha256('PT' || text) end as sha256, doc_id from documents),

@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from lexiloom.functions import gametext, langcodes, predicates, text
-from lexiloom.operators import lineage
+from lexiloom.functions import gametext, langcodes, predicates, text, wire
+from lexiloom.operators import lineage, memory, outcome
 
 
 def values(spark, column, rows):
@@ -56,3 +56,38 @@ def test_files_with_other_extensions_are_not_listed(spark, tmp_path):
     assert sorted(r.name for r in found.select("name").collect()) == ["A.CSV", "b.csv"]
     assert sorted(r.rel for r in lineage.scanned(spark, str(tmp_path), ["csv"]).collect()) == ["A.CSV", "b.csv"]
     assert lineage.scanned(spark, str(tmp_path)).count() == 4 and formats.files(spark, str(tmp_path), formats.FORMATS["lines"]).count() == 0
+
+
+def test_wire_forms(spark):
+    texts = ["a", "b\n" * 300, "x" * 900 + "\n" + "y" * 449 + "\nz", "\n" + "q" * 460, "é" * 451, "", "k" * 450, "m" * 449 + "\n\n"]
+
+    def cut(text, size=450):
+        out = []
+        while len(text) > size:
+            at = text.rfind("\n", 1, size)
+            out.append(text[: at if at > 0 else size])
+            text = text[at + 1 if at > 0 else size :]
+        return out + [text] * bool(text)
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", wire.pieces("t").alias("p"))
+    assert {r.k: r.p for r in df.collect()} == {k: cut(t) for k, t in enumerate(texts)}
+    replies = [(' "He said" ', "He said"), ("“é”", "é"), ('"', '"'), ('"a" b', '"a" b'), ("“a\"", "“a\""), ("", "")]
+    got = spark.createDataFrame(replies, "r string, want string").select(wire.unquoted("r").alias("u"), "want").collect()
+    assert [r.u for r in got] == [r.want for r in got]
+    rows = [("a" + wire.DELIMITER + "b", 2, ["a", "b"]), ("a <span> </span>b", 2, ["a", "b"]), ("a b", 2, None), ("a", 1, ["a"])]
+    assert [r.p for r in spark.createDataFrame(rows, "r string, n int, w array<string>").select(wire.parted("r", "n").alias("p")).collect()] == [r[2] for r in rows]
+
+
+def test_phrase_search(spark):
+    sources = ['He said "go" (now): AND NOT', "Olá, Mundo!", "ola mundo novo", "mundo ola", "...", "golden ola", None]
+    tm = spark.createDataFrame([(k, "en" if k != 2 else "fr", "pt", s) for k, s in enumerate(sources)], "id long, src_lang string, tgt_lang string, source string")
+    found = lambda phrase, *rest: [r.id for r in memory.search(tm, "en", "pt", phrase, *rest).orderBy("id").collect()]
+    assert found('"GO" (now): and') == [0] and found("OLA mundo") == [1] and found("olá") == [1, 3, 5] and found("ola", 2) == [1, 3]
+    assert found("go") == [0] and found("") == found(" ?") == [] and found("ola", None) == [1, 3, 5] and found("ola", 0) == [1, 3, 5]
+
+
+def test_review_of_segments(spark):
+    rows = [("en", "a", "b", False), ("en", "a", "a", False), ("en", "a", " a ", False), ("en", "a", "a", True), ("en", "a", "", True), ("en", "a", None, False), ("PT", "a", "a", False)]
+    df = spark.createDataFrame(rows, "src_lang string, source string, target string, cached boolean")
+    assert [r.status for r in outcome.reviewed(df, "pt").collect()] == ["ok", "partial", "partial", "ok", "partial", "partial", "ok"]
+    assert outcome.reviewed(df, "pt", "partial").count() == 4
