@@ -113,6 +113,15 @@ def target_filename(path, tgt_lang: str) -> Column:
     return F.concat(folder, new, ext)
 
 
+# The regions that one service wants with its languages.
+REGIONAL = {"ja": "ja-JP", "pt": "pt-BR", "en": "en-GB", "es": "es-ES", "fr": "fr-FR", "de": "de-DE", "it": "it-IT", "ko": "ko-KR", "zh-cn": "zh-CN", "zh": "zh-CN"}
+
+
+def regional_code(lang: str) -> str:
+    """A language with its region, where one is known; else as it is."""
+    return REGIONAL.get(lang.lower(), lang)
+
+
 def provider_code(lang: str, source: bool = False) -> str:
     """A language as the REST provider spells it."""
     code = lang.strip().upper().replace("_", "-")

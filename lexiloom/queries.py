@@ -245,11 +245,14 @@ def tm_engine_migration(spark, sf_dir):
     return translation_memory(spark, sf_dir).select("id", "src_lang", "tgt_lang", "source_hash", "engine", "target", "game", "status", "created_at", "updated_at")
 
 
-@query(f"""with {TM}, asked as (select id, src_lang, replace(source, ' ', chr(9) || ' ') as source from seg where contains(source, ' ')),
+@query(f"""with {TM}, asked as (select id, src_lang, replace(source, ' ', chr(9) || ' ') as source from seg), best as (
+  select src_lang, source_hash, target from tm qualify row_number() over (partition by src_lang, source_hash order by {RANK_SQL.format('status')}, updated_at desc, id) = 1
+),
 loose as (select src_lang, {NORM_SQL.format('source')} as norm, arg_min(target, id) as target from tm where regexp_matches({NORM_SQL.format('source')}, '[\\pL\\pN]') group by all)
-select a.id, l.target as hit_target from asked a left join loose l on a.src_lang = l.src_lang and {NORM_SQL.format('a.source')} = l.norm and not exists (select 1 from tm t where t.src_lang = a.src_lang and t.source_hash = sha1(a.source))""")
+select a.id, coalesce(b.target, l.target) as hit_target from asked a left join best b on a.src_lang = b.src_lang and sha1(a.source) = b.source_hash
+left join loose l on a.src_lang = l.src_lang and {NORM_SQL.format('a.source')} = l.norm""")
 def tm_lookup_whitespace_fallback(spark, sf_dir):
-    asked = segments(spark, sf_dir).where(F.col("source").contains(" ")).withColumn("source", F.replace("source", F.lit(" "), F.lit("\t ")))
+    asked = segments(spark, sf_dir).withColumn("source", F.replace("source", F.lit(" "), F.lit("\t ")))
     return memory.lookup(asked, translation_memory(spark, sf_dir), "pt").select("id", "hit_target")
 
 
@@ -317,14 +320,15 @@ def tm_distinct_engines(spark, sf_dir):
 
 
 @query(rf"""with {TM}, broken as (
-  select id, status, case when id % 19 = 0 then 'baseTranslate' else engine end as engine,
+  select id, status, case when id % 19 = 0 then 'baseTranslate' else engine end as engine, id % 5 = 0 as cased,
     case when id % 23 = 0 then target || '__XTOK_0__' when id % 7 = 0 then '\nome[1]' || target else target end as target from tm
 ), c as (select *, contains(target, '__XTOK_') as xtok, lower(engine) in ('prefix_translate', 'basetranslate', 'dummyprescantranslator') as test, starts_with(target, '\nome[') as named from broken)
-select 0::bigint as n_case, count_if(named and not xtok and not test)::bigint as n_name, count_if(xtok)::bigint as n_xtok, count_if(test and not xtok)::bigint as n_engine,
-  count_if((named or xtok or test) and status in ('locked', 'reviewed'))::bigint as n_protected from c""")
+select count_if(cased and not xtok and not test)::bigint as n_case, count_if(named and not xtok and not test)::bigint as n_name, count_if(xtok)::bigint as n_xtok, count_if(test and not xtok)::bigint as n_engine,
+  count_if((cased or named or xtok or test) and status in ('locked', 'reviewed'))::bigint as n_protected from c""")
 def tm_repair_report(spark, sf_dir):
     target = F.when(F.col("id") % 23 == 0, F.concat("target", F.lit("__XTOK_0__"))).when(F.col("id") % 7 == 0, F.concat(F.lit("\\nome[1]"), "target")).otherwise(F.col("target"))
-    broken = translation_memory(spark, sf_dir).withColumns({"target": target, "engine": F.when(F.col("id") % 19 == 0, "baseTranslate").otherwise(F.col("engine"))})
+    coded = lambda code, c: F.when(F.col("id") % 5 == 0, F.concat(F.lit(code), c)).otherwise(c)
+    broken = translation_memory(spark, sf_dir).withColumns({"source": coded("\\F[1]", F.col("source")), "target": coded("\\f[1]", target), "engine": F.when(F.col("id") % 19 == 0, "baseTranslate").otherwise(F.col("engine"))})
     return memory.repair_report(broken)
 
 

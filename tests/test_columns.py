@@ -12,6 +12,10 @@ def values(spark, column, rows):
     return [r[0] for r in spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, t string").orderBy("k").select(column).collect()]
 
 
+def test_regions():
+    assert [langcodes.regional_code(x) for x in ("PT", "zh-CN", "xx-YY")] == ["pt-BR", "zh-CN", "xx-YY"]
+
+
 def test_languages_and_names_of_files(spark):
     assert values(spark, langcodes.english_name("t"), ["pt_BR", "english", "xx"])[1:] == ["English", "Xx"]
     assert values(spark, langcodes.from_filename("t")["pattern"], ["a/en.json", "English.json", "menu_en.csv", "menu_pt-BR.csv", "en_menu.csv", "menu.csv"]) == ["code_exact", "name_exact", "suffix", "suffix_composite", "prefix", None]
