@@ -17,6 +17,38 @@ def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(table(spark, sf_dir, "documents"), whole=True)
 
 
+#: Units are grouped by their normal forms instead of digests; the cuts are marked with a character that texts don't hold.
+_WS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_NORM = f"trim(regexp_replace(lower({{0}}), '{_WS.replace('{', '{{').replace('}', '}}')}', ' ', 'g'))"
+OP2_SQL = rf"""
+with b as (
+  select doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n(?:[ \t\r]*\n)+)', chr(1) || '\1' || chr(1), 'g'), chr(1)) as p from documents
+), blocks as (
+  select doc_id, p[i] as block, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0)::bigint as paragraph from (select doc_id, p, unnest(range(1, len(p) + 1, 2)) as i from b)
+), lines as (
+  select doc_id, paragraph, l[i] as line, (paragraph + coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0))::bigint as start
+  from (select doc_id, paragraph, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, paragraph, string_split(block, chr(10)) as l from blocks))
+), cuts as (
+  select doc_id, paragraph, start as line, s[i] as sentence, (start + coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x))), 0))::bigint as start
+  from (select doc_id, paragraph, start, s, unnest(range(1, len(s) + 1, 2)) as i
+    from (select *, string_split(regexp_replace(line, '([.!?])([ \t]+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) as s from lines) where len(s) > 1)
+), units as (
+  select doc_id, paragraph as start, paragraph + length(block) as "end", {_NORM.format('block')} as norm, 0 as kind, paragraph as line, paragraph
+  from blocks where contains(regexp_replace(block, '^{_WS}|{_WS}$', '', 'g'), chr(10))
+  union all select doc_id, start, start + length(line), {_NORM.format('line')}, 1, start, paragraph from lines where {_NORM.format('line')} <> ''
+  union all select doc_id, start, start + length(sentence), {_NORM.format('sentence')}, 2, line, paragraph from cuts where len(string_split({_NORM.format('sentence')}, ' ')) >= 8
+), found as (
+  select u.*, f.d as first_doc_id, f.s as first_start
+  from units u join (select norm, min((doc_id, start)) as first, first[1] as d, first[2] as s from units group by norm having min((doc_id, start)) <> max((doc_id, start))) f on u.norm = f.norm
+  where not (u.doc_id = f.d and u.start = f.s)
+), outer_lines as (
+  select * from found f where kind < 2 or not exists (select 1 from found o where o.kind = 1 and o.doc_id = f.doc_id and o.start = f.line)
+)
+select doc_id, start, "end", first_doc_id, first_start
+from outer_lines f where kind < 1 or not exists (select 1 from found o where o.kind = 0 and o.doc_id = f.doc_id and o.start = f.paragraph)
+"""
+
+
 def op3_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations table has no tool calls of its own: its turns are read as calls and results."""
     return chat.linked(*chat.exchanges(table(spark, sf_dir, "conversations")))
@@ -116,4 +148,4 @@ QUERIES = {
     "op10_suffix_tree_scores": op10_suffix_tree_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_tool_call_links": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_near_vectors": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_repeated_lines": OP2_SQL, "op3_tool_call_links": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_near_vectors": OP6_SQL}
