@@ -471,5 +471,6 @@ def looked_up(found: DataFrame) -> list[str] | None:
 
 
 FORMATS["binary"] = Format(
-    "binary", (".mps", ".dat", ".txt"), r"(?i)(?:.*\.mps|commonevent\.dat|game\.dat|(?:c|sys)?database\.dat|.*\.txt)", read, write, BINARY_PATTERNS
-)
+    "binary", (".mps", ".dat", ".txt"), r"(?i)(?:.*\.mps|commonevent\.dat|game\.dat|(?:c|sys)?database\.dat|.*\.txt)", read, write, BINARY_PATTERNS,
+    ".project", lambda name, options: name.lower() == "game.dat" and bool(options.get("font")),
+)

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -40,7 +41,8 @@ class Slot:
 
 @dataclass(frozen=True)
 class Format:
-    """How files of one kind are read and written. Options are plain values."""
+    """How files of one kind are read and written. Options are plain values; the file of the same name with the extension
+    sidecar, if there is one, is among them as project. rewrites: whether a file changes under the options even without a target."""
 
     name: str
     extensions: tuple[str, ...]
@@ -48,6 +50,8 @@ class Format:
     read: Callable[[str, bytes, dict], list[Slot]]
     write: Callable[[str, bytes, dict[str, str], dict], bytes]
     patterns: tuple = field(default=(), compare=False)
+    sidecar: str = ""
+    rewrites: Callable[[str, dict], bool] = lambda name, options: False
 
 
 # --- tables -------------------------------------------------------------------------------------
@@ -400,11 +404,26 @@ FORMATS = {
 
 
 def files(spark: SparkSession, root: str, kind: Format) -> DataFrame:
-    """Rows (path, name, content) of a tree's files that a format handles, outside of hidden folders. Files with other extensions aren't read."""
+    """Rows (path, name, content) of a tree's files that a format handles, outside of hidden folders; project, if the format
+    has sidecars, is the content of the file's. Files with other extensions aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob_of(kind.extensions)).load(root)
     name = F.substring_index("path", "/", -1)
     hidden = F.rlike(F.substr("path", F.lit(len(root) + 1)), F.lit(r"/\.[^/]+/"))
-    return found.where(~hidden & F.rlike(name, F.lit(rf"\A(?:{kind.handles})\z"))).select("path", name.alias("name"), "content")
+    rows = found.where(~hidden & F.rlike(name, F.lit(rf"\A(?:{kind.handles})\z"))).select("path", name.alias("name"), "content")
+    if not kind.sidecar:
+        return rows
+    beside = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{kind.sidecar}").load(root)
+    stem = F.regexp_replace("path", r"\.[^./]*\z", "")
+    return rows.withColumn("_stem", stem).join(beside.select(stem.alias("_stem"), F.col("content").alias("project")), "_stem", "left").drop("_stem")
+
+
+def _with_options(batch: pa.RecordBatch, options: dict) -> Iterator[dict]:
+    """The options of each file of a batch."""
+    if "project" not in batch.schema.names:
+        yield from itertools.repeat(options, batch.num_rows)
+        return
+    for project in batch.column("project").to_pylist():
+        yield options | {"project": project} if project else options
 
 
 _SLOTS = "path string, id string, ord bigint, source string, kind string, error string"
@@ -418,31 +437,31 @@ def extracted(found: DataFrame, kind: Format, options: dict | None = None) -> Da
     def run(batches):
         for batch in batches:
             rows = []
-            for path, name, content in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "content"))):
+            for path, name, content, own in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "content")), _with_options(batch, options)):
                 try:
-                    rows += [(path, f"{name}#{s.id}", k, s.text, s.kind, None) for k, s in enumerate(s for s in read(name, content, options) if s.text)]
+                    rows += [(path, f"{name}#{s.id}", k, s.text, s.kind, None) for k, s in enumerate(s for s in read(name, content, own) if s.text)]
                 except (ValueError, csv.Error, RecursionError, IndexError, KeyError) as error:
                     rows.append((path, None, None, None, None, str(error)))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["path", "id", "ord", "source", "kind", "error"])
 
-    return found.select("path", "name", "content").mapInArrow(run, _SLOTS)
+    return found.mapInArrow(run, _SLOTS)
 
 
 def injected(found: DataFrame, segments: DataFrame, kind: Format, options: dict | None = None) -> DataFrame:
-    """Files (path, content) with the targets of segments (path, id, target) put in; a file without one stays as it is."""
+    """Files (path, content) with the targets of segments (path, id, target) put in; a file without one stays as it is, unless the options change it."""
     options = options or {}
-    write = kind.write
+    write, rewrites = kind.write, kind.rewrites
     targets = segments.where("target is not null and target <> ''").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("id", "target"))).alias("targets"))
-    joined = found.select("path", "name", "content").join(targets, "path", "left")
+    joined = found.join(targets, "path", "left")
 
     def run(batches):
         for batch in batches:
             out = []
-            for name, content, pairs in zip(*(batch.column(c).to_pylist() for c in ("name", "content", "targets"))):
+            for name, content, pairs, given in zip(*(batch.column(c).to_pylist() for c in ("name", "content", "targets")), _with_options(batch, options)):
                 prefix = f"{name}#"
                 own = {k.removeprefix(prefix): v for k, v in pairs or () if k.startswith(prefix)}
-                out.append(write(name, content, own, options) if own else content)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "content"])
+                out.append(write(name, content, own, given) if own or rewrites(name, given) else content)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
     return joined.mapInArrow(run, "path string, content binary")

@@ -2,7 +2,7 @@ import struct
 
 import pytest
 
-from lexiloom.sources import binary
+from lexiloom.sources import binary, formats
 
 U4 = lambda *n: struct.pack(f"<{len(n)}I", *n)
 
@@ -120,3 +120,26 @@ def test_lookups_by_spark(spark):
     assert binary.looked_up(df) == ["Costume"] and binary.looked_up(df.where("name = 'x.txt'")) is None
     broken = df.union(spark.createDataFrame([("B.mps", bytearray(b"no"))], "name string, content binary"))
     assert binary.looked_up(broken) is None
+
+
+def test_sidecars_and_fonts_in_a_folder(spark, tmp_path):
+    data = tmp_path / "Data" / "BasicData"
+    data.mkdir(parents=True)
+    body = binary.HEADER + b"\0" + U4(3) + b"abc" + U4(8) + text("My Game") + text("0000") + U4(1) + b"k" + text("Font") + text("") * 3 + text("hero") + U4(0) + b"tail"
+    (data / "Game.dat").write_bytes(body)
+    (data / "DataBase.dat").write_bytes(database(b"\0"))
+    (data / "CDataBase.dat").write_bytes(database(b"\0"))  # without a sidecar
+    (data / "DataBase.project").write_bytes(U4(1) + text("Costume") + U4(3) + text("a") * 3 + U4(2) + text("Hair 1") + text("Hair 2") + text("about") + U4(0) + U4(0) * 4)
+    kind = formats.FORMATS["binary"]
+    found = formats.files(spark, str(tmp_path), kind)
+    options = {"lookup_types": ["Costume"], "preserve_title": True, "font": "Other"}
+    rows = formats.extracted(found, kind, options)
+    assert sorted((r.id.split("#")[0], r.source) for r in rows.collect()) == [
+        ("CDataBase.dat", "Hair 1"), ("CDataBase.dat", "Long words"), ("CDataBase.dat", "Other words"), ("DataBase.dat", "Long words"), ("DataBase.dat", "Other words"),
+    ]
+    targets = rows.where("source = 'Other words'").selectExpr("path", "id", "'Outras' target")
+    new = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in formats.injected(found, targets, kind, options).collect()}
+    assert binary.header_texts(new["Game.dat"])[1].text == "Other" and binary.header_texts(new["Game.dat"])[0].text == "My Game"
+    assert [s.text for s in binary.read("DataBase.dat", new["DataBase.dat"], {})][-1] == "Outras" and sorted(new) == ["CDataBase.dat", "DataBase.dat", "Game.dat"]
+    kept = formats.injected(found, targets.limit(0), kind, {"preserve_title": True})
+    assert {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in kept.collect()} == {f: (data / f).read_bytes() for f in new}
