@@ -14,4 +14,4 @@ def test_query_and_its_sql(spark, name):
     found, sql = QUERIES[name](spark, SF_DIR), db.sql(ORACLE_SQL[name])
     rows = sorted(map(tuple, found.select(sorted(found.columns)).collect()), key=str)
     assert sorted(found.columns) == sorted(sql.columns)
-    assert rows == sorted(sql.select(",".join(sorted(sql.columns))).fetchall(), key=str) and rows
+    assert rows == sorted(sql.select(",".join(f'"{c}"' for c in sorted(sql.columns))).fetchall(), key=str) and rows
