@@ -1,5 +1,6 @@
 import json
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -188,3 +189,26 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().split("\n")[-1]) == {"files": 2, "success": 2, "cached": 0, "partial": 0}
     assert commands.main([*memory, "adopt", str(out), "--original", str(game), "-e", "game"]) == 0
     assert json.loads(capsys.readouterr().out) == {"success": 2, "unchanged": 1}
+
+
+def test_names_that_meet_across_roots(spark):
+    """The pass over whole folders, name by name, and the dealt one: the same targets. Cases, taken numbers, extensions that begin with a digit, null folders and order."""
+    parts = ["Name", "NAME", "name_1", "Name_1_2", "a_", "a__1", "ΑΣ", "ας", "Kelvin", "kelvin", "KELVIN_3", "İx", "i̇x", "q"]
+    rows = [(f"{n:05}" if n % 97 else None, None if n % 5 == 4 else f"d{n % 5}", n, ("5x", "") [n // 5 % 2] if n % 5 == 3 else (".txt", "", ".TXT")[n // 5 % 3], parts[n * 7 // 3 % len(parts)] + ("_15x" if n % 11 == 0 else "")) for n in range(97, 700) if n % 97]
+    named = filenames.allocated(spark.createDataFrame(rows, "rel string, folder string, n int, ext string, translated string")).collect()
+    expected, used = {}, {}
+    for rel, folder, n, ext, stem in sorted(rows):
+        taken, candidate, k = used.setdefault(folder, set()), stem + ext, 0
+        while candidate.lower() in taken:
+            k += 1
+            candidate = f"{stem}_{k}{ext}"
+        taken.add(candidate.lower())
+        expected[rel] = (folder, n, ext, stem, candidate, k > 0)
+    assert {r.rel: (r.folder, r.n, r.ext, r.translated, r.target, r.collided) for r in named} == expected and len(named) == len(expected)
+
+
+def test_names_taken_many_times(spark):
+    files = spark.range(60_000).selectExpr("lpad(id, 9, '0') as rel", "'d' as folder", "'.txt' as ext", "if(id % 2 = 0, 'Name', 'NAME') as translated")
+    began = time.time()
+    named = filenames.allocated(files).where("rel in ('000000000', '000000001', '000059999')").orderBy("rel").collect()
+    assert [r.target for r in named] == ["Name.txt", "NAME_1.txt", "NAME_59999.txt"] and time.time() - began < 60
