@@ -54,10 +54,29 @@ _CUT = (0, 16, 24)
 _END, _ONE, _TWO = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _places(a: np.ndarray):
+    """The first bytes of all numbers, the second ones, and so on; by shifts, as copies with a step are slower."""
+    size = a.dtype.itemsize
+    whole = a.view(f"u{size}")
+    used = (int(whole.max()).bit_length() + 7) // 8 if len(a) else 0
+    yield from ((whole >> whole.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(used))
+    yield bytes(len(a) * (size - used))
+
+
+def _whole(places: np.ndarray, kind) -> np.ndarray:
+    """The numbers of such bytes, in rows by place."""
+    size = np.dtype(kind).itemsize
+    out = places[0].astype(f"u{size}")
+    for k in range(1, size):
+        if places[k].any():
+            out |= places[k].astype(out.dtype) << out.dtype.type(8 * k)
+    return out.view(kind)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes, compressed: the bytes of like place together."""
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    body = b"".join(part for a in arrays for part in _places(np.ascontiguousarray(a)))
     return head + pa.compress(body, "zstd", asbytes=True)
 
 
@@ -65,7 +84,7 @@ def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     sizes = np.frombuffer(data, np.int64, len(kinds), 8)
     at = [0, *np.cumsum([n * np.dtype(k).itemsize for n, k in zip(sizes.tolist(), kinds)]).tolist()]
     body = np.frombuffer(pa.decompress(data[8 * (len(kinds) + 1) :], at[-1], "zstd", asbytes=True) if at[-1] else b"", np.uint8)
-    return [np.ascontiguousarray(body[i:j].reshape(np.dtype(k).itemsize, -1).T).reshape(-1).view(k) for i, j, k in zip(at[:-1], at[1:], kinds)]
+    return [_whole(body[i:j].reshape(np.dtype(k).itemsize, -1), k) for i, j, k in zip(at[:-1], at[1:], kinds)]
 
 
 # Spelling
@@ -122,6 +141,19 @@ class Spelling:
             out[lo:hi] = np.add.reduceat(logs, np.cumsum(sizes[lo:hi] + 1) - sizes[lo:hi] - 1, dtype=np.float64)
         return np.maximum(out, -300.0)
 
+    def listed(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The same of words with a SPACE after each, and the places of those."""
+        out, starts = np.zeros(len(ends)), np.append(0, ends + 1)
+        for lo in range(0, len(ends), 50_000):
+            hi = min(lo + 50_000, len(ends))
+            own = np.concatenate([np.full(2, SPACE, np.uint8), text[starts[lo] : starts[hi]]])
+            begin = starts[lo:hi] - starts[lo]
+            first = own[:-2].copy()
+            first[begin] = SPACE
+            logs = self.logs.reshape(-1)[sum(code[t] for code, t in zip(self.codes, (first, own[1:-1], own[2:])))]
+            out[lo:hi] = np.add.reduceat(logs, begin, dtype=np.float64)
+        return np.maximum(out, -300.0)
+
 
 def _counted(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct triples of some words, and how many times each stands there."""
@@ -131,6 +163,19 @@ def _counted(spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # Batches
 
+def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts hashes, where each different one begins in it, and the first place of each."""
+    bits = np.uint64(len(hashes).bit_length())
+    both = np.sort(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64))  # several times as fast as argsort
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ranked = hashes[order]
+    if ((ranked[1:] != ranked[:-1]) != ((both[1:] ^ both[:-1]) >> bits > 0)).any():  # hashes that differ in their last bits alone
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(order) else np.zeros(0, np.int64)
+    return order, start, order[start]
+
+
 _BATCH = "batch bigint, train binary, docs binary, tokens binary, spelled binary, letters bigint, triples binary"
 _NAMES = [c.split()[0] for c in _BATCH.split(", ")]
 
@@ -146,8 +191,11 @@ def batches_of(df: DataFrame, kind: str) -> DataFrame:
     def row(number, waiting):
         keys = pa.concat_arrays([w[0] for w in waiting])
         train, docs, hashes, data, sizes = (np.concatenate([w[k] for w in waiting]) for k in range(1, 6))
-        types, first, tokens, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        order = np.lexsort((types, -np.log2(n).astype(np.int64)))
+        ranked, start, first = _grouped(hashes)
+        types, n = hashes[first], np.diff(np.append(start, len(hashes)))
+        tokens = np.empty(len(hashes), np.int64)
+        tokens[ranked] = np.repeat(np.arange(len(types)), n)
+        order = np.argsort((64 - np.log2(n).astype(np.int64)).astype(np.uint8), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         first, tokens = first[order], place[tokens]
@@ -169,9 +217,8 @@ def batches_of(df: DataFrame, kind: str) -> DataFrame:
                 n = len(at) - 1
                 base = np.repeat(offsets[at_row : at_row + n], np.diff(at))
                 # a piece's different words alone keep their bytes
-                _, first = np.unique(hashes, return_index=True)
                 keep = np.zeros(len(hashes), dtype=bool)
-                keep[first] = True
+                keep[_grouped(hashes)[2]] = True
                 spelled, _ = _spelled(data, (starts + base)[keep], (ends + base)[keep])
                 sizes = np.where(keep, ends - starts, 0).astype(np.int64)
                 waiting.append((batch.column(0).slice(at_row, n), flags[at_row : at_row + n], np.diff(at).astype(np.int64), hashes, spelled, sizes))
@@ -221,17 +268,27 @@ class Level:
         """contexts: their hashes and occurrences n; of each pair: context (a number in contexts, in their order), hash of the symbol.
         limit: a context of more occurrences goes to several buckets. cut: bits of contexts that aren't sent."""
         self.cut = np.uint64(cut)
-        place = np.empty(len(contexts), np.int64)
-        place[np.argsort(contexts)] = np.arange(len(contexts))  # sorted hashes are smaller
         self.n = np.where(n > limit, n, 0)  # a context in one bucket gets all its occurrences
-        bucket = _bucket(contexts, buckets)[context]
-        hot = np.flatnonzero(self.n[context]) if self.n.any() else np.zeros(0, np.int64)
-        if len(hot):
+        bits = np.uint64(len(contexts).bit_length())  # sorted hashes are smaller; their last bits don't matter
+        by = (np.sort(contexts >> bits << bits | np.arange(len(contexts), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        bucket = _bucket(contexts, buckets)
+        if self.n.any():
+            place = np.empty(len(contexts), np.int64)
+            place[by] = np.arange(len(contexts))
+            bucket = bucket[context]
+            hot = np.flatnonzero(self.n[context])
             own = contexts[context[hot]]
             part = kernel.mix(symbols[hot] * _TWO) % (1 + self.n[context[hot]] // int(limit)).astype(np.uint64)
             bucket[hot] = _bucket(own + part * _ONE, buckets)
-        self.order = _sorted(bucket * len(contexts) + place[context])
-        self.at = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+            self.order = _sorted(bucket * len(contexts) + place[context])
+            self.at = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        else:  # contexts move whole, and their pairs follow one another
+            by = by[np.argsort(bucket[by].astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
+            pairs = np.bincount(context, minlength=len(contexts))
+            size = pairs[by]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            self.order = np.repeat((np.cumsum(pairs) - pairs)[by] - ends[:-1], size) + np.arange(len(context))
+            self.at = ends[np.searchsorted(bucket[by], np.arange(buckets + 1))]
         self.contexts, self.context = contexts, context[self.order]
 
     def runs(self, i: int, j: int) -> np.ndarray:
@@ -280,9 +337,11 @@ def meet(table: pa.Table, limit: float) -> pa.Table:
     kinds = (np.uint64, np.int32, np.int64, np.uint32, np.int32, np.uint16)
     rows = [unpacked(x, *kinds) for x in table["pairs"].to_pylist()]
     runs, sizes = np.concatenate([r[1] for r in rows]), [len(r[3]) for r in rows]
-    context, n = np.repeat(np.concatenate([r[0] for r in rows]), runs), np.repeat(np.concatenate([r[2] for r in rows]), runs)
+    names, own = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    own = np.repeat(own, runs)
+    context, n = names[own], np.repeat(np.concatenate([r[2] for r in rows]), runs)
     symbol, count, q = (np.concatenate([r[k] for r in rows]) for k in (3, 4, 5))
-    order = np.lexsort((symbol, context))
+    order = np.argsort(own.astype(np.uint64) << np.uint64(32) | symbol)
     context, symbol, n, q = context[order], symbol[order], n[order], q[order]
     new = np.concatenate([[True], context[1:] != context[:-1]])
     first = np.flatnonzero(new | np.concatenate([[True], symbol[1:] != symbol[:-1]]))
@@ -344,32 +403,30 @@ class Batch:
         text = pa.decompress(row["spelled"], row["letters"], "zstd", asbytes=True) if row["letters"] else b""
         spelled = np.frombuffer(text, np.uint8)
         ends = np.flatnonzero(spelled == SPACE)
-        sizes = np.diff(ends, prepend=-1) - 1
         types = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _, _ in kernel.words(pa.array([text.decode("utf-8", "surrogatepass")])))])
         self.types = np.append(types, _END)  # the end of a text is the last type
         self.doc = np.repeat(np.arange(len(docs)), docs + 1)
-        self.tokens = np.full(len(self.doc), len(types), np.int64)
-        begin = np.cumsum(docs + 1) - (docs + 1)
-        self.place = np.arange(len(self.doc)) - np.repeat(begin, docs + 1)
-        self.tokens[self.place < np.repeat(docs, docs + 1)] = tokens
-        self.learned = self.train[self.doc]
+        last = np.cumsum(docs + 1) - 1
+        self.begin = last - docs
+        self.tokens = np.insert(tokens.astype(np.int64), last - np.arange(len(docs)), len(types))
+        self.learned = np.repeat(self.train, docs + 1)
         self.level = 0
         every = np.arange(len(types))
         self.dealt = Level(types, every, types, np.zeros(len(types), np.int64), corpus.buckets[0], np.inf, _CUT[0])
         if 0 in replies:
-            self._root(replies[0], spelled[spelled != SPACE], sizes)
+            self._root(replies[0], spelled, ends)
         for level in range(1, len(replies)):
             self._grown(replies[level], corpus.sums[level])
 
-    def _root(self, replies, spelled, sizes):
+    def _root(self, replies, spelled, ends):
         c = self.corpus
         counts, _ = self.dealt.answered(replies, c.sums[0])
         self.counts = np.append(counts, c.ends)
-        logs = np.append(c.spelling.words(spelled, sizes), c.spelling.words(np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-        self.p = ((self.counts + c.unseen * 10.0**logs) / (c.total + c.unseen))[self.tokens]
-        self.p = np.maximum(self.p, 1e-300)
+        logs = np.append(c.spelling.listed(spelled, ends), c.spelling.words(np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        self.p = np.maximum((self.counts + c.unseen * 10.0**logs) / (c.total + c.unseen), 1e-300)[self.tokens]
         self.first = self.counts[self.tokens]
-        self.gram, self.gram_hash, self.seen = self.tokens, kernel.mix(self.types * _ONE), self.counts
+        # the last gram, which never occurs, stands where there is none
+        self.gram, self.gram_hash, self.seen = self.tokens, kernel.mix(self.types * _ONE), np.append(self.counts, 0)
         self.before = np.full(len(self.tokens), -1)  # how often the context of the level above occurs
         if self.corpus.depth:
             self._next()
@@ -379,16 +436,17 @@ class Batch:
         same symbols: it can't diverge from it, and its counts are known."""
         self.level += 1
         size = len(self.types) + 1
-        before = np.concatenate([[-1], self.gram[:-1]])
-        before[self.place < self.level] = -1
-        n = np.where(before >= 0, self.seen[before], 0)
-        same = (n >= OCCURRENCES) & (n == self.before) & (self.gram >= 0)
-        self.same, self.same_gram = np.flatnonzero(same), self.gram[same]
-        self.some = np.flatnonzero((n >= OCCURRENCES) & (n != self.before))
+        often = self.seen[self.gram]
+        n = np.concatenate([[0], often[:-1]])
+        n[self.begin] = 0
+        enough, same = n >= OCCURRENCES, n == self.before
+        self.some = np.flatnonzero(enough & ~same)
+        self.same = np.flatnonzero(enough & same)
+        self.same = self.same[self.gram[self.same] < len(self.seen) - 1]
+        self.same_gram = self.gram[self.same]
         self.before = n
-        before = before[self.some]
-        symbol = np.where(self._often()[self.some], self.tokens[self.some] + 1, 0)  # 0: too rare to be listed
-        codes, self.back, self.at = _distinct(before * size + symbol)
+        symbol = np.where(often[self.some] >= OCCURRENCES, self.tokens[self.some] + 1, 0)  # 0: too rare to be listed
+        codes, self.back, self.at = _distinct(self.gram[self.some - 1] * size + symbol)
         self.context, self.symbol = codes // size, codes % size
         self.hashes = np.where(self.symbol > 0, self.types[self.symbol - 1], np.uint64(0))
         new = np.concatenate([[True], self.context[1:] != self.context[:-1]]) if len(codes) else np.zeros(0, dtype=bool)
@@ -408,15 +466,6 @@ class Batch:
         short = np.where(self.symbol > 0, np.maximum((self.hashes >> bits).astype(np.uint32), 1), 0).astype(np.uint32)
         return self.dealt.rows(short, counts, q)
 
-    def _often(self) -> np.ndarray:
-        """Tokens that occur often enough after the context of the level above."""
-        if self.level == 1:
-            return self.first >= OCCURRENCES
-        out = np.zeros(len(self.tokens), dtype=bool)
-        at = self.gram >= 0
-        out[at] = self.seen[self.gram[at]] >= OCCURRENCES
-        return out
-
     def _grown(self, replies, sums):
         counts, rest = self.dealt.answered(replies, sums)
         counts = np.where(self.symbol > 0, counts, 0)
@@ -427,11 +476,13 @@ class Batch:
         if self.level == self.corpus.depth:
             return
         pair_hash = kernel.mix(self.gram_hash[self.context] * _ONE + self.hashes)
-        self.gram = np.full(len(self.tokens), -1)
-        self.gram[self.some] = np.where((self.symbol > 0)[self.back], self.back, -1)
-        old, place = np.unique(self.same_gram, return_inverse=True)
-        self.gram[self.same] = len(counts) + place
-        self.gram_hash, self.seen = np.concatenate([pair_hash, self.gram_hash[old]]), np.concatenate([counts, self.seen[old]])
+        held = np.zeros(len(self.seen), dtype=bool)
+        held[self.same_gram] = True
+        old, none = np.flatnonzero(held), len(counts) + np.count_nonzero(held)
+        self.gram = np.full(len(self.tokens), none)
+        self.gram[self.some] = np.where(self.symbol > 0, np.arange(len(counts)), none)[self.back]
+        self.gram[self.same] = len(counts) - 1 + np.cumsum(held)[self.same_gram]
+        self.gram_hash, self.seen = np.concatenate([pair_hash, self.gram_hash[old]]), np.concatenate([counts, self.seen[old], [0]])
         self._next()
 
     def scores(self):

@@ -134,3 +134,13 @@ def test_long_text_and_other_keys(spark):
 def test_held_out_texts_score_above_the_base(spark):
     found = suffixtree.scored(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert found.s > found.b
+
+
+def test_packed_numbers_and_groups():
+    arrays = [np.array([1 << 63, 3, 1 << 20], np.uint64), np.zeros(0, np.int32), np.array([-1, 3], np.int64), np.array([-2, 0.25], np.float32), np.array([0, 65535], np.uint16), np.zeros(3, np.uint32)]
+    found = suffixtree.unpacked(suffixtree.packed(*arrays), *(a.dtype for a in arrays))
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, found))
+    for hashes in ([5, 4, 5, 4, 4, 1 << 63, 5], [9 << 40, 1, 9 << 40], [7], []):  # last bits alone differ; first bits differ
+        order, start, first = suffixtree._grouped(np.array(hashes, np.uint64))
+        assert [hashes[k] for k in order] == sorted(hashes) and [hashes[k] for k in first] == sorted(set(hashes))
+        assert first.tolist() == [hashes.index(h) for h in sorted(set(hashes))] and start.tolist() == [sorted(hashes).index(h) for h in sorted(set(hashes))]
