@@ -12,7 +12,7 @@ and special tokens don't exist: what the tiktoken library's encode_ordinary retu
 
 Map-only: a row is encoded where it is read, nothing is shuffled. Memory: a long text is encoded in
 bounded blocks of matches, and the caches of encoded words are bounded, two generations of
-``CACHE`` entries a Python worker.
+``CACHE`` entries a Python worker, kept for its next task until it works for an operator on words.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from .kernel import KEPT
+
 #: Entries of one generation of a worker's cache of words.
 CACHE = 300_000
 #: Characters of the longest word that is cached.
@@ -257,16 +259,13 @@ class Codec:
         return n, ids_sum.hexdigest(), bytes_sum.hexdigest()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec_for(rank_file: bytes, pattern: str) -> Codec:
     """This process's codec for a rank file, with its caches."""
     key = hashlib.sha256(rank_file).hexdigest(), pattern
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec.of(rank_file, pattern)
-    return _codecs[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Codec.of(rank_file, pattern)
+    return KEPT[key]
 
 
 def _clean(df: DataFrame, column: str) -> list[str]:

@@ -8,6 +8,8 @@ whatever the length of a text: texts are cut at separators and only 8 bytes a wo
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,10 @@ _LOWER += 1
 #: Odd multipliers of the places of a shingle.
 _PLACE = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) | 1 for k in range(64)], dtype=np.uint64)
 
+#: What an operator keeps in a Python worker from one task to the next, such as a codec and its caches. Workers
+#: outlive stages, and an executor's have to fit beside its heap: who reads words here lets go of it.
+KEPT: dict = {}
+
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -42,6 +48,16 @@ def _grow(n: int) -> None:
             globals()[name] = np.multiply.accumulate(steps)
 
 
+def released() -> None:
+    """Let go of what is KEPT, and give the memory back to the system where the C library can."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -89,6 +105,7 @@ def _piece(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray) -> tuple
 def words(column: pa.Array, places: bool = False, separator: np.ndarray = SPACES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts in runs of about PIECE bytes: the first row, offsets of the rows into the word arrays,
     word hashes, and starts and ends in bytes of the row (empty unless places). separator: SPACES or MARKS."""
+    released()
     data, ends = flat(column)
     row, rows = 0, len(ends) - 1
     none = np.zeros(0, np.int64)

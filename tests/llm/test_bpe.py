@@ -1,14 +1,16 @@
 import base64
 import hashlib
 import random
+import weakref
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexiloom.llm import bpe
+from lexiloom.llm import bpe, kernel
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 RAW = open(PATH, "rb").read()
@@ -68,3 +70,12 @@ def test_joined_is_an_encoding(kind):
     for _ in range(300):
         a, b = ("".join(rng.choice("aabcdeth") for _ in range(rng.randint(1, 12))).encode() for _ in "ab")
         assert CODEC.joined(CODEC.merged(a), CODEC.merged(b)) == CODEC.merged(a + b)
+
+
+def test_caches_go_with_the_stage():
+    """A worker keeps its codec for its next task, and not beside the work of operators on words."""
+    codec = weakref.ref(bpe.codec_for(RAW, "x"))
+    assert bpe.codec_for(RAW, "x") is codec()
+    assert [len(h) for _, _, h, _, _ in kernel.words(pa.array(["a b"]))] == [2]
+    assert codec() is None
+    assert bpe.codec_for(RAW, P.PATTERN).encoded("some words") == LIBRARY.encode_ordinary("some words")
